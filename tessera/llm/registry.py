@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tessera.llm import mixing
+from tessera.llm import mixing, secrets
 
 QUERIES = {
+    "op2_owner_frequency": secrets.op2,
     "op10_curriculum_mix": mixing.op10,
 }
 
 SQL = {
+    "op2_owner_frequency": secrets.OP2_SQL,
     "op10_curriculum_mix": mixing.OP10_SQL,
 }

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from tessera.llm import mixing, secrets
+from tessera.llm import licenses, mixing, secrets
 
 QUERIES = {
     "op2_owner_frequency": secrets.op2,
+    "op7_positional_rare_words": licenses.op7,
     "op10_curriculum_mix": mixing.op10,
 }
 
 SQL = {
     "op2_owner_frequency": secrets.OP2_SQL,
+    "op7_positional_rare_words": licenses.OP7_SQL,
     "op10_curriculum_mix": mixing.OP10_SQL,
 }

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from tessera.llm import licenses, mixing, secrets
+from tessera.llm import licenses, mixing, secrets, substring_dedup
 
 QUERIES = {
+    "op1_relative_lz": substring_dedup.op1,
     "op2_owner_frequency": secrets.op2,
     "op7_positional_rare_words": licenses.op7,
     "op10_curriculum_mix": mixing.op10,
 }
 
 SQL = {
+    "op1_relative_lz": substring_dedup.OP1_SQL,
     "op2_owner_frequency": secrets.OP2_SQL,
     "op7_positional_rare_words": licenses.OP7_SQL,
     "op10_curriculum_mix": mixing.OP10_SQL,

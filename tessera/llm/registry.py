@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import licenses, mixing, secrets, substring_dedup
+from tessera.llm import licenses, mixing, secrets, substring_dedup, token_shards
 
 QUERIES = {
     "op1_relative_lz": substring_dedup.op1,
     "op2_owner_frequency": secrets.op2,
+    "op4_wavelet_shards": token_shards.op4,
     "op7_positional_rare_words": licenses.op7,
     "op10_curriculum_mix": mixing.op10,
 }

@@ -66,6 +66,12 @@ def _stands(words: str) -> str:
     return r"(?:^|[\x00-\x2F\x3A-\x60\x7B-\x7F])" + GAP.join(re.escape(w) for w in words.split()) + r"(?:$|[\x00-\x2F\x3A-\x60\x7B-\x7F])"
 
 
+def _has(low: Column, phrase: str) -> Column:
+    """Does the phrase stand? Few texts have its longest word at all, and looking for that
+    is far cheaper than the pattern."""
+    return low.contains(max(phrase.split(), key=len)) & low.rlike(_stands(phrase))
+
+
 def _places(low: Column, words: Column, phrase: str) -> Column:
     """Starts of a phrase in the array of words; null unless the text has it."""
     parts = phrase.split()
@@ -77,7 +83,7 @@ def _places(low: Column, words: Column, phrase: str) -> Column:
             test = test & (F.get(words, i + k) == part)
         return test
 
-    return F.when(low.rlike(_stands(phrase)), F.filter(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), begins)).otherwise(F.array().cast("array<int>"))
+    return F.when(_has(low, phrase), F.filter(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), begins)).otherwise(F.array().cast("array<int>"))
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, base=BASE) -> DataFrame:
@@ -93,7 +99,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, base=BASE) -> DataFrame:
         F.arrays_overlap("words", vocab),
         F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda x: F.array_contains(vocab, x["word"])),
     ).otherwise(F.array().cast("array<struct<word:string,at:int>>"))
-    keys = F.array(*[F.col("low").rlike(_stands(p)) for p in key_phrases(templates)])
+    keys = F.array(*[_has(F.col("low"), p) for p in key_phrases(templates)])
     return words.select(
         F.monotonically_increasing_id().alias("row"),
         "doc_id",

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.llm import edit_match, jaccard_join, licenses, mixing, secrets, substring_dedup, token_shards
+from tessera.llm import edit_match, jaccard_join, language_id, licenses, mixing, secrets, substring_dedup, token_shards
 
 QUERIES = {
     "op1_relative_lz": substring_dedup.op1,
     "op2_owner_frequency": secrets.op2,
     "op4_wavelet_shards": token_shards.op4,
+    "op5_output_codes": language_id.op5,
     "op6_bayesian_jaccard": jaccard_join.op6,
     "op7_positional_rare_words": licenses.op7,
     "op8_pigeonhole_edits": edit_match.op8,

@@ -18,6 +18,7 @@ import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +33,14 @@ from tessera.llm._shared import materialize, partitions, session_of, shared_path
 
 #: Tokens after which a shard is closed.
 SHARD_TOKENS = 1 << 24
-#: Distinct words whose ids a worker remembers; beyond it words are encoded batch by batch.
-REMEMBERED = 600_000
+#: Distinct words whose ids a worker keeps; the others are encoded anew in each group of texts.
+REMEMBERED = 500_000
 #: Words that are encoded as one text.
-_GROUP = 64
+_GROUP = 256
+#: Bytes of text whose words are looked up together.
+_TEXT_BYTES = 16 << 20
+#: Words whose ids are gathered in one step.
+_STEP = 1 << 14
 
 _SHARDS = "shard long, path string, n_docs long, n_tokens long, bytes long"
 _DOCS = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -49,72 +54,68 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         vocab = self.tokenizer.get_vocab()
+        self.dtype = np.uint16 if max(vocab.values()) < 1 << 16 else np.uint32
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
-        self.known: dict[str, int] = {}
-        self._clear()
-
-    def _clear(self) -> None:
-        self.known.clear()
-        self.begin, self.flat, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32), 0
-
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _ids(self, words: list[str]) -> list[list[int]]:
-        """Each word's ids. Words of letters alone are one piece each, and the last id of
-        a piece is marked, so many of them are encoded as one text and cut apart again."""
-        plain = [i for i, w in enumerate(words) if w.isalpha() and unicodedata.is_normalized("NFC", w)]
-        out: list[list[int] | None] = [None] * len(words)
+        self.known: dict[str, int] = {}  # a word's number
+        self.begin = np.zeros(1, np.int32)  # where the ids of each number begin in flat
+        self.flat = np.zeros(0, self.dtype)
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and their number in each."""
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, lists), np.int32, len(lists))
+        return np.fromiter(chain.from_iterable(lists), self.dtype, int(sizes.sum())), sizes
+
+    def _words(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The words in another order, their ids and sizes. Words of letters alone are one
+        piece each, and the last id of a piece is marked, so many of them are encoded as
+        one text and cut apart again; a text that yields another number of pieces than
+        words is encoded word by word."""
+        plain = [w for w in words if w.isalpha() and (w.isascii() or unicodedata.is_normalized("NFC", w))]
+        chosen = set(plain)
+        rest = [w for w in words if w not in chosen]
         groups = [plain[i : i + _GROUP] for i in range(0, len(plain), _GROUP)]
-        for group, ids in zip(groups, self._encode([" ".join([words[i] for i in g]) for g in groups]), strict=True):
-            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            if len(cuts) == len(group):
-                at = 0
-                for i, cut in zip(group, cuts, strict=True):
-                    out[i] = ids[at:cut]
-                    at = cut
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, ids in zip(rest, self._encode([words[i] for i in rest]), strict=True):
-            out[i] = ids
-        return out
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > REMEMBERED:
-            self._clear()
-        ids = self._ids(words)
-        n = len(self.known)
-        flat = np.fromiter((x for i in ids for x in i), np.uint32)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        while n + len(words) + 1 > len(self.begin):
-            self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
-        while self.used + len(flat) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + len(flat)] = flat
-        self.begin[n + 1 : n + 1 + len(words)] = self.used + np.cumsum(sizes)
-        self.used += len(flat)
-        self.known.update(zip(words, range(n, n + len(words)), strict=True))
+        flat, sizes = self._encode([" ".join(g) for g in groups])
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        ends = np.concatenate([[0], np.cumsum(self.ends[flat])])
+        right = (ends[bounds[1:]] - ends[bounds[:-1]]) == np.fromiter(map(len, groups), np.int64, len(groups))
+        if not right.all():
+            rest += [w for g, ok in zip(groups, right, strict=True) if not ok for w in g]
+            flat = flat[np.repeat(right, sizes)]
+            groups = [g for g, ok in zip(groups, right, strict=True) if ok]
+        cuts = np.flatnonzero(self.ends[flat]) + 1
+        more, more_sizes = self._encode(rest)
+        return [*chain.from_iterable(groups), *rest], np.concatenate([flat, more]), np.concatenate([np.diff(cuts, prepend=0).astype(np.int32), more_sizes])
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by ``end``, and the number of ids of each text."""
         lists = pc.ascii_split_whitespace(texts.fill_null(""))
-        offsets = lists.offsets.to_numpy().astype(np.int64)
+        offsets = lists.offsets.to_numpy()
         coded = lists.values.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        new = [w for w in distinct if w not in self.known]
-        if new:
-            if len(self.known) + len(new) > REMEMBERED:
-                new = distinct  # all are learned anew
-            self._learn(new)
-        number = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
-        begin, size = self.begin[number], self.begin[number + 1] - self.begin[number]
-        before = np.concatenate([[0], np.cumsum(size)])
+        words, ids, sizes = self._words([w for w in distinct if w not in self.known])
+        flat, begin = np.concatenate([self.flat, ids]), np.concatenate([self.begin, self.begin[-1] + np.cumsum(sizes, dtype=np.int32)])
+        number = dict(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
+        known = self.known.get
+        at = np.fromiter((k if (k := known(w)) is not None else number[w] for w in distinct), np.int32, len(distinct))[coded.indices.to_numpy()]
+        if room := max(0, min(len(words), REMEMBERED - len(self.known))):
+            self.known.update(zip(words[:room], range(len(self.known), len(self.known) + room), strict=True))
+            self.begin = begin[: len(self.known) + 1].copy()
+            self.flat = flat[: self.begin[-1]].copy()
+        first, size = begin[at], begin[at + 1] - begin[at]
+        before = np.concatenate([np.zeros(1, np.int32), np.cumsum(size, dtype=np.int32)])
         per_text = before[offsets[1:]] - before[offsets[:-1]] + 1
-        # A text's ids go after one end id for each text before it.
-        total = int(before[-1])
-        out = np.full(total + len(texts), end, np.uint32)
-        order = np.arange(total)
-        out[order + np.repeat(np.arange(len(texts)), per_text - 1)] = self.flat[order + np.repeat(begin - before[:-1], size)]
+        ids = np.empty(int(before[-1]), self.dtype)
+        for lo in range(0, len(at), _STEP):  # a step's index arrays stay in the processor's cache
+            hi = min(lo + _STEP, len(at))
+            a, b = before[lo], before[hi]
+            ids[a:b] = flat[np.arange(a, b, dtype=np.int32) + np.repeat(first[lo:hi] - before[lo:hi], size[lo:hi])]
+        out = np.full(len(ids) + len(texts), end, self.dtype)
+        done = 0
+        for i, n in enumerate((per_text - 1).tolist()):
+            out[done + i : done + i + n] = ids[done : done + n]
+            done += n
         return out, per_text
 
 
@@ -139,7 +140,7 @@ def _write(folder: str, vocabulary: str, end: int, shard_tokens: int):
         def close() -> pa.RecordBatch:
             nonlocal seq
             every = np.concatenate(tokens)
-            bounds = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+            bounds = np.concatenate([[0], np.cumsum(np.concatenate(sizes), dtype=np.int64)])
             file = wavelet.encode(every, bounds, ids)
             path = f"{root}/{part:06d}-{seq:06d}-{uuid.uuid4().hex}.wm"
             with fs.open_output_stream(path) as out:
@@ -152,7 +153,7 @@ def _write(folder: str, vocabulary: str, end: int, shard_tokens: int):
         for batch in batches:
             # A batch's texts are encoded a few MB at a time, so memory follows a shard.
             nbytes = pc.binary_length(batch["text"]).fill_null(0).to_numpy()
-            group = np.cumsum(nbytes) // (8 << 20)
+            group = np.cumsum(nbytes, dtype=np.int64) // _TEXT_BYTES
             cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(batch)]
             for lo, hi in zip(cuts, cuts[1:], strict=False):
                 if lo == hi:

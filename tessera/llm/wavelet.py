@@ -23,18 +23,32 @@ import zstandard
 MAGIC = b"TSWM1\n"
 #: Bits of a block of the rank directory.
 BLOCK = 512
+#: Entries that are partitioned in one step.
+_STEP = 1 << 15
 _POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
+def _steps(n: int):
+    return ((i, min(i + _STEP, n)) for i in range(0, n, _STEP))
+
+
 def _build(codes: np.ndarray, levels: int) -> tuple[list[np.ndarray], list[int]]:
+    """Packed planes and their numbers of zeros. Each plane is partitioned step by step,
+    by index: an index array of a step stays in the processor's cache."""
     planes, zeros = [], []
     for level in range(levels - 1, -1, -1):
-        bit = (codes & codes.dtype.type(1 << level)).astype(bool)
-        planes.append(np.packbits(bit))
-        zero = np.flatnonzero(~bit)  # taking by index is several times faster than by mask
-        zeros.append(len(zero))
-        if level:
-            codes = np.concatenate([codes[zero], codes[np.flatnonzero(bit)]])
+        bits = (codes & codes.dtype.type(1 << level)).astype(bool)
+        planes.append(np.packbits(bits))
+        zeros.append(len(bits) - int(np.count_nonzero(bits)))
+        after, z, o = np.empty_like(codes), 0, zeros[-1]
+        for a, b in _steps(len(codes) if level else 0):
+            part, bit = codes[a:b], bits[a:b]
+            one = part[np.flatnonzero(bit)]
+            zero = part[np.flatnonzero(~bit)]
+            after[z : z + len(zero)] = zero
+            after[o : o + len(one)] = one
+            z, o = z + len(zero), o + len(one)
+        codes = after
     return planes, zeros
 
 
@@ -126,10 +140,14 @@ class Shard:
         dtype = np.uint16 if levels <= 16 else np.uint32
         low = np.zeros(n, dtype)
         for p in range(levels - 1, -1, -1):
-            bit = np.unpackbits(self.planes[p], count=n).astype(bool)
-            here = np.empty(n, dtype)
-            here[np.flatnonzero(~bit)] = low[: self.zeros[p]]
-            here[np.flatnonzero(bit)] = low[self.zeros[p] :] | dtype(1 << (levels - 1 - p))
+            bits = np.unpackbits(self.planes[p], count=n).view(bool)
+            here, z, o = np.empty(n, dtype), 0, self.zeros[p]
+            for a, b in _steps(n):
+                zero, one = np.flatnonzero(~bits[a:b]), np.flatnonzero(bits[a:b])
+                part = here[a:b]
+                part[zero] = low[z : z + len(zero)]
+                part[one] = low[o : o + len(one)] | dtype(1 << (levels - 1 - p))
+                z, o = z + len(zero), o + len(one)
             low = here
         return self.alphabet[low] if n else np.zeros(0, np.uint32)
 

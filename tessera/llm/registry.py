@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import edit_match, jaccard_join, language_id, licenses, mixing, secrets, substring_dedup, token_shards
+from tessera.llm import edit_match, iblt, jaccard_join, language_id, licenses, mixing, secrets, substring_dedup, token_shards
 
 QUERIES = {
     "op1_relative_lz": substring_dedup.op1,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_bayesian_jaccard": jaccard_join.op6,
     "op7_positional_rare_words": licenses.op7,
     "op8_pigeonhole_edits": edit_match.op8,
+    "op9_invertible_sketch": iblt.op9,
     "op10_curriculum_mix": mixing.op10,
 }
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import edit_match, iblt, jaccard_join, language_id, licenses, mixing, secrets, substring_dedup, token_shards
+from tessera.llm import edit_match, iblt, jaccard_join, language_id, licenses, mixing, secrets, substring_dedup, token_shards, url_filter
 
 QUERIES = {
     "op1_relative_lz": substring_dedup.op1,
     "op2_owner_frequency": secrets.op2,
+    "op3_segmented_hosts": url_filter.op3,
     "op4_wavelet_shards": token_shards.op4,
     "op5_output_codes": language_id.op5,
     "op6_bayesian_jaccard": jaccard_join.op6,

@@ -11,9 +11,11 @@ length that starts earlier lies inside some factor. Words under factors are dupl
 
 Looking up every window would shuffle the corpus many times over. Each window is first
 represented by its anchor, the least digest of its ``ANCHOR`` word pieces: equal windows
-have equal anchors, and only about one word in six is an anchor. Windows whose anchor
+have equal anchors, and only about one word in eight is an anchor. Windows whose anchor
 stands nowhere else cannot be repeated and are never looked up.
 
+A document whose whole text an earlier one has is one factor of it, without any lookup.
+
 Skew: each Arrow batch asks for an anchor or a window at most once; its further places in
 the batch are known repeats and go straight to their document's partition. So a passage
 that half of all documents share sends a block one row for each batch, not for each place.
@@ -35,17 +37,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import table
+from tessera.llm._shared import partitions, session_of, table
 from tessera.llm._words import mix, sliding, slices, whole, windows
 
 WINDOW = 20
 #: Words of the pieces among which a window has its anchor.
-ANCHOR = 10
+ANCHOR = 7
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 _FIRST_ID = -(1 << 63)
 
-_ANCHORS = "route long, key long, place int, known boolean"
-_WINDOWS = "route long, check long, id long, key long, start int, known boolean, ref_id long, ref_start int"
+# Few and narrow columns, those that differ from row to row side by side: what these rows
+# cost in a shuffle is most of the operator's disk. A known place is stored as -1 - place;
+# ``mark`` holds a window's check digest (high half) and its start.
+_ANCHORS = "route long, place int, key long"
+_WINDOWS = "route long, mark long, id long, key long, known boolean, ref_id long, ref_start int"
 _FACTORS = "doc_id long, n_words long, n_removed long, n_spans long, kept string, factors array<struct<start:int,length:int,ref_id:long,ref_start:int>>"
 
 
@@ -60,6 +65,14 @@ def _pieces(words, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
     return pieces, least
 
 
+def _text_order(order: np.ndarray, columns: list[np.ndarray]) -> list[np.ndarray]:
+    """Columns that were sorted by ``order``, as they stood in the texts: there all but the
+    digests compress to almost nothing."""
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    return [c[back] for c in columns]
+
+
 def _anchors(window: int, anchor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,7 +98,8 @@ def _anchors(window: int, anchor: int):
             first[1:] = digest[1:] != digest[:-1]
             known = ~first
             known[:-1] |= ~first[1:]
-            yield pa.RecordBatch.from_arrays([pa.array(np.where(first, digest.view(np.int64), key)), pa.array(key), pa.array(place), pa.array(known)], names=["route", "key", "place", "known"])
+            columns = _text_order(order, [np.where(first, digest.view(np.int64), key), np.where(known, -1 - place, place), key])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["route", "place", "key"])
 
     return run
 
@@ -123,13 +137,9 @@ def _windows(window: int, anchor: int):
             # A later place of the batch is a repeat of the batch's first; one that is not later (rows with one id) asks itself.
             later = (doc_id != doc_id[head]) | (start != start[head])
             route = np.where(later, key, one.view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(route), pa.array(np.where(later, np.int64(0), two.view(np.int64))), pa.array(doc_id), pa.array(key), pa.array(start), pa.array(later),
-                    pa.array(np.where(later, doc_id[head], np.int64(0))), pa.array(np.where(later, start[head], np.int32(0))),
-                ],
-                names=["route", "check", "id", "key", "start", "known", "ref_id", "ref_start"],
-            )
+            mark = np.where(later, np.uint64(0), two & np.uint64(0xFFFFFFFF00000000)).view(np.int64) | start.astype(np.int64)
+            rows = [route, mark, doc_id, key, later, np.where(later, doc_id[head], np.int64(0)), np.where(later, start[head], np.int32(0))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in _text_order(order, rows)], names=["route", "mark", "id", "key", "known", "ref_id", "ref_start"])
 
     return run
 
@@ -149,10 +159,13 @@ def _factored(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc_id, text, repeats in zip(batch["doc_id"].to_pylist(), batch["text"], batch["repeats"], strict=True):
+            for doc_id, text, repeats, copy_of in zip(batch["doc_id"].to_pylist(), batch["text"], batch["repeats"], batch["copy_of"].to_pylist(), strict=True):
                 words = (text.as_py() or "").encode().split()
                 factors, removed, spans, kept = [], 0, 0, words
-                if repeats.is_valid and len(repeats.values):
+                if copy_of is not None:
+                    if len(words) >= window:
+                        factors, removed, spans, kept = [(0, len(words), copy_of, 0)], len(words), 1, []
+                elif repeats.is_valid and len(repeats.values):
                     s = repeats.values
                     order = np.unique(s.field("start").to_numpy(), return_index=True)[1]  # equal rows tell the same
                     factors = greedy_factors(*(s.field(x).to_numpy()[order] for x in ("start", "ref_id", "ref_start")), window)
@@ -172,6 +185,16 @@ def _factored(window: int):
     return run
 
 
+def _copies(docs: DataFrame) -> DataFrame:
+    """key, copy_of (the least id) of documents whose whole text an earlier id has too.
+    Only digests are shuffled; the least id is formed on the map side, so a text that a
+    third of all documents have sends one row for each task, and the documents find it
+    by a join that Spark can split."""
+    digests = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST_ID)).alias("id"), F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
+    least = digests.groupBy("digest").agg(F.min("id").alias("copy_of"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return digests.join(least, "digest").where("id > copy_of").select("key", "copy_of").distinct()
+
+
 def parse_corpus(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """One row for each document of ``docs`` (doc_id, text): doc_id, n_words, n_removed,
     n_spans (maximal removed runs of words), kept (the words outside factors, joined by one
@@ -182,20 +205,25 @@ def parse_corpus(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) ->
     if not 1 <= anchor <= window:
         raise ValueError("an anchor has 1 to window words")
     texts = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    asked = texts.select("key", "text").mapInArrow(_anchors(window, anchor), _ANCHORS)
-    shared = asked.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("route"))).where("known OR n > 1")
-    places = shared.groupBy("key").agg(F.collect_set("place").alias("places"))
+    copies = _copies(docs)
+    # Copies are not looked up, and what only they share does not make their first one look.
+    alone = texts.join(copies.select("key"), "key", "left_anti")
+    asked = alone.select("key", "doc_id", "text").mapInArrow(_anchors(window, anchor), _ANCHORS)  # doc_id: the exchange stays the others' one
+    shared = asked.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("route"))).where("place < 0 OR n > 1")
+    places = shared.groupBy("key").agg(F.collect_set(F.when(F.col("place") < 0, -1 - F.col("place")).otherwise(F.col("place"))).alias("places"))
     looked = texts.join(places, "key").select("key", F.coalesce("doc_id", F.lit(_FIRST_ID)).alias("id"), "text", "places").mapInArrow(_windows(window, anchor), _WINDOWS)
+    # Dealt out by the digest alone; the check digest tells apart what shares it.
+    dealt = looked.repartition(partitions(session_of(docs)), "route").withColumn("check", F.shiftright("mark", 32)).withColumn("start", F.col("mark").bitwiseAND(0x7FFFFFFF).cast("int"))
     same = Window.partitionBy("route", "check")
     earliest = F.min(F.when(~F.col("known"), F.struct("id", "start"))).over(same)
     repeats = (
-        looked.withColumn("first", earliest)
+        dealt.withColumn("first", earliest)
         .where("known OR first < struct(id, start)")
         .select("key", "start", F.when(F.col("known"), F.struct("ref_id", "ref_start")).otherwise(F.struct(F.col("first.id").alias("ref_id"), F.col("first.start").alias("ref_start"))).alias("ref"))
         .groupBy("key")
         .agg(F.collect_list(F.struct("start", "ref.ref_id", "ref.ref_start")).alias("repeats"))
     )
-    return texts.join(repeats, "key", "left").select("doc_id", "text", "repeats").mapInArrow(_factored(window), _FACTORS)
+    return texts.join(repeats, "key", "left").join(copies, "key", "left").select("doc_id", "text", "repeats", "copy_of").mapInArrow(_factored(window), _FACTORS)
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

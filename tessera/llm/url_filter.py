@@ -8,8 +8,8 @@ url that has one of the ``SEEDS`` among its words counts as unwanted, every othe
 wanted; what else stands in such urls (a campaign's path, the rest of a host's name)
 gets its weight from them.
 
-The word model is the ``LEXICON`` most frequent words of all pages' visible text, the
-naive Bayes model has hashed bins: both have a fixed size and are broadcast. Counts are
+The word model is the most frequent words of all pages' visible text, ``LEXICON`` of them
+at most; the naive Bayes model has hashed bins: both have a fixed size and are broadcast. Counts are
 taken over all pages. Pages themselves are never shuffled.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, fits no
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import session_of, table
+from tessera.llm._shared import materialize, session_of, table
 
 # The rules (verdict, host, path).
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
@@ -113,11 +113,19 @@ def segmenter(counts: dict[str, int]) -> Segmenter:
 
 
 def word_counts(texts: DataFrame, size: int = LEXICON) -> dict[str, int]:
-    """The ``size`` most frequent words of ``texts`` (html), tags left out. Ties go by word."""
+    """The most frequent words of ``texts`` (html), tags left out: all that are as frequent
+    as some least count, the lowest at which they are no more than ``size``. How many words
+    have a count tells that least count, so only the chosen words reach the driver."""
     visible = F.lower(F.regexp_replace(F.coalesce("html", F.lit("")), r"(?s)<[^>]*>", " "))
     words = texts.select(F.explode(F.split(visible, "[^a-z]+")).alias("word")).where(F.length("word").between(1, LONGEST))
-    top = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(size)
-    return {r["word"]: r["count"] for r in top.collect()}
+    counts = materialize(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "word-counts")
+    least, chosen = 1, 0
+    for r in sorted(counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).collect(), key=lambda r: -r["n"]):
+        chosen += r["words"]
+        if chosen > size:
+            least = r["n"] + 1
+            break
+    return {r["word"]: r["n"] for r in counts.where(F.col("n") >= least).collect()}
 
 
 def tokens(model: Segmenter, host: str, path: str) -> list[str]:

@@ -28,6 +28,7 @@ import base64
 import hashlib
 import re
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,8 +38,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm._shared import partitions, session_of, table
 
-#: Cells of a sketch, and by how much a retry is larger.
-CELLS, GROWTH = 24, 4
+#: Cells of a sketch at first.
+CELLS = 24
 #: Words beyond which a paragraph is cut by content.
 LONG = 24
 _PARTS = 3
@@ -61,7 +62,7 @@ def paragraphs(text: str) -> list[str]:
             continue
         begin, words = 0, part.split(" ")
         for i, word in enumerate(words, 1):
-            if i - begin >= 4 and int.from_bytes(hashlib.blake2b(word.encode(), digest_size=1).digest()) < 32:
+            if i - begin >= 4 and not zlib.crc32(word.encode()) & 7:
                 out.append(" ".join(words[begin:i]))
                 begin = i
         if begin < len(words):
@@ -77,25 +78,15 @@ class Sketch:
     """counts, sums and check sums of ``cells`` cells."""
 
     def __init__(self, cells: int, keys=()):
-        self.part = -(-cells // _PARTS)
-        self.counts, self.sums, self.checks = ([0] * (self.part * _PARTS) for _ in range(3))
+        self.part = n = -(-cells // _PARTS)
+        self.counts, self.sums, self.checks = counts, sums, checks = [0] * (n * _PARTS), [0] * (n * _PARTS), [0] * (n * _PARTS)
+        self.size = len(keys)
         for key in keys:
-            self.put(key, 1)
-
-    def _places(self, key: int) -> tuple[int, int, int]:
-        n = self.part
-        return key % n, n + (key >> 21) % n, 2 * n + (key >> 42) % n
-
-    @staticmethod
-    def check(key: int) -> int:
-        return (key * _CHECK >> 32) & 0xFFFFFFFF
-
-    def put(self, key: int, sign: int) -> None:
-        check = self.check(key)
-        for i in self._places(key):
-            self.counts[i] += sign
-            self.sums[i] ^= key
-            self.checks[i] ^= check
+            check = (key * _CHECK >> 32) & 0xFFFFFFFF
+            for i in (key % n, n + (key >> 21) % n, 2 * n + (key >> 42) % n):
+                counts[i] += 1
+                sums[i] ^= key
+                checks[i] ^= check
 
     def minus(self, other: Sketch) -> Sketch:
         out = Sketch(self.part * _PARTS)
@@ -107,17 +98,28 @@ class Sketch:
     def peel(self) -> tuple[set[int], set[int]] | None:
         """The digests that only the first and only the second version have; None if
         peeling gets stuck. Uses the sketch up."""
-        only: dict[int, set[int]] = {1: set(), -1: set()}
-        waiting = [i for i, c in enumerate(self.counts) if c in (1, -1)]
+        n, counts, sums, checks = self.part, self.counts, self.sums, self.checks
+        first, second = set(), set()
+        waiting = [i for i, c in enumerate(counts) if c == 1 or c == -1]
         while waiting:
             i = waiting.pop()
-            sign, key = self.counts[i], self.sums[i]
-            if sign not in (1, -1) or self.checks[i] != self.check(key) or i not in self._places(key):
+            sign, key = counts[i], sums[i]
+            if sign != 1 and sign != -1:
+                continue
+            check = (key * _CHECK >> 32) & 0xFFFFFFFF
+            if checks[i] != check:
+                continue
+            places = (key % n, n + (key >> 21) % n, 2 * n + (key >> 42) % n)
+            if i not in places:
                 continue
-            only[sign].add(key)
-            self.put(key, -sign)
-            waiting += [j for j in self._places(key) if self.counts[j] in (1, -1)]
-        return None if any(self.counts) or any(self.sums) or any(self.checks) else (only[1], only[-1])
+            (first if sign == 1 else second).add(key)
+            for j in places:
+                counts[j] -= sign
+                sums[j] ^= key
+                checks[j] ^= check
+                if counts[j] == 1 or counts[j] == -1:
+                    waiting.append(j)
+        return None if any(counts) or any(sums) or any(checks) else (first, second)
 
     def to_text(self) -> str:
         return base64.b64encode(b"".join(map(_CELL.pack, ((c + 0x8000) % 0x10000 - 0x8000 for c in self.counts), self.sums, self.checks))).decode()
@@ -127,7 +129,8 @@ def difference(a: frozenset[int], b: frozenset[int], of_a: Sketch | None = None,
     """What only a and only b have, by sketches alone, which grow until peeling succeeds."""
     of_a, of_b = of_a or Sketch(CELLS, a), of_b or Sketch(CELLS, b)
     while (found := of_a.minus(of_b).peel()) is None:
-        cells = of_a.part * _PARTS * GROWTH
+        # All that the two hold might differ: with cells for that, one retry is enough as a rule.
+        cells = max(of_a.part * _PARTS * 2, 16 + (of_a.size + of_b.size) * 3 // 2)
         of_a, of_b = Sketch(cells, a), Sketch(cells, b)
     return found
 

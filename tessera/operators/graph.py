@@ -87,6 +87,7 @@ def transitive_callers(edges: DataFrame, targets: DataFrame, max_depth: int = MA
     """
     steps = _resolved_calls(edges).groupBy("dst", "src").agg(F.min_by(F.struct("edge_seq", "lineno"), "edge_seq").alias("e")).select("dst", F.col("src").alias("caller"), "e.edge_seq", "e.lineno")
     spark = edges.sparkSession
+    steps = _cut(spark, steps)  # every level joins it
     found = targets.select("target", F.col("target").alias("caller"), F.lit(0).alias("depth"), F.lit(None).cast("int").alias("lineno"), F.lit(0).cast("long").alias("position")).distinct()
     frontier, levels = found, [found]
     for depth in range(1, max_depth + 1):

@@ -45,10 +45,10 @@ def build_index(docs: DataFrame, persist: bool = True) -> LexicalIndex:
     # A document without tokens has one row, without a term, and counts.
     per_doc = counted.groupBy("doc_seq").agg(F.first("dl").alias("dl"))
     corpus = per_doc.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    return LexicalIndex(postings, _with_idf(postings, corpus), corpus)
+    return LexicalIndex(postings, with_idf(postings, corpus), corpus)
 
 
-def _with_idf(postings: DataFrame, corpus: DataFrame) -> DataFrame:
+def with_idf(postings: DataFrame, corpus: DataFrame) -> DataFrame:
     """Inverse document frequency; a negative one becomes EPSILON times the mean of all."""
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     raw = df.crossJoin(F.broadcast(corpus.select("n"))).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))

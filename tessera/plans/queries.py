@@ -330,13 +330,13 @@ r AS (
   SELECT resolved_target AS g, resolved_target AS node, 0 AS depth FROM res WHERE resolved_target IS NOT NULL
   UNION SELECT g, src, depth + 1 FROM r JOIN step ON dst = node WHERE depth < 5),
 direct AS (SELECT resolved_target AS g, src FROM res JOIN step ON dst = resolved_target),
-only AS (SELECT DISTINCT g, node FROM r WHERE node <> g AND NOT EXISTS (SELECT 1 FROM direct WHERE direct.g = r.g AND direct.src = r.node)),
+beyond AS (SELECT DISTINCT g, node FROM r WHERE node <> g AND NOT EXISTS (SELECT 1 FROM direct WHERE direct.g = r.g AND direct.src = r.node)),
 tests AS (
   SELECT resolved_target AS g, qualname, chunk_seq FROM chunks, res
   WHERE (file_path LIKE 'tests/%' OR starts_with(parse_filename(file_path), 'test_')) AND contains(text, list_last(string_split(resolved_target, '.'))))
 SELECT target, resolved_target, error,
        CASE WHEN error IS NULL THEN coalesce((SELECT string_agg(src, ',' ORDER BY src) FROM direct WHERE g = resolved_target), '') END AS direct_callers,
-       CASE WHEN error IS NULL THEN coalesce((SELECT string_agg(node, ',' ORDER BY node) FROM only WHERE g = resolved_target), '') END AS transitive_callers,
+       CASE WHEN error IS NULL THEN coalesce((SELECT string_agg(node, ',' ORDER BY node) FROM beyond WHERE g = resolved_target), '') END AS transitive_callers,
        CASE WHEN error IS NULL THEN coalesce((SELECT p_brand FROM part WHERE 'p' || p_partkey = resolved_target), regexp_extract(resolved_target, '^(.*)\\.[^.]*$', 1)) END AS target_module,
        CASE WHEN error IS NULL THEN '' END AS dependent_modules,
        CASE WHEN error IS NULL THEN coalesce((SELECT string_agg(qualname, ',' ORDER BY chunk_seq) FROM tests WHERE g = resolved_target), '') END AS related_tests

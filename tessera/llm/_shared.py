@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import ctypes.util
+import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,3 +79,33 @@ def word_count(text: Column) -> Column:
     return F.when(
         text.isNull() | (F.length(trimmed) == 0), F.lit(0).cast("long")
     ).otherwise(F.size(F.split(trimmed, r"[\x20\x09-\x0D]+", -1)).cast("long"))
+
+
+#: Bytes of an Arrow batch: what a Python worker gets of (possibly very long) texts at once.
+BATCH_BYTES = 8 << 20
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def release_memory() -> None:
+    """Gives freed memory back: a worker that is used again would otherwise keep the most
+    that any task before needed."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if libc := ctypes.util.find_library("c"):
+        trim = getattr(ctypes.CDLL(libc), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+
+def map_batches(df: DataFrame, run: Callable[[Batches], Batches], schema) -> DataFrame:
+    """``df.mapInArrow`` with batches bounded in bytes, leaving no memory behind."""
+    spark, key = session_of(df), "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+    def lean(batches: Batches) -> Batches:
+        yield from run(batches)
+        release_memory()
+
+    return df.mapInArrow(lean, schema)

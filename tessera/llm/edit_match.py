@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import table
+from tessera.llm._shared import map_batches, table
 
 #: Edits allowed in an item, as a share of its characters.
 ERROR_RATE = 0.08
@@ -165,7 +165,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, rate: float = ERRO
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = None
     for block in _blocks(benchmark, block_chars):
-        one = texts.mapInArrow(_find(block, rate, min_chars), _MATCHES)
+        one = map_batches(texts, _find(block, rate, min_chars), _MATCHES)
         found = one if found is None else found.unionAll(one)
     return found if found is not None else texts.sparkSession.createDataFrame([], _MATCHES)
 
@@ -184,7 +184,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RAT
     """The documents without a match, in their own columns: one filter for each block."""
     out = docs
     for block in _blocks(benchmark, block_chars):
-        out = out.mapInArrow(_clean([block], rate, min_chars), docs.schema)
+        out = map_batches(out, _clean([block], rate, min_chars), docs.schema)
     return out
 
 

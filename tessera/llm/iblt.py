@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import partitions, session_of, table
+from tessera.llm._shared import map_batches, partitions, session_of, table
 
 #: Cells of a sketch at first.
 CELLS = 24
@@ -217,9 +217,9 @@ def compare_versions(docs: DataFrame) -> DataFrame:
     most = sorted((r["block"], r["id"]) for r in ids.mapInArrow(_greatest(bounds), "block int, id long").groupBy("block").agg(F.max("id").alias("id")).collect())
     after = {last: block for (_, last), (block, _) in zip([most[-1], *most[:-1]], most, strict=True)} if most else {}
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST_ID)).alias("id"), F.xxhash64("text").alias("tie"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    dealt = keyed.mapInArrow(_deal(bounds, after), _DEALT).repartition(partitions(session_of(docs)), "block")
+    dealt = map_batches(keyed, _deal(bounds, after), _DEALT).repartition(partitions(session_of(docs)), "block")
     ordered = dealt.sortWithinPartitions("block", "halo", F.col("id").desc(), "tie")
-    return ordered.select("block", "halo", "doc_id", "text").mapInArrow(_compare, _COMPARED)
+    return map_batches(ordered.select("block", "halo", "doc_id", "text"), _compare, _COMPARED)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

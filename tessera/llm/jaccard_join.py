@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm._components import components
-from tessera.llm._shared import materialize, table
+from tessera.llm._shared import map_batches, materialize, table
 from tessera.llm._words import mix, slices, windows
 
 SHINGLE = 5
@@ -153,18 +153,19 @@ def _survivors(sketch: np.ndarray, sizes: np.ndarray, i: int, others: np.ndarray
     return others
 
 
-def _pairs(side: np.ndarray, i: int) -> np.ndarray:
-    """The partners that a block pair gives its row i: later rows of the same block where
-    the blocks are one, rows of the other block where they are two."""
-    if side[0] == side[-1]:
-        return np.arange(i + 1, len(side))
+def _pairs(side: np.ndarray | None, n: int, i: int) -> np.ndarray:
+    """The partners that a block pair gives its row i of n: later rows where the two blocks
+    are one (side is None), rows of the other block where they are two."""
+    if side is None:
+        return np.arange(i + 1, n)
     return np.flatnonzero(side == 1) if side[i] == 0 else np.zeros(0, np.int64)
 
 
-def _load(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], pa.Table]:
+def _load(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, list[str], pa.Table]:
     rows = rows.sort_by([("side", "ascending"), ("class", "ascending")])
     sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint16).reshape(-1, HASHES)
-    return sketch, rows["n_shingles"].to_numpy(), rows["side"].to_numpy(), rows["class"].to_pylist(), rows
+    side = None if rows["lo"][0] == rows["hi"][0] else rows["side"].to_numpy()
+    return sketch, rows["n_shingles"].to_numpy(), side, rows["class"].to_pylist(), rows
 
 
 def _candidate_forest(threshold: float, tolerance: float):
@@ -174,7 +175,7 @@ def _candidate_forest(threshold: float, tolerance: float):
         sketch, sizes, side, names, _ = _load(rows)
         forest, a, b = _Forest(len(names)), [], []
         for i in range(len(names)):
-            for j in _survivors(sketch, sizes, i, _pairs(side, i), steps, threshold).tolist():
+            for j in _survivors(sketch, sizes, i, _pairs(side, len(names), i), steps, threshold).tolist():
                 if forest.join(i, j):
                     a.append(names[i]), b.append(names[j])
         return pa.table({"a": pa.array(a, pa.string()), "b": pa.array(b, pa.string())})
@@ -194,7 +195,7 @@ def _link_counts(threshold: float, tolerance: float):
         mark = np.zeros(int(number.max()) + 1 if len(number) else 0, np.int32)
         forest, links, a, b = _Forest(len(names)), np.zeros(len(names), np.int64), [], []
         for i in range(len(names)):
-            others = _survivors(sketch, sizes, i, _pairs(side, i), steps, threshold)
+            others = _survivors(sketch, sizes, i, _pairs(side, len(names), i), steps, threshold)
             if not len(others):
                 continue
             own = number[bounds[i] : bounds[i + 1]]
@@ -255,7 +256,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
     that a chain of links reaches), n_shingles, tie (a digest of the text), keep (is it the
     one of its group that a deduplication would keep?)."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
-    read = materialize(_same(keyed.select("doc_id", "tie", "text").mapInArrow(_sketches, _SKETCH)), "sketches")
+    read = materialize(_same(map_batches(keyed.select("doc_id", "tie", "text"), _sketches, _SKETCH)), "sketches")
     first = F.min(F.struct("doc_id", "tie")).alias("first")
     classes = materialize(
         read.where("n_shingles > 0").groupBy("class").agg(first, F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")),
@@ -270,7 +271,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
 
     joined = classes.select("class", "first", "n_shingles", "sketch").join(clusters, F.col("class") == F.col("node")).select("class", "first.doc_id", "first.tie", "n_shingles", "sketch", "component")
     chosen = keyed.join(joined.select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie")), "left_semi")
-    sets = chosen.dropDuplicates(["doc_id", "tie"]).select("doc_id", "tie", "text").mapInArrow(_sets, _SETS)
+    sets = map_batches(chosen.dropDuplicates(["doc_id", "tie"]).select("doc_id", "tie", "text"), _sets, _SETS)
     s, j = sets.alias("s"), joined.alias("j")
     whole = j.join(s, F.col("s.doc_id").eqNullSafe(F.col("j.doc_id")) & (F.col("s.tie") == F.col("j.tie"))).select("j.class", "component", "n_shingles", "sketch", "grams")
     dealt = _in_blocks(whole, "component", F.length("grams"))
@@ -298,9 +299,11 @@ def keep_one_of_each_group(docs: DataFrame, threshold: float = THRESHOLD, tolera
     """The documents of which each group keeps one, the least id, in the columns of
     ``docs``; of equal rows one stays. Documents without words are in no group and stay."""
     kept = jaccard_join(docs, threshold, tolerance).where("keep").select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"))
-    marked = docs.withColumn("_of", F.xxhash64("text")).join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_tie")), "left_semi")
-    twins = Window.partitionBy("doc_id", "_of").orderBy(F.lit(0))
-    return marked.withColumn("_twin", F.row_number().over(twins)).where("_twin = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    # Packed, so that no column of the documents meets one of these names.
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col("doc_id").cast("long").alias("_own"), F.xxhash64("text").alias("_of"))
+    chosen = packed.join(kept, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_tie")), "left_semi")
+    twins = Window.partitionBy("_own", "_of").orderBy(F.lit(0))
+    return chosen.withColumn("_twin", F.row_number().over(twins)).where("_twin = 1").select(*[F.col("_doc")[c].alias(c) for c in docs.columns])
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

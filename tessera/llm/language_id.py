@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import session_of, table
+from tessera.llm._shared import map_batches, session_of, table
 from tessera.llm._words import text_buffers
 
 #: Labelled texts of each language that the frequencies are taken from, about.
@@ -164,7 +164,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     for lang, n in sizes.items():
         part = F.when(F.col("lang") == lang, min(1.0, sample / n)).otherwise(part)
     chosen = labelled.where(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 20)) < part * (1 << 20))
-    counted = chosen.select("lang", "text").mapInArrow(_count, _COUNTS).groupBy("lang", "bin").agg(F.sum("n").alias("n"))
+    counted = map_batches(chosen.select("lang", "text"), _count, _COUNTS).groupBy("lang", "bin").agg(F.sum("n").alias("n"))
     langs = sorted(sizes)
     counts = np.zeros((len(langs), len(GRAMS) * BINS))
     found = counted.toArrow()
@@ -218,7 +218,7 @@ def _predict(shared, margin: float):
 def identify(docs: DataFrame, model: Model, margin: float = MARGIN) -> DataFrame:
     """doc_id, lang_pred, score, margin, ambiguous for each document of ``docs`` (doc_id, text)."""
     shared = session_of(docs).sparkContext.broadcast(model)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_predict(shared, margin), _PREDICTED)
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _predict(shared, margin), _PREDICTED)
 
 
 def _accept(shared, margin: float):
@@ -237,7 +237,7 @@ def _accept(shared, margin: float):
 def keep_identified(docs: DataFrame, model: Model, margin: float = MARGIN) -> DataFrame:
     """The documents that are neither ``und`` nor ambiguous, in their own columns."""
     shared = session_of(docs).sparkContext.broadcast(model)
-    return docs.mapInArrow(_accept(shared, margin), docs.schema)
+    return map_batches(docs, _accept(shared, margin), docs.schema)
 
 
 def held_out() -> Column:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import partitions, session_of, table
+from tessera.llm._shared import map_batches, partitions, session_of, table
 from tessera.llm._words import mix, sliding, slices, whole, windows
 
 WINDOW = 20
@@ -208,10 +208,10 @@ def parse_corpus(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) ->
     copies = _copies(docs)
     # Copies are not looked up, and what only they share does not make their first one look.
     alone = texts.join(copies.select("key"), "key", "left_anti")
-    asked = alone.select("key", "doc_id", "text").mapInArrow(_anchors(window, anchor), _ANCHORS)  # doc_id: the exchange stays the others' one
+    asked = map_batches(alone.select("key", "doc_id", "text"), _anchors(window, anchor), _ANCHORS)  # doc_id: the exchange stays the others' one
     shared = asked.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("route"))).where("place < 0 OR n > 1")
     places = shared.groupBy("key").agg(F.collect_set(F.when(F.col("place") < 0, -1 - F.col("place")).otherwise(F.col("place"))).alias("places"))
-    looked = texts.join(places, "key").select("key", F.coalesce("doc_id", F.lit(_FIRST_ID)).alias("id"), "text", "places").mapInArrow(_windows(window, anchor), _WINDOWS)
+    looked = map_batches(texts.join(places, "key").select("key", F.coalesce("doc_id", F.lit(_FIRST_ID)).alias("id"), "text", "places"), _windows(window, anchor), _WINDOWS)
     # Dealt out by the digest alone; the check digest tells apart what shares it.
     dealt = looked.repartition(partitions(session_of(docs)), "route").withColumn("check", F.shiftright("mark", 32)).withColumn("start", F.col("mark").bitwiseAND(0x7FFFFFFF).cast("int"))
     same = Window.partitionBy("route", "check")
@@ -223,7 +223,8 @@ def parse_corpus(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) ->
         .groupBy("key")
         .agg(F.collect_list(F.struct("start", "ref.ref_id", "ref.ref_start")).alias("repeats"))
     )
-    return texts.join(repeats, "key", "left").join(copies, "key", "left").select("doc_id", "text", "repeats", "copy_of").mapInArrow(_factored(window), _FACTORS)
+    parts = texts.join(repeats, "key", "left").join(copies, "key", "left").select("doc_id", "text", "repeats", "copy_of")
+    return map_batches(parts, _factored(window), _FACTORS)
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import wavelet
-from tessera.llm._shared import materialize, partitions, session_of, shared_path, table
+from tessera.llm._shared import map_batches, materialize, partitions, session_of, shared_path, table
 
 #: Tokens after which a shard is closed.
 SHARD_TOKENS = 1 << 24
@@ -38,7 +38,7 @@ REMEMBERED = 500_000
 #: Words that are encoded as one text.
 _GROUP = 256
 #: Bytes of text whose words are looked up together.
-_TEXT_BYTES = 16 << 20
+_TEXT_BYTES = 8 << 20
 #: Words whose ids are gathered in one step.
 _STEP = 1 << 14
 
@@ -177,7 +177,7 @@ def write_shards(docs: DataFrame, vocabulary: str, end: int = 1, folder: str | N
     folder = folder or shared_path(spark, "token-shards")
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
     ordered = keyed.repartitionByRange(partitions(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    shards = materialize(ordered.mapInArrow(_write(folder, vocabulary, end, shard_tokens), _SHARDS), "shard-table")
+    shards = materialize(map_batches(ordered, _write(folder, vocabulary, end, shard_tokens), _SHARDS), "shard-table")
     # A row for each shard, not for each document: few enough for one task.
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return shards.withColumn("start", F.sum("n_tokens").over(before) - F.col("n_tokens")).withColumn("root", F.lit(folder))
@@ -201,7 +201,7 @@ def _read():
 def read_documents(shards: DataFrame) -> DataFrame:
     """Reads the files back: doc_id, start, n_tokens (end id included), ids_crc32."""
     n = partitions(session_of(shards))
-    return shards.select("shard", "path", "start", "root").repartition(n, "shard").mapInArrow(_read(), _DOCS)
+    return map_batches(shards.select("shard", "path", "start", "root").repartition(n, "shard"), _read(), _DOCS)
 
 
 def open_shard(path: str, root: str) -> wavelet.Shard:

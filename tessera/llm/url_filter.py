@@ -129,11 +129,12 @@ def word_counts(texts: DataFrame, size: int = LEXICON) -> dict[str, int]:
 
 
 def tokens(model: Segmenter, host: str, path: str) -> list[str]:
-    """Words of host and path, told apart; a number is one kind of word."""
+    """Distinct words of host and path, told apart; a number is one kind of word. Distinct:
+    a url that repeats one segment a thousand times must not outweigh all others."""
     out = [f"h:{w}" for w in model.host(host)]
     for t in _TOKENS.findall(path.lower()):
         out += ["p:0"] if t.isdigit() else [f"p:{w}" for w in model.host(t)]
-    return out
+    return list(dict.fromkeys(out))
 
 
 def _bin(token: str) -> int:

@@ -36,7 +36,7 @@ SCANNED = {
     "assign": (ASSIGN, 1),
     "access": (r"AKIA[A-Z0-9]{14,}", 0),
     "hex": (r"[0-9a-f]{16,}", 0),
-    "mixed": (r"[A-Za-z0-9+/_=-]{20,}", 0),
+    "mixed": (r"[A-Za-z0-9+/_-]{20,}={0,2}", 0),
 }
 #: A value that looks live has so many characters and so many different ones.
 LIVE_LENGTH, LIVE_VARIETY = 16, 8
@@ -142,7 +142,7 @@ p(kind, k, pattern, least) AS (VALUES
   ('assign', 1, '(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+', 12),
   ('access', 2, 'AKIA[A-Z0-9]+', 18),
   ('hex', 3, '[0-9a-f]+', 16),
-  ('mixed', 0, '[A-Za-z0-9+/_=-]{20,}', 20)),
+  ('mixed', 0, '[A-Za-z0-9+/_-]{20,}={0,2}', 20)),
 m AS (
   SELECT r, doc_id, repo, owner, kind, k, least, regexp_extract_all(text, pattern) AS found, string_split_regex(text, pattern) AS pieces
   FROM d, p),

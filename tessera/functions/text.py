@@ -19,13 +19,17 @@ def tokenize(text: Column) -> Column:
 
     ``getUser id`` -> [getuser, get, user, id]. A null text has no tokens.
     """
-    words = F.filter(F.split(F.coalesce(text, F.lit("")), SEPARATORS), lambda w: w != "")
+    text = F.coalesce(text, F.lit(""))
+    words = F.filter(F.split(text, SEPARATORS), lambda w: w != "")
 
     def parts(word: Column) -> Column:
         low = F.lower(word)
         return F.when(low == word, F.array(low)).otherwise(F.concat(F.array(low), F.filter(F.transform(F.split(word, CAMEL), F.lower), lambda p: p != low)))
 
-    return F.flatten(F.transform(words, parts))
+    # Most prose has no camel case. Then the words are those of the lower-cased text, and no
+    # function has to run for each of them. (Two letters outside ASCII have ASCII lower cases.)
+    plain = F.array_remove(F.split(F.lower(text), SEPARATORS), "")
+    return F.when(text.rlike("[a-z0-9][A-Z]|[\u212a\u0130]"), F.flatten(F.transform(words, parts))).otherwise(plain)
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -35,10 +35,14 @@ def build_nodes(modules: DataFrame, definitions: DataFrame) -> DataFrame:
     return of_modules.unionByName(of_defs).groupBy("qualname").agg(last("kind"), last("module", F.col("defined")), last("class_name", F.col("defined")))
 
 
+def node_names(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """qualname of every node, as often as something names it: the defined ones, and the
+    ends of edges (unresolved callees, external modules) that no definition stands behind."""
+    return nodes.select("qualname").unionAll(edges.select("src")).unionAll(edges.select("dst"))
+
+
 def node_universe(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """qualname of every node: the defined ones, and the ends of edges (unresolved callees,
-    external modules) that no definition stands behind."""
-    return nodes.select("qualname").unionAll(edges.select("src")).unionAll(edges.select("dst")).distinct()
+    return node_names(nodes, edges).distinct()
 
 
 def _resolved_calls(edges: DataFrame) -> DataFrame:
@@ -85,7 +89,7 @@ def transitive_callers(edges: DataFrame, targets: DataFrame, max_depth: int = MA
     Parallel call sites of one caller and callee are first reduced to the earliest, so a
     level costs one join and one aggregation over what the level before found.
     """
-    steps = _resolved_calls(edges).groupBy("dst", "src").agg(F.min_by(F.struct("edge_seq", "lineno"), "edge_seq").alias("e")).select("dst", F.col("src").alias("caller"), "e.edge_seq", "e.lineno")
+    steps = _resolved_calls(edges).groupBy("dst", F.col("src").alias("caller")).agg(F.min("edge_seq").alias("edge_seq"), F.min_by("lineno", "edge_seq").alias("lineno"))
     spark = edges.sparkSession
     steps = _cut(spark, steps)  # every level joins it
     found = targets.select("target", F.col("target").alias("caller"), F.lit(0).alias("depth"), F.lit(None).cast("int").alias("lineno"), F.lit(0).cast("long").alias("position")).distinct()

@@ -27,7 +27,8 @@ def impact_scores(ws: Workspace, questions: DataFrame) -> DataFrame:
     """id, resolved, callers, tests: predicted against expected sets. A target resolves only
     if it is exactly a chunk's or a graph node's name."""
     targets = questions.select("target").distinct()
-    names = ws.chunks.select("qualname").unionAll(graph.node_universe(ws.nodes, ws.edges)).distinct()
+    every = ws.chunks.select("qualname").unionAll(graph.node_names(ws.nodes, ws.edges))
+    names = every.join(targets, F.col("qualname") == F.col("target")).select("qualname").distinct()
     callers = graph.direct_callers(ws.edges, targets)
     tests = tools.find_tests(ws.chunks, targets).groupBy("target").agg(F.collect_set("qualname").alias("tests"))
     known = questions.join(names.select(F.col("qualname").alias("target"), F.lit(True).alias("known")), "target", "left")

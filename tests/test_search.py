@@ -22,7 +22,7 @@ def tokens(text):
 
 
 def test_tokenize(spark):
-    texts = ["get_user", "parseHTTPResponse2Go", "", None, "été Ab1C x", "  __init__  "]
+    texts = ["get_user", "parseHTTPResponse2Go", "", None, "été Ab1C x", "  __init__  ", "The K\u212aa \u0130b", "Plain Text, HERE."]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(T.tokenize(F.col("t")).alias("k")).collect()
     assert [r.k for r in got] == [tokens(t or "") for t in texts]
     assert got[0].k == ["get", "user"]

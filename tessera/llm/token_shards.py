@@ -57,7 +57,7 @@ class WordEncoder:
         self.dtype = np.uint16 if max(vocab.values()) < 1 << 16 else np.uint32
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
-        self.known: dict[str, int] = {}  # a word's number
+        self.known = pa.array([], pa.large_string())  # a word's place is its number
         self.begin = np.zeros(1, np.int32)  # where the ids of each number begin in flat
         self.flat = np.zeros(0, self.dtype)
 
@@ -90,17 +90,20 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by ``end``, and the number of ids of each text."""
-        lists = pc.ascii_split_whitespace(texts.fill_null(""))
+        lists = pc.ascii_split_whitespace(texts.fill_null("").cast(pa.large_string()))
         offsets = lists.offsets.to_numpy()
         coded = lists.values.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        words, ids, sizes = self._words([w for w in distinct if w not in self.known])
+        distinct = coded.dictionary
+        number = pc.index_in(distinct, value_set=self.known)
+        new = number.is_null()
+        words, ids, sizes = self._words(distinct.filter(new).to_pylist())
+        learned = pa.array(words, pa.large_string())
         flat, begin = np.concatenate([self.flat, ids]), np.concatenate([self.begin, self.begin[-1] + np.cumsum(sizes, dtype=np.int32)])
-        number = dict(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
-        known = self.known.get
-        at = np.fromiter((k if (k := known(w)) is not None else number[w] for w in distinct), np.int32, len(distinct))[coded.indices.to_numpy()]
+        number = number.fill_null(0).to_numpy().copy()
+        number[new.to_numpy(zero_copy_only=False)] = pc.index_in(distinct.filter(new), value_set=learned).to_numpy() + len(self.known)
+        at = number[coded.indices.to_numpy()]
         if room := max(0, min(len(words), REMEMBERED - len(self.known))):
-            self.known.update(zip(words[:room], range(len(self.known), len(self.known) + room), strict=True))
+            self.known = pa.concat_arrays([self.known, learned[:room]])
             self.begin = begin[: len(self.known) + 1].copy()
             self.flat = flat[: self.begin[-1]].copy()
         first, size = begin[at], begin[at + 1] - begin[at]

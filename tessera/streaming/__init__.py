@@ -1,0 +1 @@
+"""No streaming operator: an index is rebuilt from its files, and nothing asks for more."""

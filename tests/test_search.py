@@ -115,3 +115,18 @@ def test_command_line(tmp_path, capsys):
     assert "Target: svc.load_user" in capsys.readouterr().out
     assert cli.main(["impact", "nope", "--repo", str(tmp_path)]) == 1
     assert cli.main(["index", str(tmp_path / "missing")]) == 1
+
+
+def test_chunks_as_json(spark, tmp_path):
+    from tessera.operators import structure
+    from tessera.sources.chunkfiles import read_chunks, write_chunks
+
+    files = files_of_table(spark.createDataFrame(list(FILES.items()), "rel_path string, content string"))
+    chunks = structure.chunks(structure.analyze(files).orderBy("file_seq")).cache()
+    write_chunks(chunks, f"file://{tmp_path}/chunks")
+    back = read_chunks(spark, f"file://{tmp_path}/chunks")
+    assert back.columns == chunks.columns
+    assert sorted(map(repr, back.drop("chunk_seq").collect())) == sorted(map(repr, chunks.drop("chunk_seq").collect()))
+    (tmp_path / "one.json").write_text('[{"file_path": "a.py", "qualname": "a.f", "kind": "function", "start_line": 1, "end_line": 2, "text": "x"}]')
+    row = read_chunks(spark, f"file://{tmp_path}/one.json").first()
+    assert row.chunk_id == "a.py::a.f" and row.docstring is None

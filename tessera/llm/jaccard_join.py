@@ -51,7 +51,7 @@ HASHES = BANDS * ROWS
 STEP = 32
 TOLERANCE = 1e-6
 #: Classes, and bytes of sets, of one block.
-BLOCK_CLASSES, BLOCK_BYTES = 2048, 24 << 20
+BLOCK_CLASSES, BLOCK_BYTES = 2048, 12 << 20
 
 _SKETCH = "doc_id long, tie long, one long, two long, n_shingles int, sketch binary, bands array<long>"
 _SETS = "doc_id long, tie long, grams binary"
@@ -225,15 +225,19 @@ def _link_counts(threshold: float, tolerance: float):
     return run
 
 
-def _in_blocks(members: DataFrame, group: str, weight: Column) -> DataFrame:
-    """``members`` (group, class, ...) dealt out for pair work: columns lo, hi (the block
-    pair) and side (0 for a member of lo, 1 of hi). A group of one block stays one task's;
-    of k blocks, each member goes to k block pairs."""
-    every = Window.partitionBy(group)
+def _sizes(members: DataFrame, group: str, weight: Column) -> DataFrame:
+    """group, _n, _w: rows and summed weight of each group that has more than one row."""
+    return members.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), F.sum(weight).alias("_w")).where("_n > 1")
+
+
+def _in_blocks(members: DataFrame, sizes: DataFrame, group: str) -> DataFrame:
+    """``members`` (group, class, ...) of the groups in ``sizes``, dealt out for pair work:
+    columns lo, hi (the block pair) and side (0 for a member of lo, 1 of hi). A group of one
+    block stays one task's; of k blocks, each member goes to k block pairs. Members learn
+    their group's size by a join, which Spark splits where one group is large; no group is
+    ever gathered whole."""
     counted = (
-        members.withColumn("_n", F.count(F.lit(1)).over(every))
-        .withColumn("_w", F.sum(weight).over(every))
-        .where("_n > 1")
+        members.join(sizes, group)
         .withColumn("_k", F.ceil(F.greatest(F.col("_n") / BLOCK_CLASSES, F.col("_w") / BLOCK_BYTES)).cast("int"))
         .withColumn("_block", F.pmod(F.xxhash64("class"), F.col("_k")).cast("int"))
     )
@@ -263,9 +267,8 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
         "classes",
     )
     meet = classes.select("class", F.explode("bands").alias("bucket"))
-    met = meet.withColumn("_m", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).where("_m > 1").select("class", "bucket")
     sketched = classes.select("class", "n_shingles", "sketch")
-    blocks = _in_blocks(met, "bucket", F.lit(0)).join(sketched, "class")
+    blocks = _in_blocks(meet, _sizes(meet, "bucket", F.lit(0)), "bucket").join(sketched, "class")
     edges = blocks.groupBy("bucket", "lo", "hi").applyInArrow(_candidate_forest(threshold, tolerance), "a string, b string")
     clusters = components(edges)
 
@@ -274,7 +277,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
     sets = map_batches(chosen.dropDuplicates(["doc_id", "tie"]).select("doc_id", "tie", "text"), _sets, _SETS)
     s, j = sets.alias("s"), joined.alias("j")
     whole = j.join(s, F.col("s.doc_id").eqNullSafe(F.col("j.doc_id")) & (F.col("s.tie") == F.col("j.tie"))).select("j.class", "component", "n_shingles", "sketch", "grams")
-    dealt = _in_blocks(whole, "component", F.length("grams"))
+    dealt = _in_blocks(whole, _sizes(joined, "component", F.col("n_shingles") * 8), "component")
     found = materialize(dealt.groupBy("component", "lo", "hi").applyInArrow(_link_counts(threshold, tolerance), "class string, links long, a string, b string"), "links")
     links = found.where("class IS NOT NULL").groupBy("class").agg(F.sum("links").alias("n_links"))
     groups = components(found.where("a IS NOT NULL").select("a", "b"))

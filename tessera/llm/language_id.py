@@ -44,7 +44,7 @@ EXHAUSTIVE = 7
 UNKNOWN = "und"
 #: Loss by which the second codeword must be farther for a text not to be ambiguous.
 MARGIN = 0.5
-_SLICE = 1 << 20
+_SLICE = 1 << 19
 
 _COUNTS = "lang string, bin int, n long"
 _PREDICTED = "doc_id long, lang_pred string, score double, margin double, ambiguous boolean"

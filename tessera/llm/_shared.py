@@ -45,10 +45,16 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again: a cut in the
-    lineage that outlives any executor."""
+    lineage that outlives any executor. The write's own shuffle files go when it ends; nothing
+    reads them after the cut."""
     spark = session_of(df)
-    path = shared_path(spark, name)
-    df.write.parquet(path)
+    path, key = shared_path(spark, name), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

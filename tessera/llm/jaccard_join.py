@@ -230,8 +230,8 @@ def _sizes(members: DataFrame, group: str, weight: Column) -> DataFrame:
     return members.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), F.sum(weight).alias("_w")).where("_n > 1")
 
 
-def _in_blocks(members: DataFrame, sizes: DataFrame, group: str) -> DataFrame:
-    """``members`` (group, class, ...) of the groups in ``sizes``, dealt out for pair work:
+def _in_blocks(members: DataFrame, sizes: DataFrame, group: str, name: str = "class") -> DataFrame:
+    """``members`` (group, name, ...) of the groups in ``sizes``, dealt out for pair work:
     columns lo, hi (the block pair) and side (0 for a member of lo, 1 of hi). A group of one
     block stays one task's; of k blocks, each member goes to k block pairs. Members learn
     their group's size by a join, which Spark splits where one group is large; no group is
@@ -239,7 +239,7 @@ def _in_blocks(members: DataFrame, sizes: DataFrame, group: str) -> DataFrame:
     counted = (
         members.join(sizes, group)
         .withColumn("_k", F.ceil(F.greatest(F.col("_n") / BLOCK_CLASSES, F.col("_w") / BLOCK_BYTES)).cast("int"))
-        .withColumn("_block", F.pmod(F.xxhash64("class"), F.col("_k")).cast("int"))
+        .withColumn("_block", F.pmod(F.xxhash64(name), F.col("_k")).cast("int"))
     )
     return (
         counted.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
@@ -250,6 +250,11 @@ def _in_blocks(members: DataFrame, sizes: DataFrame, group: str) -> DataFrame:
     )
 
 
+def _known(doc_id: Column) -> Column:
+    """An id that joins: null as the least number."""
+    return F.coalesce(doc_id.cast("long"), F.lit(-(1 << 63)))
+
+
 def _same(df: DataFrame) -> DataFrame:
     return df.withColumn("class", F.concat_ws(":", F.hex("one"), F.hex("two")))
 
@@ -263,20 +268,23 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
     read = materialize(_same(map_batches(keyed.select("doc_id", "tie", "text"), _sketches, _SKETCH)), "sketches")
     first = F.min(F.struct("doc_id", "tie")).alias("first")
     classes = materialize(
-        read.where("n_shingles > 0").groupBy("class").agg(first, F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")),
+        read.where("n_shingles > 0").groupBy("class").agg(first, F.first("one").alias("one"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")),
         "classes",
     )
-    meet = classes.select("class", F.explode("bands").alias("bucket"))
-    sketched = classes.select("class", "n_shingles", "sketch")
-    blocks = _in_blocks(meet, _sizes(meet, "bucket", F.lit(0)), "bucket").join(sketched, "class")
+    # Half a class's digest stands for it in the buckets: two classes that share it both come along.
+    meet = classes.select("one", F.explode("bands").alias("bucket"))
+    sketched = classes.select("one", "class", "n_shingles", "sketch")
+    blocks = _in_blocks(meet, _sizes(meet, "bucket", F.lit(0)), "bucket", "one").join(sketched, "one")
     edges = blocks.groupBy("bucket", "lo", "hi").applyInArrow(_candidate_forest(threshold, tolerance), "a string, b string")
     clusters = components(edges)
 
     joined = classes.select("class", "first", "n_shingles", "sketch").join(clusters, F.col("class") == F.col("node")).select("class", "first.doc_id", "first.tie", "n_shingles", "sketch", "component")
-    chosen = keyed.join(joined.select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie")), "left_semi")
-    sets = map_batches(chosen.dropDuplicates(["doc_id", "tie"]).select("doc_id", "tie", "text"), _sets, _SETS)
-    s, j = sets.alias("s"), joined.alias("j")
-    whole = j.join(s, F.col("s.doc_id").eqNullSafe(F.col("j.doc_id")) & (F.col("s.tie") == F.col("j.tie"))).select("j.class", "component", "n_shingles", "sketch", "grams")
+    wanted = joined.select(_known(F.col("doc_id")).alias("_id"), F.col("tie").alias("_tie"))
+    texts = keyed.select(_known(F.col("doc_id")).alias("doc_id"), "tie", "text")
+    chosen = texts.join(wanted, (F.col("doc_id") == F.col("_id")) & (F.col("tie") == F.col("_tie")), "left_semi").dropDuplicates(["doc_id", "tie"])
+    sets = map_batches(chosen.select("doc_id", "tie", "text"), _sets, _SETS)
+    s, j = sets.alias("s"), joined.withColumn("doc_id", _known(F.col("doc_id"))).alias("j")
+    whole = j.join(s, (F.col("s.doc_id") == F.col("j.doc_id")) & (F.col("s.tie") == F.col("j.tie"))).select("j.class", "component", "n_shingles", "sketch", "grams")
     dealt = _in_blocks(whole, _sizes(joined, "component", F.col("n_shingles") * 8), "component")
     found = materialize(dealt.groupBy("component", "lo", "hi").applyInArrow(_link_counts(threshold, tolerance), "class string, links long, a string, b string"), "links")
     links = found.where("class IS NOT NULL").groupBy("class").agg(F.sum("links").alias("n_links"))
@@ -301,10 +309,11 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
 def keep_one_of_each_group(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """The documents of which each group keeps one, the least id, in the columns of
     ``docs``; of equal rows one stays. Documents without words are in no group and stay."""
-    kept = jaccard_join(docs, threshold, tolerance).where("keep").select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"))
-    # Packed, so that no column of the documents meets one of these names.
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col("doc_id").cast("long").alias("_own"), F.xxhash64("text").alias("_of"))
-    chosen = packed.join(kept, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_tie")), "left_semi")
+    kept = jaccard_join(docs, threshold, tolerance).where("keep").select(_known(F.col("doc_id")).alias("_id"), F.col("tie").alias("_tie"))
+    # Packed, so that no column of the documents meets one of these names. The join and the
+    # numbering of equal rows ask for the same dealing: texts are shuffled once.
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), _known(F.col("doc_id")).alias("_own"), F.xxhash64("text").alias("_of"))
+    chosen = packed.join(kept, (F.col("_own") == F.col("_id")) & (F.col("_of") == F.col("_tie")), "left_semi")
     twins = Window.partitionBy("_own", "_of").orderBy(F.lit(0))
     return chosen.withColumn("_twin", F.row_number().over(twins)).where("_twin = 1").select(*[F.col("_doc")[c].alias(c) for c in docs.columns])
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import drop_table, materialize
+from tessera.llm._shared import drop_table, materialize, partitions, session_of
+
+ROWS_OF_A_FILE = 200_000
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -18,13 +20,15 @@ def components(edges: DataFrame) -> DataFrame:
     many edges costs no more than its edges.
     """
     both = materialize(edges.select("a", "b").where("a <> b").distinct(), "edges")
+    # Tables of a round have files in proportion to the edges, not one for each partition.
+    files = min(partitions(session_of(edges)), 1 + both.count() // ROWS_OF_A_FILE)
     both = both.unionAll(both.select("b", "a"))
-    labels = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"), "labels")
+    labels = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node").coalesce(files), "labels")
     while True:
         near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
         hop = labels.join(near, F.col("node") == F.col("a")).select("node", "label", F.least("label", "near").alias("least"))
         of = labels.select(F.col("node").alias("through"), F.col("label").alias("jump"))
-        step = materialize(hop.join(of, F.col("least") == F.col("through"), "left").select("node", F.least("least", F.coalesce("jump", "least")).alias("new"), "label"), "labels")
+        step = materialize(hop.join(of, F.col("least") == F.col("through"), "left").select("node", F.least("least", F.coalesce("jump", "least")).alias("new"), "label").coalesce(files), "labels")
         changed = step.where("new <> label").limit(1).count()
         drop_table(labels)
         labels = step.select("node", F.col("new").alias("label"))

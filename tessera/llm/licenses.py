@@ -2,13 +2,16 @@
 
 Templates are licence notices. Their words, without common English function words, are
 the licence vocabulary. Over all documents the vocabulary's document frequencies give
-each word's IDF; a file's highest-IDF licence words are looked up in the template
-postings, a hit votes for (template, file position - template position), and a place
-with enough votes whose template's mandatory phrases stand in the file gives a label.
+each word's IDF. For each template whose mandatory phrases stand in a file, the file's
+licence words are looked up in the template's postings; a hit votes for (template, file
+position - template position). A place is a candidate if one of the template's
+highest-IDF words hits it, and gives a label if enough of all the template's words do.
+As many words count as highest-IDF as no place with enough votes can do without, so
+candidates lose nothing, and what else stands in a file takes no label away.
 
 Only built-in expressions. The text is read once; what leaves the scan is one small row
-for each document, in the shared folder. Only the vocabulary's IDF table (bounded by the
-vocabulary) is broadcast.
+for each document, in the shared folder. Only the templates' postings (bounded by the
+templates) are broadcast.
 
 Defined results: a null text has no words; a text without licence words has no label but
 base ones; ties in IDF go by word; repeated rows are each judged for themselves and each
@@ -117,38 +120,40 @@ def idf(scanned: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(rows)).select("word", F.log((F.col("n") + 1.0) / (F.col("df") + 1.0)).alias("idf"))
 
 
-def _template_columns(templates) -> tuple[Column, Column]:
-    """The postings as map<word, array<struct<t, at>>>, and the number of voting words of each template."""
-    votes = [[(w, i) for i, w in enumerate(text.split()) if w not in FUNCTION_WORDS] for _, text, _ in templates]
-    entries = []
-    for word in vocabulary(templates):
-        hits = [F.struct(F.lit(t).alias("t"), F.lit(i).alias("at")) for t, v in enumerate(votes) for w, i in v if w == word]
-        entries += [F.lit(word), F.array(*hits)]
-    return F.create_map(*entries), F.array(*[F.lit(len(v)) for v in votes])
+def _postings(scanned: DataFrame, templates, rare: int, share: float) -> DataFrame:
+    """t, word, spot, of, seeks for each voting word of each template: the votes that make a
+    full score, and whether the word is one of the template's highest-IDF words. A place
+    can miss ``size - least`` words at most, so one more than that are looked for; a word
+    that no document has comes first, as the rarest."""
+    rows = []
+    for t, (_, text, _) in enumerate(templates):
+        votes = [(w, i) for i, w in enumerate(text.split()) if w not in FUNCTION_WORDS]
+        of = min(len(votes), rare)
+        least = next((v for v in range(1, of + 1) if v / of >= share), of + 1)
+        rows += [F.struct(F.lit(t).alias("t"), F.lit(w).alias("word"), F.lit(i).alias("spot"), F.lit(of).alias("of"), F.lit(len(votes) - least + 1).alias("sought")) for w, i in votes]
+    entries = scanned.sparkSession.range(1).select(F.inline(F.array(*rows)))
+    rank = F.row_number().over(Window.partitionBy("t").orderBy(F.col("idf").desc_nulls_first(), "word", "spot"))
+    return entries.join(F.broadcast(idf(scanned)), "word", "left").select("t", "word", "spot", "of", (rank <= F.col("sought")).alias("seeks"))
 
 
 def find_licences(scanned: DataFrame, templates=TEMPLATES, rare: int = RARE, share: float = SHARE) -> DataFrame:
-    """row, label, score for each document and template place that holds: the ``rare``
-    highest-IDF licence words of the document vote, at least ``share`` of the template's
-    voting words (of ``rare`` if it has more) agree on a place, and the mandatory phrases stand."""
-    postings, sizes = _template_columns(templates)
+    """row, label, score for each document and template place that holds: the mandatory
+    phrases stand, one of the template's highest-IDF words is at its place, and at least
+    ``share`` of the template's voting words (of ``rare`` if it has more) agree on it."""
     phrases = key_phrases(templates)
-    needed = F.array(*[F.array(*[F.lit(phrases.index(p)) for p in keys]) for _, _, keys in templates])
-    words = scanned.where(F.size("licence") > 0).select("row", "keys", F.explode("licence").alias("x")).select("row", "keys", "x.word", "x.at")
-    # The rank is over a document's distinct words: places of one word share a rank.
-    ranked = words.join(F.broadcast(idf(scanned)), "word").withColumn("rank", F.dense_rank().over(Window.partitionBy("row").orderBy(F.col("idf").desc(), "word")))
+    stand = F.array(*[F.struct(F.lit(t).alias("t"), F.array(*[F.lit(phrases.index(p)) for p in keys]).alias("needed")) for t, (_, _, keys) in enumerate(templates)])
+    held = F.transform(F.filter(stand, lambda x: F.forall(x["needed"], lambda k: F.get(F.col("keys"), k))), lambda x: x["t"])
+    words = scanned.where(F.size("licence") > 0).select("row", "licence", F.explode(held).alias("t")).select("row", "t", F.explode("licence").alias("x")).select("row", "t", "x.word", "x.at")
     votes = (
-        ranked.where(F.col("rank") <= rare)
-        .select("row", "keys", "at", F.explode(F.element_at(postings, F.col("word"))).alias("p"))
-        .groupBy("row", F.col("p.t").alias("t"), (F.col("at") - F.col("p.at")).alias("offset"))
-        .agg(F.count(F.lit(1)).alias("votes"), F.first("keys").alias("keys"))
+        words.join(F.broadcast(_postings(scanned, templates, rare, share)), ["t", "word"])
+        .groupBy("row", "t", (F.col("at") - F.col("spot")).alias("offset"))
+        .agg(F.count(F.lit(1)).alias("votes"), F.first("of").alias("of"), F.bool_or("seeks").alias("candidate"))
     )
-    t = (F.col("t") + 1).cast("int")
-    of = F.least(F.element_at(sizes, t), F.lit(rare))
     return (
-        votes.withColumn("score", F.least(F.col("votes") / of, F.lit(1.0)))
-        .where((F.col("score") >= share) & F.forall(F.element_at(needed, t), lambda k: F.get(F.col("keys"), k)))
-        .groupBy("row", F.element_at(F.array(*[F.lit(label) for label, _, _ in templates]), t).alias("label"))
+        votes.where("candidate")
+        .withColumn("score", F.least(F.col("votes") / F.col("of"), F.lit(1.0)))
+        .where(F.col("score") >= share)
+        .groupBy("row", F.element_at(F.array(*[F.lit(label) for label, _, _ in templates]), (F.col("t") + 1).cast("int")).alias("label"))
         .agg(F.max("score").alias("score"))
     )
 

@@ -153,3 +153,17 @@ def test_licences(spark):
     assert labels[4] == labels[5] == labels[6] == labels[8] == set()
     assert all(0 < f.score <= 1 for r in rows for f in r.found)
     assert licenses.scan_licences(docs(spark, [])).count() == 0
+
+
+def test_every_notice_of_a_file_is_found(spark):
+    notice = {}
+    for label, text, _ in licenses.TEMPLATES:
+        notice[label] = text  # of mit the long one
+    pairs = [("mit", "bsd"), ("apache-2.0", "bsd"), ("mit", "apache-2.0"), ("mpl-2.0", "gpl-2.0", "unlicense"), tuple(notice)]
+    rare = " person source conditions following binary obtaining charge hereby subject terms" * 3
+    rows = [(i, " filler ".join(notice[k] for k in p), None) for i, p in enumerate(pairs)]
+    rows += [(50, "released under the mit license" + rare, None), (51, "person source binary hereby free of charge mit", None)]
+    got = {r.doc_id: {f.label: f.score for f in r.found} for r in licenses.scan_licences(docs(spark, rows)).collect()}
+    for i, p in enumerate(pairs):
+        assert set(p) <= set(got[i]) and all(got[i][k] == 1 for k in p)
+    assert set(got[50]) == {"mit"} and got[51] == {}

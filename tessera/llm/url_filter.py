@@ -8,9 +8,12 @@ url that has one of the ``SEEDS`` among its words counts as unwanted, every othe
 wanted; what else stands in such urls (a campaign's path, the rest of a host's name)
 gets its weight from them.
 
-The word model is the most frequent words of all pages' visible text, ``LEXICON`` of them
-at most; the naive Bayes model has hashed bins: both have a fixed size and are broadcast. Counts are
-taken over all pages. Pages themselves are never shuffled.
+The word model is all words of all pages' visible text. The most frequent, ``LEXICON`` of
+them at most, are broadcast. The others stay a table: the substrings of the distinct host
+and path labels are joined with it, each label is split again with what it holds of them,
+and where that changes its split, the split goes along with the urls that have the label.
+The naive Bayes model has hashed bins and is broadcast. Counts are taken over all pages.
+Pages' texts are never shuffled.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, fits no
 rule and is allowed; a url without words is allowed; hosts with other than letters are cut
@@ -22,8 +25,9 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
+from types import MappingProxyType
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +40,7 @@ from tessera.llm._shared import materialize, session_of, table
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 #: Words that make a url unwanted for training.
 SEEDS = frozenset("adult bet betting bitcoin buy casino cheap clickbait crack cialis escort forex free gambling keygen loan loans lottery pharma pharmacy pill pills poker porn prize replica sex slots spam torrent viagra warez win winner xxx".split())
-#: Words of the unigram model, and the longest word it looks for.
+#: Words of the unigram model that are broadcast, and the longest word it looks for.
 LEXICON, LONGEST = 50_000, 20
 #: Count that a seed word has in the unigram model at least.
 SEED_COUNT = 50
@@ -48,6 +52,8 @@ _LETTERS = re.compile(r"[a-z]+")
 _TOKENS = re.compile(r"[a-z]+|[0-9]+")
 
 _COUNTS = "bin int, unwanted boolean, n long"
+_OWN = "array<struct<label:string,words:array<string>>>"
+_SPLIT = "label string, words array<string>"
 _SCORED = "page_id long, url string, host string, path string, words string, score double"
 
 _AFTER = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -79,15 +85,18 @@ class Segmenter:
     total: float
     memory: dict[str, tuple[str, ...]] = field(default_factory=dict)
 
-    def _word(self, word: str) -> float:
+    def _word(self, word: str, more: Mapping[str, float] = MappingProxyType({})) -> float:
         found = self.log_p.get(word)
+        if found is None:
+            found = more.get(word)
         return found if found is not None else -math.log(self.total) - math.log(10) * len(word)
 
-    def label(self, letters: str) -> tuple[str, ...]:
-        """The most probable split; of equal ones the one whose last words are longest."""
+    def label(self, letters: str, more: Mapping[str, float] = MappingProxyType({})) -> tuple[str, ...]:
+        """The most probable split; of equal ones the one whose last words are longest.
+        ``more``: log probabilities of words beside the model's own."""
         best, cut = [0.0], [0]
         for j in range(1, len(letters) + 1):
-            found, at = max((best[i] + self._word(letters[i:j]), -i) for i in range(max(0, j - LONGEST), j))
+            found, at = max((best[i] + self._word(letters[i:j], more), -i) for i in range(max(0, j - LONGEST), j))
             best.append(found), cut.append(-at)
         out, j = [], len(letters)
         while j:
@@ -95,7 +104,10 @@ class Segmenter:
             j = cut[j]
         return tuple(reversed(out))
 
-    def host(self, host: str) -> tuple[str, ...]:
+    def host(self, host: str, own: Mapping[str, Sequence[str]] = MappingProxyType({})) -> tuple[str, ...]:
+        """The words of all labels; ``own``: splits of labels that have rarer words."""
+        if own:
+            return tuple(w for letters in _LETTERS.findall(host) for w in own.get(letters) or self.host(letters))
         found = self.memory.get(host)
         if found is None:
             if len(self.memory) >= _REMEMBERED:
@@ -104,36 +116,99 @@ class Segmenter:
         return found
 
 
-def segmenter(counts: dict[str, int]) -> Segmenter:
+def segmenter(counts: dict[str, int], others: int = 0) -> Segmenter:
+    """``others``: how often words that are not in ``counts`` stand in the texts."""
     counts = dict(counts)
     for seed in SEEDS:
         counts[seed] = max(counts.get(seed, 0), SEED_COUNT)
-    total = float(sum(counts.values()))
+    total = float(sum(counts.values()) + others)
     return Segmenter({w: math.log(n / total) for w, n in counts.items()}, total)
 
 
-def word_counts(texts: DataFrame, size: int = LEXICON) -> dict[str, int]:
-    """The most frequent words of ``texts`` (html), tags left out: all that are as frequent
-    as some least count, the lowest at which they are no more than ``size``. How many words
-    have a count tells that least count, so only the chosen words reach the driver."""
+def all_counts(texts: DataFrame) -> DataFrame:
+    """word, n: how often each word stands in ``texts`` (html), tags left out."""
     visible = F.lower(F.regexp_replace(F.coalesce("html", F.lit("")), r"(?s)<[^>]*>", " "))
     words = texts.select(F.explode(F.split(visible, "[^a-z]+")).alias("word")).where(F.length("word").between(1, LONGEST))
-    counts = materialize(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "word-counts")
-    least, chosen = 1, 0
+    return materialize(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "word-counts")
+
+
+def least_count(counts: DataFrame, size: int) -> int:
+    """The lowest count such that the words with at least that count are no more than
+    ``size``. How many words have a count tells it, so only those sums reach the driver."""
+    chosen = 0
     for r in sorted(counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).collect(), key=lambda r: -r["n"]):
         chosen += r["words"]
         if chosen > size:
-            least = r["n"] + 1
-            break
-    return {r["word"]: r["n"] for r in counts.where(F.col("n") >= least).collect()}
+            return r["n"] + 1
+    return 1
+
+
+def _collected(counts: DataFrame) -> dict[str, int]:
+    return {r["word"]: r["n"] for r in counts.collect()}
+
+
+def word_counts(texts: DataFrame, size: int = LEXICON) -> dict[str, int]:
+    """The most frequent words of ``texts``: all with the least count for ``size`` or more."""
+    counts = all_counts(texts)
+    return _collected(counts.where(F.col("n") >= least_count(counts, size)))
+
+
+def word_model(counts: DataFrame, size: int = LEXICON) -> tuple[Segmenter, DataFrame | None]:
+    """The most frequent words (and the seeds) as a segmenter that knows the total of all
+    words, and the table of the others; None if there are none."""
+    least = least_count(counts, size)
+    common = (F.col("n") >= least) | F.col("word").isin(*sorted(SEEDS))
+    others = counts.where(~common)
+    n = others.agg(F.sum("n")).first()[0] or 0
+    return segmenter(_collected(counts.where(common)), n), others if n else None
+
+
+def _labels(host: Column, path: Column) -> Column:
+    return F.array_remove(F.array_distinct(F.split(F.concat_ws("/", host, F.lower(path)), "[^a-z]+")), "")
+
+
+def _resplit(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            labels, splits = [], []
+            for label, found in zip(batch["label"].to_pylist(), batch["found"].to_pylist(), strict=True):
+                split = model.label(label, {x["word"]: math.log(x["n"] / model.total) for x in found})
+                if split != model.label(label):
+                    labels.append(label), splits.append(split)
+            yield pa.RecordBatch.from_arrays([pa.array(labels, pa.string()), pa.array(splits, pa.list_(pa.string()))], names=["label", "words"])
+
+    return run
+
+
+def rare_splits(parsed: DataFrame, others: DataFrame, shared) -> DataFrame:
+    """label, words for each distinct label of ``parsed`` (host, path) that the words of
+    ``others`` (word, n) split otherwise than the broadcast model alone. The substrings carry
+    a label's number, not the label, so they are linear in its length."""
+    distinct = parsed.select(F.explode(_labels(F.col("host"), F.col("path"))).alias("label")).distinct()
+    labels = materialize(distinct.select(F.monotonically_increasing_id().alias("id"), "label"), "url-labels")
+    starts = labels.select("id", F.explode(F.transform(F.sequence(F.lit(1), F.length("label")), lambda i: F.substr("label", i, F.lit(LONGEST)))).alias("ahead"))
+    parts = starts.select("id", F.explode(F.transform(F.sequence(F.lit(1), F.length("ahead")), lambda k: F.left("ahead", k))).alias("word"))
+    found = parts.join(others, "word").groupBy("id").agg(F.collect_set(F.struct("word", "n")).alias("found"))
+    return materialize(found.join(labels, "id").select("label", "found").mapInArrow(_resplit(shared), _SPLIT), "url-splits")
+
+
+def with_splits(parsed: DataFrame, splits: DataFrame | None) -> DataFrame:
+    """Adds ``own``: the splits of a url's labels, null for most."""
+    if splits is None or splits.isEmpty():
+        return parsed.withColumn("own", F.lit(None).cast(_OWN))
+    keyed = materialize(parsed.withColumn("row", F.monotonically_increasing_id()), "urls")
+    own = keyed.select("row", F.explode(_labels(F.col("host"), F.col("path"))).alias("label")).join(splits, "label").groupBy("row").agg(F.collect_list(F.struct("label", "words")).alias("own"))
+    return materialize(keyed.join(own, "row", "left").drop("row"), "urls-split")
 
 
-def tokens(model: Segmenter, host: str, path: str) -> list[str]:
+def tokens(model: Segmenter, host: str, path: str, own: list[dict] | None = None) -> list[str]:
     """Distinct words of host and path, told apart; a number is one kind of word. Distinct:
     a url that repeats one segment a thousand times must not outweigh all others."""
-    out = [f"h:{w}" for w in model.host(host)]
+    splits = {x["label"]: x["words"] for x in own or ()}
+    out = [f"h:{w}" for w in model.host(host, splits)]
     for t in _TOKENS.findall(path.lower()):
-        out += ["p:0"] if t.isdigit() else [f"p:{w}" for w in model.host(t)]
+        out += ["p:0"] if t.isdigit() else [f"p:{w}" for w in model.host(t, splits)]
     return list(dict.fromkeys(out))
 
 
@@ -150,8 +225,8 @@ def _count(shared):
         model, counts = shared.value, np.zeros((2, BINS), np.int64)
         pages = [0, 0]
         for batch in batches:
-            for host, path in zip(batch["host"].to_pylist(), batch["path"].to_pylist(), strict=True):
-                words = tokens(model, host, path)
+            for host, path, own in zip(batch["host"].to_pylist(), batch["path"].to_pylist(), batch["own"].to_pylist(), strict=True):
+                words = tokens(model, host, path, own)
                 side = int(_is_unwanted(words))
                 pages[side] += 1
                 for w in words:
@@ -182,9 +257,9 @@ def bayes(pages: np.ndarray, counts: np.ndarray) -> Bayes:
 
 
 def train_bayes(parsed: DataFrame, shared) -> Bayes:
-    """``parsed``: host, path. At most two rows for each bin reach the driver."""
+    """``parsed``: host, path, own. At most two rows for each bin reach the driver."""
     counts, pages = np.zeros((2, BINS)), np.zeros(2)
-    for r in parsed.select("host", "path").mapInArrow(_count(shared), _COUNTS).groupBy("bin", "unwanted").agg(F.sum("n").alias("n")).collect():
+    for r in parsed.select("host", "path", "own").mapInArrow(_count(shared), _COUNTS).groupBy("bin", "unwanted").agg(F.sum("n").alias("n")).collect():
         if r["bin"] < 0:
             pages[int(r["unwanted"])] = r["n"]
         else:
@@ -196,7 +271,7 @@ def _score(shared, shared_bayes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, nb = shared.value, shared_bayes.value
         for batch in batches:
-            words = [tokens(model, h, p) for h, p in zip(batch["host"].to_pylist(), batch["path"].to_pylist(), strict=True)]
+            words = [tokens(model, h, p, o) for h, p, o in zip(batch["host"].to_pylist(), batch["path"].to_pylist(), batch["own"].to_pylist(), strict=True)]
             score = [1 / (1 + math.exp(-max(-500.0, min(500.0, nb.score(w))))) for w in words]
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("page_id", "url", "host", "path")), pa.array([" ".join(w) for w in words], pa.string()), pa.array(score, pa.float64())], names=["page_id", "url", "host", "path", "words", "score"])
 
@@ -208,7 +283,9 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     segmented words), score (of being unwanted, 0 to 1), rule, verdict."""
     sc = session_of(pages).sparkContext
     parsed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    shared = sc.broadcast(segmenter(word_counts(pages)))
+    model, others = word_model(all_counts(pages))
+    shared = sc.broadcast(model)
+    parsed = with_splits(parsed, rare_splits(parsed, others, shared) if others is not None else None)
     nb = sc.broadcast(train_bayes(parsed, shared))
     scored = parsed.mapInArrow(_score(shared, nb), _SCORED)
     rule = longest_rule(F.col("host"), F.col("path"), rules)

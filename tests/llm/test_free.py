@@ -409,3 +409,21 @@ def test_counted_words_stop_at_a_count(spark):
     table = spark.createDataFrame([("<b>a a a</b> b b c c d",), (None,)], "html string")
     assert url_filter.word_counts(table, 10) == {"a": 3, "b": 2, "c": 2, "d": 1}
     assert url_filter.word_counts(table, 3) == {"a": 3, "b": 2, "c": 2} and url_filter.word_counts(table, 2) == {"a": 3}
+
+
+def test_rare_words_split_hosts_too(spark):
+    r = random.Random(8)
+    rare = sorted({"".join(r.choice("bcdfgklmnprtvz") + r.choice("aeiou") for _ in range(4)) for _ in range(56_000)})
+    assert len(rare) > url_filter.LEXICON + 1000
+    pieces = [a + b for a in "bcdfgklmnprtvz" for b in "aeiou"]  # frequent words that the rare ones are made of
+    text = ("calm water stone " + " ".join(pieces) + " ") * 50 + "loan " + " ".join(rare)
+    hosts = [f"{a}{b}.example.com" for a, b in zip(r.sample(rare, 40), ["calm", "water", "stone", "loan"] * 10)] + ["calmwater.example.net"]
+    urls = [f"http://www.{h}/{r.choice(rare)}stone/{k}" for k, h in enumerate(hosts)] + [None, f"http://{hosts[0]}/"]
+    pages = spark.createDataFrame([(k, u, text if k == 0 else None) for k, u in enumerate(urls)], "page_id long, url string, html string")
+    counts = dict.fromkeys(["calm", "water", "stone", *pieces], 50) | dict.fromkeys(["loan", *rare], 1)
+    full = url_filter.segmenter(counts)
+    got = {x.page_id: x for x in url_filter.filter_urls(pages).collect()}
+    assert len(got) == len(urls)
+    for x in got.values():
+        assert x.words == " ".join(url_filter.tokens(full, x.host, x.path))
+    assert sum(h[:8] in rare and f"h:{h[:8]}" in got[k].words.split() for k, h in enumerate(hosts)) >= 35

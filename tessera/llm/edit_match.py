@@ -5,6 +5,8 @@ k + 1 pieces, every text within k edits of the item holds at least one piece unc
 So the pieces of all items are searched in every document by one automaton, and around
 each hit Myers' bit-parallel algorithm finds the least edit distance between the item and
 any substring there. A document with a substring within the budget is contaminated.
+An item shorter than ``MIN_CHARS`` after normalizing has no budget: it is found where it
+stands unchanged and no word runs on over its ends.
 
 Items and texts are compared lower-cased with white space runs as one space.
 
@@ -12,14 +14,15 @@ The items are taken in blocks of bounded size (``BLOCK_CHARS`` characters), each
 broadcast to a pass over the documents; a small benchmark is one block, a large one more
 passes. No document is shuffled.
 
-Defined results: null and empty items, and items shorter than ``MIN_CHARS`` after
-normalizing, match nothing (they would be found by chance everywhere); equal items each
-give their match; a null or empty text matches nothing; repeated documents are each
-judged; empty tables give an empty table of matches.
+Defined results: null and empty items match nothing; equal items each give their match; a
+null or empty text matches nothing; repeated documents are each judged; empty tables give
+an empty table of matches.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,10 +33,12 @@ from tessera.llm._shared import map_batches, table
 
 #: Edits allowed in an item, as a share of its characters.
 ERROR_RATE = 0.08
-#: Characters below which an item says nothing.
+#: Characters below which an item is found only unchanged and as whole words.
 MIN_CHARS = 30
 #: Characters of one block of items: what a worker holds, whatever the benchmark's size.
 BLOCK_CHARS = 4_000_000
+#: Scripts without spaces between words: Thai, Lao, Burmese, Khmer, kana and Han.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
 _MATCHES = "doc_id long, item_id long, distance int, budget int, match_end long"
 
 
@@ -48,11 +53,21 @@ def pieces(item: str, budget: int) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def _in_word(c: str) -> bool:
+    return unicodedata.category(c)[0] in "LMN" and not _UNSPACED.match(c)
+
+
+def _bounded(text: str, begin: int, end: int) -> bool:
+    """Does no word run on over either end of text[begin:end]?"""
+    return not any(0 < at < len(text) and _in_word(text[at - 1]) and _in_word(text[at]) for at in (begin, end))
+
+
 class Pattern:
     """An item with the bit masks of Myers' algorithm."""
 
-    def __init__(self, item_id: int | None, text: str, rate: float):
-        self.item_id, self.text, self.budget = item_id, text, int(len(text) * rate)
+    def __init__(self, item_id: int | None, text: str, rate: float, whole: bool = False):
+        self.item_id, self.text, self.whole = item_id, text, whole
+        self.budget = 0 if whole else int(len(text) * rate)
         self.masks: dict[str, int] = {}
         for i, c in enumerate(text):
             self.masks[c] = self.masks.get(c, 0) | 1 << i
@@ -89,7 +104,7 @@ class Matcher:
     def __init__(self, items: list[tuple[int | None, str | None]], rate: float, min_chars: int):
         import ahocorasick
 
-        self.patterns = [Pattern(i, t, rate) for i, t in ((i, normalize(t)) for i, t in items) if len(t) >= min_chars]
+        self.patterns = [Pattern(i, t, rate, len(t) < min_chars) for i, t in ((i, normalize(t)) for i, t in items) if t]
         places: dict[str, list[tuple[int, int]]] = {}
         for p, pattern in enumerate(self.patterns):
             for offset, piece in pieces(pattern.text, pattern.budget):
@@ -106,13 +121,21 @@ class Matcher:
         if not text or not self.patterns:
             return
         spans: dict[int, list[tuple[int, int]]] = {}
+        ends: dict[int, int] = {}
         for last, (size, found) in self.automaton.iter(text):
             for p, offset in found:
                 pattern = self.patterns[p]
+                if pattern.whole:
+                    if p not in ends and _bounded(text, last + 1 - size, last + 1):
+                        ends[p] = last + 1
+                    continue
                 begin = last + 1 - size - offset - pattern.budget
                 spans.setdefault(p, []).append((max(0, begin), begin + len(pattern.text) + 2 * pattern.budget))
-        for p in sorted(spans):
+        for p in sorted(spans.keys() | ends.keys()):
             pattern, best = self.patterns[p], None
+            if pattern.whole:
+                yield pattern.item_id, 0, 0, ends[p]
+                continue
             for lo, hi in _merged(spans[p]):
                 distance, end = pattern.search(text[lo:hi])
                 if distance <= pattern.budget and (best is None or distance < best[0]):
@@ -161,7 +184,7 @@ def _blocks(benchmark: DataFrame, size: int) -> Iterator[list[tuple[int | None,
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, item_id, distance, budget, match_end (in the normalized text) for each
-    document and item that matches within the budget, ``rate`` of the item's characters."""
+    document and item that matches within the budget, ``rate`` of the item's characters (none below ``min_chars``)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = None
     for block in _blocks(benchmark, block_chars):

@@ -225,6 +225,19 @@ def test_contamination_matches_brute_force(spark):
     assert edit_match.find_contamination(docs(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_short_items_are_found_as_whole_words(spark):
+    items = [(0, "Who wrote it?"), (1, "cat nap"), (2, "日本の首都はどこですか。"), (3, "猫は"), (4, " "), (5, None), (6, "cat nap"), (7, "क")]
+    rows = [(0, "x who  wrote IT?yes"), (1, "a concat nap, cat naps"), (2, "a Cat Nap."), (3, "問題：日本の首都はどこですか。答え"), (4, "黒猫は白い"), (5, "who wrote at?"), (6, "cat nap"), (7, "cat naps, cat nap"), (8, "कि"), (9, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = {(0, 0), (2, 1), (2, 6), (3, 2), (4, 3), (6, 1), (6, 6), (7, 1), (7, 6)}
+    found = edit_match.find_contamination(docs(spark, rows), bench).collect()
+    assert len(found) == len(want) and all(r.distance == r.budget == 0 for r in found)
+    texts = dict(rows)
+    assert {(r.doc_id, r.item_id) for r in found} == want
+    assert all(edit_match.normalize(texts[r.doc_id])[: r.match_end].endswith(edit_match.normalize(dict(items)[r.item_id])) for r in found)
+    assert sorted(r.doc_id for r in edit_match.decontaminate(docs(spark, rows), bench).collect()) == [1, 5, 8, 9]
+
+
 # --- tokens ------------------------------------------------------------------------------
 
 

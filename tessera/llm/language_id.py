@@ -221,23 +221,23 @@ def identify(docs: DataFrame, model: Model, margin: float = MARGIN) -> DataFrame
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _predict(shared, margin), _PREDICTED)
 
 
-def _accept(shared, margin: float):
-    predict = _predict(shared, margin)
+def _accept(shared):
+    predict = _predict(shared, MARGIN)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = pa.array([0] * len(batch), pa.int64())
             found = next(predict(iter([pa.RecordBatch.from_arrays([ids, batch["text"]], names=["doc_id", "text"])])))
-            keep = [p != UNKNOWN and not a for p, a in zip(found["lang_pred"].to_pylist(), found["ambiguous"].to_pylist(), strict=True)]
+            keep = [p != UNKNOWN for p in found["lang_pred"].to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def keep_identified(docs: DataFrame, model: Model, margin: float = MARGIN) -> DataFrame:
-    """The documents that are neither ``und`` nor ambiguous, in their own columns."""
+def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
+    """The documents that are not ``und``, in their own columns; the ambiguous ones stay."""
     shared = session_of(docs).sparkContext.broadcast(model)
-    return map_batches(docs, _accept(shared, margin), docs.schema)
+    return map_batches(docs, _accept(shared), docs.schema)
 
 
 def held_out() -> Column:

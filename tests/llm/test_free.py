@@ -332,6 +332,15 @@ def test_language_held_out_and_edges(spark):
     assert alone == got[7]
 
 
+def test_ambiguous_texts_are_kept(spark):
+    r = random.Random(4)
+    rows = [(i, talk(r, lang, 40), lang) for i, lang in enumerate(list(WORDS) * 20)] + [(500 + k, t, None) for k, t in enumerate(["e", "r.", "t", "De.", "a", "E. 7"])] + [(600, "7 !", None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(table)
+    assert any(x.ambiguous and x.doc_id < 600 for x in language_id.identify(table, model).collect())
+    assert {x.doc_id for x in language_id.keep_identified(table, model).collect()} == {i for i, _, _ in rows} - {600}
+
+
 def test_language_codes_and_few_labels(spark):
     for n in (2, 4, 7, 12):
         code = language_id.codewords(n)

@@ -26,11 +26,14 @@ def session_of(df: DataFrame) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that setting is absent (a single machine, as in tests) a temporary
-    folder is made, set, and removed when the process ends.
+    Only where that setting is absent on a single machine, as in tests, a temporary
+    folder is made, set, and removed when the process ends. A cluster without the setting
+    is an error: what its machines write to folders of their own nobody else can read.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tessera-")
         atexit.register(shutil.rmtree, found, True)
         found = f"file://{found}"
@@ -67,10 +70,36 @@ def drop_table(df: DataFrame) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
+def remove_files(spark: SparkSession, folder: str, keep: set[str]) -> None:
+    """Remove the files of a folder but for those of the names in ``keep``."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(p):
+        for status in fs.listStatus(p):
+            if status.isFile() and status.getPath().getName() not in keep:
+                fs.delete(status.getPath(), False)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def known_id(doc_id: Column) -> Column:
+    """An id that joins and sorts: null as the least number."""
+    return F.coalesce(doc_id.cast("long"), F.lit(-(1 << 63)))
+
+
+def row_digest(df: DataFrame) -> Column:
+    """A digest of all columns of a row; equal rows have one digest. Maps have no hash of
+    their own and take part as JSON."""
+
+    def hashable(field) -> Column:
+        c = F.col(f"`{field.name}`")
+        return F.to_json(F.struct(c)) if "map<" in field.dataType.simpleString() else c
+
+    return F.xxhash64(*[hashable(f) for f in df.schema.fields])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

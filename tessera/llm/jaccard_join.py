@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm._components import components
-from tessera.llm._shared import map_batches, materialize, table
+from tessera.llm._shared import known_id, map_batches, materialize, table
 from tessera.llm._words import mix, slices, windows
 
 SHINGLE = 5
@@ -250,11 +250,6 @@ def _in_blocks(members: DataFrame, sizes: DataFrame, group: str, name: str = "cl
     )
 
 
-def _known(doc_id: Column) -> Column:
-    """An id that joins: null as the least number."""
-    return F.coalesce(doc_id.cast("long"), F.lit(-(1 << 63)))
-
-
 def _same(df: DataFrame) -> DataFrame:
     return df.withColumn("class", F.concat_ws(":", F.hex("one"), F.hex("two")))
 
@@ -279,11 +274,11 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
     clusters = components(edges)
 
     joined = classes.select("class", "first", "n_shingles", "sketch").join(clusters, F.col("class") == F.col("node")).select("class", "first.doc_id", "first.tie", "n_shingles", "sketch", "component")
-    wanted = joined.select(_known(F.col("doc_id")).alias("_id"), F.col("tie").alias("_tie"))
-    texts = keyed.select(_known(F.col("doc_id")).alias("doc_id"), "tie", "text")
+    wanted = joined.select(known_id(F.col("doc_id")).alias("_id"), F.col("tie").alias("_tie"))
+    texts = keyed.select(known_id(F.col("doc_id")).alias("doc_id"), "tie", "text")
     chosen = texts.join(wanted, (F.col("doc_id") == F.col("_id")) & (F.col("tie") == F.col("_tie")), "left_semi").dropDuplicates(["doc_id", "tie"])
     sets = map_batches(chosen.select("doc_id", "tie", "text"), _sets, _SETS)
-    s, j = sets.alias("s"), joined.withColumn("doc_id", _known(F.col("doc_id"))).alias("j")
+    s, j = sets.alias("s"), joined.withColumn("doc_id", known_id(F.col("doc_id"))).alias("j")
     whole = j.join(s, (F.col("s.doc_id") == F.col("j.doc_id")) & (F.col("s.tie") == F.col("j.tie"))).select("j.class", "component", "n_shingles", "sketch", "grams")
     dealt = _in_blocks(whole, _sizes(joined, "component", F.col("n_shingles") * 8), "component")
     found = materialize(dealt.groupBy("component", "lo", "hi").applyInArrow(_link_counts(threshold, tolerance), "class string, links long, a string, b string"), "links")
@@ -309,10 +304,10 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
 def keep_one_of_each_group(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """The documents of which each group keeps one, the least id, in the columns of
     ``docs``; of equal rows one stays. Documents without words are in no group and stay."""
-    kept = jaccard_join(docs, threshold, tolerance).where("keep").select(_known(F.col("doc_id")).alias("_id"), F.col("tie").alias("_tie"))
+    kept = jaccard_join(docs, threshold, tolerance).where("keep").select(known_id(F.col("doc_id")).alias("_id"), F.col("tie").alias("_tie"))
     # Packed, so that no column of the documents meets one of these names. The join and the
     # numbering of equal rows ask for the same dealing: texts are shuffled once.
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), _known(F.col("doc_id")).alias("_own"), F.xxhash64("text").alias("_of"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), known_id(F.col("doc_id")).alias("_own"), F.xxhash64("text").alias("_of"))
     chosen = packed.join(kept, (F.col("_own") == F.col("_id")) & (F.col("_of") == F.col("_tie")), "left_semi")
     twins = Window.partitionBy("_own", "_of").orderBy(F.lit(0))
     return chosen.withColumn("_twin", F.row_number().over(twins)).where("_twin = 1").select(*[F.col("_doc")[c].alias(c) for c in docs.columns])

@@ -24,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import materialize, table, word_count
+from tessera.llm._shared import known_id, materialize, row_digest, table, word_count
 
 #: A schedule is a list of (time, weight) knots from time 0 to time 1.
 Schedule = Sequence[tuple[float, float]]
@@ -155,37 +155,43 @@ def taken_words(planned: DataFrame, max_repeat: float = 2.0) -> DataFrame:
     return planned.withColumn("taken", total)
 
 
+def _position(copy: Column) -> Column:
+    """The training time at which a copy of a document begins."""
+    return training_time((copy * F.col("source_size") + F.col("_at")) / F.col("target"))
+
+
+def copy_positions(planned: DataFrame, max_repeat: float = 2.0) -> DataFrame:
+    """Adds ``positions``: the training position (0..1) of each copy that the mix takes,
+    in order; null for a copy that it does not take."""
+    return planned.withColumn("positions", F.array(*[F.when(_taken(F.lit(k)) > 0, _position(F.lit(k))) for k in range(_copies(max_repeat))]))
+
+
 def training_order(planned: DataFrame, max_repeat: float = 2.0, ordered: bool = True) -> DataFrame:
     """One row for each taken copy of a document, range-sorted by training position unless
     the caller sorts: adds copy, words (its words that are taken) and position (0..1)."""
     copies = planned.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(_copies(max_repeat) - 1))))
     placed = copies.withColumn("words", _taken(F.col("copy"))).where("words > 0")
-    timed = placed.withColumn("position", training_time((F.col("copy") * F.col("source_size") + F.col("_at")) / F.col("target")))
+    timed = placed.withColumn("position", _position(F.col("copy")))
     return timed.orderBy("position", "_digest", "doc_id", "copy") if ordered else timed
 
 
 def mix_documents(docs: DataFrame, plans: Sequence[Schedule], share: float = 1.5, max_repeat: float = 2.0, seed: str = "") -> DataFrame:
     """The mixed documents in training order, in the columns of ``docs``: a document
-    appears once for each copy that is taken; where the target falls inside a copy, its
-    text ends with the last word under the target."""
+    appears once for each copy that is taken, with its whole text. The one copy in which
+    its source's target ends is taken if the target covers half of it or more.
+
+    Only keys and numbers are planned; the texts join the plan once. Equal rows are equal
+    in every column, so one of them stands for all: each map task sends one, however many
+    rows are alike, and the plan says how often it is taken.
+    """
     names = docs.columns
-    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_doc"), F.xxhash64("doc_id", "text").alias("_row"))
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("_row"))
-    # Equal rows share a key: the plan numbers them, and so does the other side. Both are
-    # dealt out by the key alone, so the numbers are compared in a condition that asks for
-    # no other dealing, and the texts are shuffled once before the final sort.
-    twin = Window.partitionBy("_row").orderBy("_at")
-    planned = plan_mix(sized, plans, share, max_repeat, seed).withColumn("_twin", F.row_number().over(twin))
-    order = training_order(planned, max_repeat, ordered=False).select("_row", F.col("_twin").alias("_of"), "copy", "words", "size", "position", "_digest")
-    numbered = inner.withColumn("_twin", F.row_number().over(Window.partitionBy("_row").orderBy(F.lit(0))))
-    cut = F.array_join(F.slice(F.split(F.ltrim(F.col("_doc.text")), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])", -1), F.lit(1), F.col("words").cast("int")), "")
-    text = F.when(F.col("words") < F.col("size"), cut).otherwise(F.col("_doc.text"))
-    return (
-        numbered.join(order, "_row")
-        .where(F.abs(F.col("_twin") - F.col("_of")) < 1)
-        .orderBy("position", "_digest", "copy")
-        .select(*[(text if c == "text" else F.col("_doc")[c]).alias(c) for c in names])
-    )
+    key = (known_id(F.col("doc_id")).alias("_id"), row_digest(docs).alias("_row"))
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *key)
+    planned = plan_mix(sized, plans, share, max_repeat, seed)
+    order = training_order(planned, max_repeat, ordered=False).where("2 * words >= size").select("_id", "_row", "copy", "_at", "position", "_digest")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_doc"), *key)
+    one = packed.withColumn("_twin", F.row_number().over(Window.partitionBy("_id", "_row").orderBy(F.lit(0)))).where("_twin = 1").drop("_twin")
+    return one.join(order, ["_id", "_row"]).orderBy("position", "_digest", "copy", "_at").select(*[F.col("_doc")[c].alias(c) for c in names])
 
 
 #: The weights of the query's sources, in turn.
@@ -193,36 +199,59 @@ WEIGHTS = (3.0, 1.0, 2.0)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
+    """One row for each document, range-sorted by the training position of its first copy;
+    ``position`` and ``second_position`` are null for a copy that is not taken."""
     docs = table(spark, sf_dir, "documents")
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    planned = plan_mix(sized, schedules(WEIGHTS))
-    return taken_words(planned).select("doc_id", "size", "source_size", "target", "taken", "source")
+    placed = copy_positions(taken_words(plan_mix(sized, schedules(WEIGHTS))))
+    place = lambda k: F.round(F.get("positions", F.lit(k)), 9)
+    return placed.orderBy(F.get("positions", F.lit(0)).asc_nulls_last(), "_digest", "doc_id").select("doc_id", "size", "source_size", "target", "taken", "source", place(0).alias("position"), place(1).alias("second_position"))
+
+
+def _segments_sql() -> str:
+    """The segments of the query's schedules: turn, begin and end, weights there, the area
+    before and that of the whole schedule."""
+    rows = []
+    for turn, knots in enumerate(schedules(WEIGHTS)):
+        areas = _areas(knots)
+        rows += [(turn, t0, t1, w0, w1, a, areas[-1]) for (t0, w0), (t1, w1), a in zip(knots, knots[1:], areas, strict=False)]
+    return ", ".join("(" + ", ".join(str(r[0]) if k == 0 else f"{x!r}::DOUBLE" for k, x in enumerate(r)) + ")" for r in rows)
 
 
-OP10_SQL = r"""
+OP10_SQL = rf"""
 WITH d AS (
   SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
          CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
   FROM documents),
 s AS (
-  SELECT source, CAST(sum(size) AS DOUBLE) AS source_size,
-         CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight
+  SELECT source, CAST(sum(size) AS DOUBLE) AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS turn
   FROM d GROUP BY source),
+seg(turn, t0, t1, w0, w1, a0, whole) AS (VALUES {_segments_sql()}),
+v AS (SELECT s.*, whole AS weight FROM s JOIN (SELECT DISTINCT turn, whole FROM seg) USING (turn)),
 l AS (
   SELECT *, 2 * source_size AS cap, 2 * source_size / weight AS stop,
          (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(2 * source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
            / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
-  FROM s WINDOW o AS (ORDER BY 2 * source_size / weight, source NULLS LAST)),
+  FROM v WINDOW o AS (ORDER BY 2 * source_size / weight, source NULLS LAST)),
 t AS (
-  SELECT source, source_size,
+  SELECT source, source_size, turn, weight,
          CASE WHEN f.level IS NULL OR stop <= f.level THEN cap ELSE weight * f.level END AS target
   FROM l LEFT JOIN (SELECT arg_min(level, stop) AS level FROM l WHERE stop > level) f ON true),
 a AS (
-  SELECT d.*, t.source_size, t.target,
-         sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS begins
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
-       CAST(greatest(0, least(floor(target + 0.5) - begins, size)) + greatest(0, least(floor(target + 0.5) - begins - source_size, size)) AS BIGINT) AS taken,
-       source
-FROM a
+  SELECT d.*, t.source_size, t.target, t.turn, t.weight,
+         CAST(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS DOUBLE) AS begins
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT *, row_number() OVER () AS r FROM a),
+k AS (
+  SELECT c.*, copy, CAST(greatest(0, least(floor(target + 0.5) - (copy * source_size + begins), size)) AS BIGINT) AS words,
+         (copy * source_size + begins) / target * weight AS area
+  FROM c, (VALUES (0), (1)) n(copy)),
+p AS (
+  SELECT r, copy, max_by(least(t0 + CASE WHEN w0 + sqrt(greatest(w0 * w0 + 2 * ((w1 - w0) / (t1 - t0)) * (area - a0), 0.0::DOUBLE)) > 0
+           THEN 2 * (area - a0) / (w0 + sqrt(greatest(w0 * w0 + 2 * ((w1 - w0) / (t1 - t0)) * (area - a0), 0.0::DOUBLE))) ELSE 0 END, 1.0::DOUBLE), t0) AS place
+  FROM k JOIN seg USING (turn) WHERE words > 0 AND (a0 <= area OR t0 = 0) GROUP BY r, copy)
+SELECT c.doc_id, c.size, CAST(c.source_size AS BIGINT) AS source_size, c.target, one.words + two.words AS taken, c.source,
+       round(p0.place, 9) AS position, round(p1.place, 9) AS second_position
+FROM c JOIN k one ON one.r = c.r AND one.copy = 0 JOIN k two ON two.r = c.r AND two.copy = 1
+LEFT JOIN p p0 ON p0.r = c.r AND p0.copy = 0 LEFT JOIN p p1 ON p1.r = c.r AND p1.copy = 1
 """

@@ -64,17 +64,69 @@ def test_mix_targets_and_taken(spark):
         assert abs(sum(r.taken for r in rows) - rows[0].target) <= 1
 
 
-def test_mix_documents_cuts_repeats_and_orders(spark):
-    d = docs(spark, MIX + [MIX[5], (None, "null id", "a")])
-    mixed = mixing.mix_documents(d, mixing.schedules(mixing.WEIGHTS))
-    assert mixed.columns == d.columns
-    sized = d.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    taken = {(r.source): r.n for r in mixing.taken_words(mixing.plan_mix(sized, mixing.schedules(mixing.WEIGHTS))).groupBy("source").agg(F.sum("taken").alias("n")).collect()}
-    got = {r.source: r.n for r in mixed.select("source", word_count(F.col("text")).alias("w")).groupBy("source").agg(F.sum("w").alias("n")).collect()}
-    assert got == {s: n for s, n in taken.items() if n}
-    texts = {r.text for r in d.collect()}
-    assert all(any(t is not None and t.lstrip(" ").startswith(r.text.lstrip(" ")) for t in texts) for r in mixed.collect())
-    assert mixing.mix_documents(d.limit(0), mixing.schedules(mixing.WEIGHTS)).count() == 0
+def copies_taken(rows, weights=(3.0, 1.0, 2.0)):
+    """How often each row comes whole: the copy in which a target ends if half of it is covered."""
+    return {i: sum(max(0, min(taken - k * size, size)) * 2 >= size for k in (0, 1)) if taken else 0 for i, (size, _, taken) in plan(rows, weights).items()}
+
+
+def test_mix_documents_are_whole_and_in_order(spark):
+    mixed = mixing.mix_documents(docs(spark, MIX), mixing.schedules(mixing.WEIGHTS))
+    texts, want = {i: t for i, t, _ in MIX}, copies_taken(MIX)
+    got = mixed.collect()
+    assert mixed.columns == docs(spark, MIX).columns and all(r.text == texts[r.doc_id] for r in got)
+    for i, n in want.items():
+        assert sum(r.doc_id == i for r in got) == n
+    sizes = {s: sum(len((t or "").split()) for _, t, x in MIX if x == s) for s in ("a", "b", "c", None)}
+    longest = max(len((t or "").split()) for _, t, _ in MIX)
+    for _, (_, target, _) in plan(MIX).items():
+        assert any(abs(sum(len(r.text.split()) for r in got if r.source == s) - target) <= longest for s in sizes)
+    assert mixing.mix_documents(docs(spark, MIX).limit(0), mixing.schedules(mixing.WEIGHTS)).count() == 0
+
+
+def test_equal_rows_are_each_taken(spark):
+    rows = [(1, "a b c", "s")] * 300 + [(2, "x y", "s"), (None, "null id", "s"), (None, "null id", "s"), (3, "own", "t")]
+    schema = DOCS.replace("row string", "row map<string,int>")
+    table = spark.createDataFrame([(i, t, "en", s, 0, {"k": 1}, k % 2) for k, (i, t, s) in enumerate(rows)], schema)
+    got = mixing.mix_documents(table, mixing.schedules([1.0]), share=2.0).collect()
+    assert sum(r.doc_id == 1 and r["size"] == 0 for r in got) == 300 == sum(r.doc_id == 1 and r["size"] == 1 for r in got)
+    assert sum(r.doc_id is None for r in got) == 4 and sum(r.doc_id == 2 for r in got) == 2
+
+
+def test_query_positions_match_numeric_inversion(spark, tmp_path):
+    path = f"file://{tmp_path}"
+    docs(spark, MIX).write.parquet(f"{path}/documents.parquet")
+    got = mixing.op10(spark, path).collect()
+    first = [r.position for r in got]
+    known = [p for p in first if p is not None]
+    assert known == sorted(known) and first == known + [None] * (len(first) - len(known))
+    knots = mixing.schedules(mixing.WEIGHTS)
+    turn = {s: k % 3 for k, s in enumerate(sorted({s for _, _, s in MIX}, key=lambda s: (s is None, s or "")))}
+
+    def area(k, t):
+        total = 0.0
+        for (t0, w0), (t1, w1) in zip(k, k[1:]):
+            e = min(t, t1)
+            if e > t0:
+                total += (e - t0) * (w0 + w0 + (w1 - w0) * (e - t0) / (t1 - t0)) / 2
+        return total
+
+    def inverted(k, share):
+        lo, hi = 0.0, 1.0
+        for _ in range(60):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if area(k, mid) < share * area(k, 1.0) else (lo, mid)
+        return lo
+
+    begins, at = {}, {}
+    for i, t, s in sorted(MIX, key=lambda r: hashlib.md5(str(r[0]).encode()).hexdigest()):
+        begins[i] = at.get(s, 0)
+        at[s] = at.get(s, 0) + len((t or "").split())
+    for r in got:
+        for copy, place in enumerate((r.position, r.second_position)):
+            if r.taken > copy * r["size"]:
+                assert place == pytest.approx(inverted(knots[turn[r.source]], (copy * r.source_size + begins[r.doc_id]) / r.target), abs=1e-6)
+            else:
+                assert place is None
 
 
 def test_training_positions_follow_the_schedules(spark):

@@ -6,7 +6,7 @@ import corpus_pipeline
 from tessera.llm import edit_match
 
 from test_free import WORDS, brute_groups, least_distance, shingles, talk, token_rows
-from test_native import plan
+from test_native import copies_taken
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long, _doc string"
 
@@ -25,17 +25,6 @@ def table(seed=1):
     return rows, items
 
 
-def cut(text, words):
-    out, seen = "", 0
-    for piece in text.split(" "):
-        if piece:
-            if seen == words:
-                break
-            seen += 1
-        out += piece + " "
-    return out.rstrip(" ")
-
-
 def brute(rows, items):
     kept = [r for r in rows if r[1] and any(c.isalpha() for c in r[1])]
     groups = brute_groups([r[:2] for r in kept])
@@ -47,12 +36,9 @@ def brute(rows, items):
     norm = [edit_match.normalize(t) for _, t in items]
     clean = [r for r in one if all(least_distance(n, edit_match.normalize(r[1])) > int(len(n) * edit_match.ERROR_RATE) for n in norm)]
     mixed = []
-    taken = plan([(i, t, s) for i, t, _, s in clean])
+    copies = copies_taken([(i, t, s) for i, t, _, s in clean])
     for i, t, _, _ in clean:
-        size, _, n = taken[i]
-        while n > 0:
-            mixed.append((i, t if n >= size else cut(t, n)))
-            n -= size
+        mixed += [(i, t)] * copies[i]
     return clean, mixed
 
 
@@ -76,7 +62,6 @@ def test_pipeline_matches_brute_force(spark, tmp_path):
     assert sorted(r.doc_id for r in docs.collect()) == sorted(r[0] for r in clean)
     assert {100, 120, 130, 131, 132}.isdisjoint({r[0] for r in clean}) and 133 in {r[0] for r in clean}
     got = corpus_pipeline.run(spark, d).collect()
-    # Copies of one document stand side by side; a cut copy may come before or after a whole one.
     assert sorted((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == sorted((i, n, c) for i, _, n, c in token_rows(mixed))
     ordered = sorted(got, key=lambda r: r.start)
     assert [r.doc_id for r in ordered] == sorted(r.doc_id for r in got)

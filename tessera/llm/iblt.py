@@ -1,20 +1,24 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
 A text is cut into paragraphs; each has a 64-bit digest. A sketch has cells of a count, a
-sum (exclusive or) of digests and one of their check digests; a digest goes to one cell in
-each of three parts. Subtracting two sketches leaves only the digests that one of two
-versions has, and peeling takes them out: a cell that holds one digest gives it away, and
-taking it out of its other cells may leave more such cells. If peeling gets stuck, both
-sketches are made larger and the attempt is repeated, up to a size at which it succeeds.
-The differing digests give the likeness of two versions: 1 - differing / (those of one +
-those of the other).
-
-Paragraphs are lines, and sentences of lines; one of more than ``LONG`` words is cut after
-words chosen by their own digest, so a change moves only the cuts around it.
+sum of digests and one of their check digests; a digest goes to one cell in each of three
+parts. Peeling takes digests out: a cell that holds one digest gives it away, and taking
+it out of its other cells may leave more such cells. A text's fingerprint is its sketch,
+with cells in proportion to its paragraphs, made larger until peeling it recovers them
+all. So fingerprints can be compared without their texts: the smaller sketch is made anew
+at the size of the larger from the digests that it gives away, one is subtracted from the
+other, and peeling the rest gives the digests that only one of two versions has; where
+that gets stuck, both are made larger and the attempt is repeated. The likeness of two
+versions is 1 - differing / (those of one + those of the other).
+
+Paragraphs are lines, and sentences of lines, cut once more between equal words and after
+words chosen by their own digest, so a change moves only the cuts around it; of a text under
+``SHORT`` characters every word is a paragraph.
 
 For :func:`compare_versions` documents are dealt out in blocks of the order of their ids;
 the first document of the block that follows is sent along, so every document meets the
-one after it. Text is shuffled once.
+one after it. Text is shuffled once. Sketches of many documents are filled, subtracted and
+peeled together, as arrays.
 
 Defined results: a null text is empty; two empty texts are alike (1.0), an empty one and
 one with paragraphs are not (0.0); a repeated paragraph counts once; a null id is less than
@@ -26,120 +30,225 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
-import struct
-import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import map_batches, partitions, session_of, table
+from tessera.llm._shared import known_id, map_batches, partitions, session_of, table
+from tessera.llm._words import mix, slices
 
-#: Cells of a sketch at first.
-CELLS = 24
-#: Words beyond which a paragraph is cut by content.
-LONG = 24
+#: One word in so many ends a paragraph by its digest; a power of two.
+CUT = 8
+#: Characters below which every word of a text is a paragraph.
+SHORT = 96
+#: Characters of documents that are compared together.
+CHUNK_CHARS = 2_000_000
 _PARTS = 3
-_FIRST_ID = -(1 << 63)
-_CUT = re.compile(r"\n+|(?<=[.!?])\s+")
-_CELL = struct.Struct("<hQI")
-_CHECK = 0xC4CEB9FE1A85EC53
+_POWER = 0x9E3779B97F4A7C15 | 1
+_CELL = np.dtype([("count", "<u2"), ("sum", "<u8"), ("check", "<u4")])
 
 _DEALT = "block int, halo boolean, id long, tie long, doc_id long, text string"
 _COMPARED = "doc_id long, n_chars long, edited string, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
+@dataclass
+class Keys:
+    """The distinct paragraph digests of some texts, those of text d at first[d]:first[d + 1]."""
+
+    key: np.ndarray
+    first: np.ndarray
+
+    @property
+    def size(self) -> np.ndarray:
+        return np.diff(self.first)
+
+    def take(self, rows: np.ndarray) -> Keys:
+        n = self.size[rows]
+        first = np.concatenate([[0], np.cumsum(n)])
+        return Keys(self.key[np.arange(first[-1]) + np.repeat(self.first[:-1][rows] - first[:-1], n)], first)
+
+
+def _ends(words, h: np.ndarray, short: np.ndarray) -> np.ndarray:
+    """For each word: does a paragraph end after it?"""
+    last = words.data[words.end - 1]
+    lines = np.cumsum(words.data == 0x0A)
+    ends = (last == ord(".")) | (last == ord("!")) | (last == ord("?")) | (mix(h, 22) % np.uint64(CUT) == 0) | short[words.doc]
+    ends[:-1] |= (lines[words.start[1:]] > lines[words.end[:-1] - 1]) | (h[1:] == h[:-1])
+    bounds = words.first[1:]
+    ends[bounds[np.diff(words.first) > 0] - 1] = True
+    return ends
+
+
+def _paragraphs(column: pa.Array) -> Iterator[tuple]:
+    """For each slice of documents its words, their digests, and where paragraphs begin."""
+    short = pc.less(pc.utf8_length(column.fill_null("")), SHORT).to_numpy(zero_copy_only=False)
+    for words in slices(column):
+        h = words.digests(21)
+        if len(h):
+            ends = _ends(words, h, short[words.rows])
+            yield words, h, np.flatnonzero(np.concatenate([[True], ends[:-1]]))
+        else:
+            yield words, h, np.zeros(0, np.int64)
+
+
 def paragraphs(text: str) -> list[str]:
+    """The paragraphs of one text, each as its words joined by one space."""
     out = []
-    for part in _CUT.split(text):
-        part = part.strip()
-        if part.count(" ") < LONG:
-            if part:
-                out.append(part)
-            continue
-        begin, words = 0, part.split(" ")
-        for i, word in enumerate(words, 1):
-            if i - begin >= 4 and not zlib.crc32(word.encode()) & 7:
-                out.append(" ".join(words[begin:i]))
-                begin = i
-        if begin < len(words):
-            out.append(" ".join(words[begin:]))
+    for words, h, begin in _paragraphs(pa.array([text], pa.string())):
+        for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(h)], strict=True):
+            out.append(" ".join(bytes(words.data[s:e]).decode("utf-8") for s, e in zip(words.start[a:b].tolist(), words.end[a:b].tolist(), strict=True)))
     return out
 
 
-def digests(text: str) -> frozenset[int]:
-    return frozenset(int.from_bytes(hashlib.blake2b(p.encode("utf-8", "replace"), digest_size=8).digest()) for p in set(paragraphs(text)))
+def digests(column: pa.Array) -> Keys:
+    """The paragraph digests of each text of a string column, in order."""
+    found, sizes = [], []
+    for words, h, begin in _paragraphs(column):
+        n = np.diff(np.concatenate([begin, [len(h)]]))
+        docs = words.rows.stop - words.rows.start
+        if not len(h):
+            sizes.append(np.zeros(docs, np.int64))
+            continue
+        powers = np.cumprod(np.full(int(n.max()), _POWER, np.uint64))
+        place = np.arange(len(h)) - np.repeat(begin, n)
+        key = mix(np.add.reduceat(mix(h, 23) * powers[place], begin) + n.astype(np.uint64), 24)
+        doc = words.doc[begin]
+        order = np.lexsort((key, doc))
+        key, doc = key[order], doc[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+        found.append(key[new])
+        sizes.append(np.bincount(doc[new], minlength=docs))
+    first = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]) if sizes else np.zeros(1, np.int64)
+    return Keys(np.concatenate(found) if found else np.zeros(0, np.uint64), first.astype(np.int64))
+
+
+def _check(key: np.ndarray) -> np.ndarray:
+    return (mix(key, 25) >> np.uint64(32)).astype(np.uint32)
+
+
+class Sketches:
+    """The sketches of some texts side by side; ``part`` cells in each of a text's parts."""
+
+    def __init__(self, part: np.ndarray):
+        self.part = part.astype(np.int64)
+        self.base = np.concatenate([[0], np.cumsum(_PARTS * self.part)])
+        total = int(self.base[-1])
+        self.counts, self.sums, self.checks = np.zeros(total, np.int64), np.zeros(total, np.uint64), np.zeros(total, np.uint32)
+
+    @staticmethod
+    def of(keys: Keys, part: np.ndarray) -> Sketches:
+        out = Sketches(part)
+        out._add(np.repeat(np.arange(len(part)), keys.size), keys.key, np.ones(len(keys.key), np.int64))
+        return out
+
+    def _cells(self, doc: np.ndarray, key: np.ndarray) -> np.ndarray:
+        part, base = self.part[doc], self.base[doc]
+        n = part.astype(np.uint64)
+        return np.stack([base + (key % n).astype(np.int64), base + part + ((key >> np.uint64(21)) % n).astype(np.int64), base + 2 * part + ((key >> np.uint64(42)) % n).astype(np.int64)])
+
+    def _add(self, doc: np.ndarray, key: np.ndarray, sign: np.ndarray) -> np.ndarray:
+        cells = self._cells(doc, key)
+        sums, checks = key * sign.astype(np.uint64), _check(key) * sign.astype(np.uint32)
+        for at in cells:
+            np.add.at(self.counts, at, sign)
+            np.add.at(self.sums, at, sums)
+            np.add.at(self.checks, at, checks)
+        return cells
+
+    def minus(self, other: Sketches) -> Sketches:
+        out = Sketches(self.part)
+        out.counts, out.sums, out.checks = self.counts - other.counts, self.sums - other.sums, self.checks - other.checks
+        return out
+
+    def peel(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """text, digest, sign of what the sketches give away, and which texts' gave away
+        all. Uses the sketches up."""
+        owner = np.repeat(np.arange(len(self.part)), _PARTS * self.part)
+        docs, keys, signs = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        at, given = np.flatnonzero(np.abs(self.counts) == 1), 0
+        while len(at) and given <= len(owner):
+            sign, doc = self.counts[at], owner[at]
+            key = self.sums[at] * sign.astype(np.uint64)
+            own = (_check(key) == self.checks[at] * sign.astype(np.uint32)) & (self._cells(doc, key) == at).any(axis=0)
+            doc, key, sign = doc[own], key[own], sign[own]
+            order = np.lexsort((key, doc))  # a digest may be alone in two or three of its cells
+            doc, key, sign = doc[order], key[order], sign[order]
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+            doc, key, sign = doc[new], key[new], sign[new]
+            docs.append(doc), keys.append(key), signs.append(sign)
+            given += len(key)
+            touched = np.unique(self._add(doc, key, -sign))
+            at = touched[np.abs(self.counts[touched]) == 1]
+        left = (self.counts != 0) | (self.sums != 0) | (self.checks != 0)
+        whole = ~np.logical_or.reduceat(left, self.base[:-1]) if len(self.part) else np.zeros(0, bool)
+        return np.concatenate(docs), np.concatenate(keys), np.concatenate(signs), whole
+
+    def texts(self) -> list[str]:
+        cells = np.zeros(len(self.counts), _CELL)
+        cells["count"], cells["sum"], cells["check"] = self.counts, self.sums, self.checks
+        return [base64.b64encode(cells[a:b].tobytes()).decode() for a, b in zip(self.base[:-1].tolist(), self.base[1:].tolist(), strict=True)]
+
+    @staticmethod
+    def from_texts(texts: Sequence[str]) -> Sketches:
+        cells = [np.frombuffer(base64.b64decode(t), _CELL) for t in texts]
+        out = Sketches(np.array([len(c) // _PARTS for c in cells], np.int64))
+        every = np.concatenate(cells) if cells else np.zeros(0, _CELL)
+        out.counts, out.sums, out.checks = every["count"].astype(np.int64), every["sum"].astype(np.uint64), every["check"].astype(np.uint32)
+        return out
 
 
-class Sketch:
-    """counts, sums and check sums of ``cells`` cells."""
+def _larger(part: np.ndarray, factor: float) -> np.ndarray:
+    return (np.ceil(part * factor / 4) * 4).astype(np.int64)
 
-    def __init__(self, cells: int, keys=()):
-        self.part = n = -(-cells // _PARTS)
-        self.counts, self.sums, self.checks = counts, sums, checks = [0] * (n * _PARTS), [0] * (n * _PARTS), [0] * (n * _PARTS)
-        self.size = len(keys)
-        for key in keys:
-            check = (key * _CHECK >> 32) & 0xFFFFFFFF
-            for i in (key % n, n + (key >> 21) % n, 2 * n + (key >> 42) % n):
-                counts[i] += 1
-                sums[i] ^= key
-                checks[i] ^= check
 
-    def minus(self, other: Sketch) -> Sketch:
-        out = Sketch(self.part * _PARTS)
-        out.counts = [a - b for a, b in zip(self.counts, other.counts, strict=True)]
-        out.sums = [a ^ b for a, b in zip(self.sums, other.sums, strict=True)]
-        out.checks = [a ^ b for a, b in zip(self.checks, other.checks, strict=True)]
-        return out
+def fingerprints(keys: Keys) -> Sketches:
+    """The sketch of each text, as large as it has to be to give all its digests away."""
+    part = _larger(keys.size + 10, 0.5)
+    pending = np.arange(len(part))
+    while len(pending):
+        whole = Sketches.of(keys.take(pending), part[pending]).peel()[3]
+        pending = pending[~whole]
+        part[pending] = _larger(part[pending], 1.5)
+    return Sketches.of(keys, part)
+
+
+def given_away(sketches: Sketches) -> Keys:
+    """The digests that fingerprints hold."""
+    doc, key, _, _ = sketches.minus(Sketches(sketches.part)).peel()
+    order = np.lexsort((key, doc))
+    return Keys(key[order], np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(sketches.part)))]))
 
-    def peel(self) -> tuple[set[int], set[int]] | None:
-        """The digests that only the first and only the second version have; None if
-        peeling gets stuck. Uses the sketch up."""
-        n, counts, sums, checks = self.part, self.counts, self.sums, self.checks
-        first, second = set(), set()
-        waiting = [i for i, c in enumerate(counts) if c == 1 or c == -1]
-        while waiting:
-            i = waiting.pop()
-            sign, key = counts[i], sums[i]
-            if sign != 1 and sign != -1:
-                continue
-            check = (key * _CHECK >> 32) & 0xFFFFFFFF
-            if checks[i] != check:
-                continue
-            places = (key % n, n + (key >> 21) % n, 2 * n + (key >> 42) % n)
-            if i not in places:
-                continue
-            (first if sign == 1 else second).add(key)
-            for j in places:
-                counts[j] -= sign
-                sums[j] ^= key
-                checks[j] ^= check
-                if counts[j] == 1 or counts[j] == -1:
-                    waiting.append(j)
-        return None if any(counts) or any(sums) or any(checks) else (first, second)
 
-    def to_text(self) -> str:
-        return base64.b64encode(b"".join(map(_CELL.pack, ((c + 0x8000) % 0x10000 - 0x8000 for c in self.counts), self.sums, self.checks))).decode()
+def differing(a: Keys, b: Keys, part: np.ndarray) -> np.ndarray:
+    """How many digests only one of each pair of texts has, by sketches alone; ``part``: the
+    larger size of the pair's two fingerprints. Sketches grow until peeling succeeds."""
+    out, part = np.zeros(len(part), np.int64), part.copy()
+    pending = np.arange(len(part))
+    while len(pending):
+        doc, _, _, whole = Sketches.of(a.take(pending), part[pending]).minus(Sketches.of(b.take(pending), part[pending])).peel()
+        out[pending] = np.bincount(doc, minlength=len(pending))
+        pending = pending[~whole]
+        part[pending] *= 2
+    return out
 
 
-def difference(a: frozenset[int], b: frozenset[int], of_a: Sketch | None = None, of_b: Sketch | None = None) -> tuple[set[int], set[int]]:
-    """What only a and only b have, by sketches alone, which grow until peeling succeeds."""
-    of_a, of_b = of_a or Sketch(CELLS, a), of_b or Sketch(CELLS, b)
-    while (found := of_a.minus(of_b).peel()) is None:
-        # All that the two hold might differ: with cells for that, one retry is enough as a rule.
-        cells = max(of_a.part * _PARTS * 2, 16 + (of_a.size + of_b.size) * 3 // 2)
-        of_a, of_b = Sketch(cells, a), Sketch(cells, b)
-    return found
+def likeness(a: Keys, b: Keys, part: np.ndarray) -> np.ndarray:
+    total = a.size + b.size
+    return np.where(total > 0, 1.0 - differing(a, b, part) / np.maximum(total, 1), 1.0)
 
 
-def likeness(a: frozenset[int], b: frozenset[int], of_a: Sketch | None = None, of_b: Sketch | None = None) -> float:
-    if not a and not b:
-        return 1.0
-    one, two = difference(a, b, of_a, of_b)
-    return 1.0 - (len(one) + len(two)) / (len(a) + len(b))
+def compare_fingerprints(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
+    """The likeness of each pair of fingerprints, from nothing but the two."""
+    of_a, of_b = Sketches.from_texts(a), Sketches.from_texts(b)
+    part = np.maximum(of_a.part, of_b.part)
+    return likeness(given_away(of_a), given_away(of_b), part)
 
 
 def _deal(bounds: np.ndarray, after: dict[int, int]):
@@ -170,38 +279,50 @@ def _greatest(bounds: np.ndarray):
     return run
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "n_chars", "edited", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-    held, out, size = None, [], 0
+def _compared(rows: list[tuple], pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    """The result rows of ``pairs`` (a row of ``rows`` and the one that follows it)."""
+    texts = [t for _, _, _, t in rows]
+    edited = []
+    for i, j in pairs:
+        k = len(texts[i]) // 3
+        edited.append(texts[i][: len(texts[i]) - k] + texts[j][:k])
+    own, new = digests(pa.array(texts, pa.large_string())), digests(pa.array(edited, pa.large_string()))
+    sketches, new_sketches = fingerprints(own), fingerprints(new)
+    strings = sketches.texts()
+    i, j = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
+    near_edited = likeness(own.take(i), new, np.maximum(sketches.part[i], new_sketches.part))
+    near_next = likeness(own.take(i), own.take(j), np.maximum(sketches.part[i], sketches.part[j]))
+    columns = {
+        "doc_id": pa.array([rows[a][2] for a in i.tolist()], pa.int64()),
+        "n_chars": pa.array([len(texts[a]) for a in i.tolist()], pa.int64()),
+        "edited": pa.array(edited, pa.string()),
+        "edited_sha256": pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited], pa.string()),
+        "fingerprint": pa.array([strings[a] for a in i.tolist()], pa.string()),
+        "edited_fingerprint": pa.array(new_sketches.texts(), pa.string()),
+        "near_edited": pa.array(near_edited, pa.float64()),
+        "near_next": pa.array(near_next, pa.float64()),
+    }
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    def pack(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows, pairs, held, size = [], [], None, 0  # held: the row whose follower comes next
     for batch in batches:
         for block, halo, doc_id, text in zip(batch["block"].to_pylist(), batch["halo"].to_pylist(), batch["doc_id"].to_pylist(), batch["text"], strict=True):
-            if halo and (held is None or held[0] != block):
+            follows = held is not None and rows[held][0] == block
+            if halo and not follows:
                 continue
-            text = text.as_py() or ""
-            keys = digests(text)
-            sketch = Sketch(CELLS, keys)
-            if held is not None and held[0] == block:
-                _, own_id, own, own_keys, own_sketch = held
-                k = len(own) // 3
-                edited = own[: len(own) - k] + text[:k]
-                edited_keys = digests(edited)
-                edited_sketch = Sketch(CELLS, edited_keys)
-                out.append(
-                    (own_id, len(own), edited, hashlib.sha256(edited.encode()).hexdigest(), own_sketch.to_text(), edited_sketch.to_text(),
-                     likeness(own_keys, edited_keys, own_sketch, edited_sketch), likeness(own_keys, keys, own_sketch, sketch))
-                )
-                size += len(edited)
-                if size >= 4_000_000:
-                    yield pack(out)
-                    out, size = [], 0
-            held = None if halo else (block, doc_id, text, keys, sketch)
-    if out:
-        yield pack(out)
+            rows.append((block, halo, doc_id, text.as_py() or ""))
+            size += len(rows[-1][3])
+            if follows:
+                pairs.append((held, len(rows) - 1))
+            held = None if halo else len(rows) - 1
+            if size >= CHUNK_CHARS and pairs:
+                yield _compared(rows, pairs)
+                rows, pairs, size = ([rows[held]] if held is not None else []), [], 0
+                held = 0 if rows else None
+    if pairs:
+        yield _compared(rows, pairs)
 
 
 def compare_versions(docs: DataFrame) -> DataFrame:
@@ -210,13 +331,13 @@ def compare_versions(docs: DataFrame) -> DataFrame:
     order of ids; after the last comes the first) with digest and fingerprint, and the
     likeness of its fingerprint to the edited one and to the next document's."""
     n = 4 * partitions(session_of(docs))
-    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST_ID)).alias("id"))
+    ids = docs.select(known_id(F.col("doc_id")).alias("id"))
     cuts = ids.agg(F.percentile_approx("id", [i / n for i in range(1, n)], 10 * n).alias("c")).first()["c"]
     bounds = np.unique(np.array(cuts or [], np.int64))
     # One row for each block reaches the driver.
     most = sorted((r["block"], r["id"]) for r in ids.mapInArrow(_greatest(bounds), "block int, id long").groupBy("block").agg(F.max("id").alias("id")).collect())
     after = {last: block for (_, last), (block, _) in zip([most[-1], *most[:-1]], most, strict=True)} if most else {}
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST_ID)).alias("id"), F.xxhash64("text").alias("tie"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    keyed = docs.select(known_id(F.col("doc_id")).alias("id"), F.xxhash64("text").alias("tie"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     dealt = map_batches(keyed, _deal(bounds, after), _DEALT).repartition(partitions(session_of(docs)), "block")
     ordered = dealt.sortWithinPartitions("block", "halo", F.col("id").desc(), "tie")
     return map_batches(ordered.select("block", "halo", "doc_id", "text"), _compare, _COMPARED)

@@ -45,6 +45,8 @@ UNKNOWN = "und"
 #: Loss by which the second codeword must be farther for a text not to be ambiguous.
 MARGIN = 0.5
 _SLICE = 1 << 19
+#: n-grams whose odds, and texts whose losses, are held at once.
+_STEP, _ROWS = 1 << 16, 1 << 10
 
 _COUNTS = "lang string, bin int, n long"
 _PREDICTED = "doc_id long, lang_pred string, score double, margin double, ambiguous boolean"
@@ -99,30 +101,60 @@ def _codes(clean: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield n, ((value * np.uint32(0x9E3779B1) + np.uint32(n * 0x85EBCA6B & 0xFFFFFFFF)) >> np.uint32(32 - 14)) + slot
 
 
-def _texts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Slices of a string column: first row, end row, cleaned bytes, bounds (2 rows)."""
+def _texts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, int]]:
+    """Parts of a string column: first row, end row, cleaned bytes, bounds (2 rows), and how
+    many of the bytes stood at the end of the part before. A text of more than ``_SLICE``
+    bytes comes in parts of that size, the last few bytes of each again in the next."""
     at, data = text_buffers(column)
     row = 0
     while row < len(at) - 1:
         to = max(row + 1, int(np.searchsorted(at, at[row] + _SLICE, "right")) - 1)
-        yield row, to, *_cleaned(data[at[row] : at[to]], at[row : to + 1] - at[row])
+        if at[to] - at[row] > _SLICE:
+            for clean, again in _long(data[at[row] : at[to]]):
+                yield row, to, clean, np.array([[0], [len(clean)]]), again
+        else:
+            yield row, to, *_cleaned(data[at[row] : at[to]], at[row : to + 1] - at[row]), 0
         row = to
 
 
+def _long(data: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+    """The cleaned bytes of one long text in parts, and how many of each are known."""
+    tail = np.array([0x20], np.uint8)
+    again, overlap = 0, max(GRAMS) - 1
+    for lo in range(0, len(data), _SLICE):
+        part = _LETTERS[data[lo : lo + _SLICE]]
+        space = part == 0x20
+        keep = ~space
+        keep[1:] |= ~space[:-1]
+        keep[0] |= tail[-1] != 0x20
+        out = np.concatenate([tail, part[keep]])
+        if lo + _SLICE >= len(data) and out[-1] != 0x20:
+            out = np.concatenate([out, np.array([0x20], np.uint8)])
+        yield out, again
+        tail = out[-overlap:]
+        again = len(tail)
+
+
+def _begins(bounds: np.ndarray, n: int, again: int) -> np.ndarray:
+    """Where the n-grams of each text begin that no part before had."""
+    return bounds[0] + max(0, again - (n - 1))
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[str, np.ndarray] = {}
     for batch in batches:
         langs = np.array(batch["lang"].to_pylist(), object)
-        for lo, hi, clean, (begin, end) in _texts(batch["text"]):
+        for lo, hi, clean, bounds, again in _texts(batch["text"]):
             own = langs[lo:hi]
-            for lang in set(own):
-                mine = np.zeros(len(clean) + 1, np.int8)
-                np.add.at(mine, begin[own == lang], 1)
-                np.add.at(mine, end[own == lang], -1)
-                inside = np.cumsum(mine[:-1], dtype=np.int8).astype(bool)
-                total = counts.setdefault(lang, np.zeros(len(GRAMS) * BINS, np.int64))
-                for n, codes in _codes(clean):
-                    total += np.bincount(codes[inside[: len(codes)] & inside[n - 1 :]], minlength=len(total))
+            for n, codes in _codes(clean):
+                for lang in set(own):
+                    mine = np.zeros(len(codes) + 1, np.int8)
+                    begin = np.minimum(_begins(bounds, n, again), len(codes))
+                    end = np.minimum(np.maximum(bounds[1] - (n - 1), begin), len(codes))
+                    np.add.at(mine, begin[own == lang], 1)
+                    np.add.at(mine, end[own == lang], -1)
+                    total = counts.setdefault(lang, np.zeros(len(GRAMS) * BINS, np.int64))
+                    total += np.bincount(codes[np.cumsum(mine[:-1], dtype=np.int8).astype(bool)], minlength=len(total))
     for lang, total in counts.items():
         have = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(have), pa.string()), pa.array(have, pa.int32()), pa.array(total[have])], names=["lang", "bin", "n"])
@@ -135,20 +167,33 @@ class Model:
     odds: np.ndarray  # bins x bits: log odds of an n-gram for the bit being 1
     weight: np.ndarray  # of each bit's loss
 
-    def outputs(self, clean: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each text's classifier outputs, and its number of n-grams."""
+    def sums(self, clean: np.ndarray, bounds: np.ndarray, again: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """For each text of a part the sum of its n-grams' log odds for each bit, and their
+        number. The odds of ``_STEP`` n-grams are held at once, however many bits there are."""
         total, number = np.zeros((bounds.shape[1], self.odds.shape[1])), np.zeros(bounds.shape[1], np.int64)
         for n, codes in _codes(clean):
-            have = np.flatnonzero(bounds[1] - bounds[0] >= n)
-            if not len(have):
-                continue
-            begin, end = bounds[0][have], bounds[1][have] - (n - 1)
-            values = np.concatenate([self.odds[codes], np.zeros((1, self.odds.shape[1]), self.odds.dtype)])
-            cuts = np.stack([begin, end], axis=1).ravel()
-            total[have] += np.add.reduceat(values, cuts, axis=0)[::2]
-            number[have] += end - begin
+            begin = np.minimum(_begins(bounds, n, again), len(codes))
+            end = np.minimum(np.maximum(bounds[1] - (n - 1), begin), len(codes))
+            number += end - begin
+            for lo in range(0, len(codes), _STEP):
+                hi = min(lo + _STEP, len(codes))
+                a, b = np.clip(begin, lo, hi) - lo, np.clip(end, lo, hi) - lo
+                have = np.flatnonzero(b > a)
+                if not len(have):
+                    continue
+                values = np.concatenate([self.odds[codes[lo:hi]], np.zeros((1, self.odds.shape[1]), self.odds.dtype)])
+                total[have] += np.add.reduceat(values, np.stack([a[have], b[have]], axis=1).ravel(), axis=0)[::2]
+        return total, number
+
+    def outputs(self, column: pa.Array) -> np.ndarray:
+        """Each text's classifier outputs."""
+        total, number = np.zeros((len(column), self.odds.shape[1])), np.zeros(len(column), np.int64)
+        for lo, hi, clean, bounds, again in _texts(column):
+            part, n = self.sums(clean, bounds, again)
+            total[lo:hi] += part
+            number[lo:hi] += n
         # Neighbouring n-grams tell the same; the root keeps long texts from absurd certainty.
-        return total / np.sqrt(np.maximum(number, 1))[:, None], number
+        return total / np.sqrt(np.maximum(number, 1))[:, None]
 
     def losses(self, outputs: np.ndarray) -> np.ndarray:
         """texts x languages: the weighted loss of each codeword."""
@@ -201,13 +246,15 @@ def _predict(shared, margin: float):
             n = len(batch)
             lang, score, gap = np.full(n, UNKNOWN, object), np.zeros(n), np.zeros(n)
             if model.langs:
-                for lo, hi, clean, bounds in _texts(batch["text"]):
-                    loss = model.losses(model.outputs(clean, bounds)[0])
+                outputs = model.outputs(batch["text"])
+                for lo in range(0, n, _ROWS):
+                    loss = model.losses(outputs[lo : lo + _ROWS])
                     order = np.argsort(loss, axis=1, kind="stable")
                     best = np.take_along_axis(loss, order[:, :1], 1)
-                    lang[lo:hi] = np.array(model.langs, object)[order[:, 0]]
-                    score[lo:hi] = 1 / np.exp(len(model.langs) * (best - loss)).sum(axis=1)
-                    gap[lo:hi] = np.take_along_axis(loss, order[:, 1:2], 1)[:, 0] - best[:, 0] if len(model.langs) > 1 else np.inf
+                    rows = slice(lo, lo + len(loss))
+                    lang[rows] = np.array(model.langs, object)[order[:, 0]]
+                    score[rows] = 1 / np.exp(len(model.langs) * (best - loss)).sum(axis=1)
+                    gap[rows] = np.take_along_axis(loss, order[:, 1:2], 1)[:, 0] - best[:, 0] if len(model.langs) > 1 else np.inf
             none = np.array([not _letters(t.as_py()) for t in batch["text"]], bool)
             lang[none], score[none], gap[none] = UNKNOWN, 0.0, 0.0
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(lang.tolist(), pa.string()), pa.array(score), pa.array(gap), pa.array(gap < margin)], names=["doc_id", "lang_pred", "score", "margin", "ambiguous"])

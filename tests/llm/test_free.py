@@ -1,6 +1,7 @@
 """The operators that run Python, against brute force, round trips and held-out accuracy."""
 
 import random
+import re
 import zlib
 
 import numpy as np
@@ -341,6 +342,43 @@ def test_ambiguous_texts_are_kept(spark):
     assert {x.doc_id for x in language_id.keep_identified(table, model).collect()} == {i for i, _, _ in rows} - {600}
 
 
+def grams_of(text):
+    """n, n-gram for all that the language model counts, in plain Python."""
+    letters = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in (text or "").encode())
+    clean = re.sub(b" +", b" ", b" " + letters + b" ")
+    for n in language_id.GRAMS:
+        slot = language_id.GRAMS.index(n) * language_id.BINS
+        for k in range(len(clean) - n + 1):
+            yield slot + ((int.from_bytes(clean[k : k + n], "big") * 0x9E3779B1 + n * 0x85EBCA6B) % (1 << 32) >> 18)
+
+
+def test_language_outputs_losses_and_decoding(monkeypatch):
+    r = random.Random(6)
+    counts = np.array([[r.randint(0, 9) for _ in range(len(language_id.GRAMS) * language_id.BINS)] for _ in range(5)], float)
+    model = language_id.fit(list("abcde"), counts)
+    texts = [talk(r, lang, r.randint(1, 40)) + r.choice(["", "  ", " 12!", "É."]) for lang in list(WORDS) * 6] + [" lead", "x", "!?", "", None, "a  b", "  7  "]
+    column = pa.array(texts, pa.string())
+    for size, step in ((1 << 19, 1 << 16), (64, 16), (7, 3)):  # long texts come in parts, and sum to the same
+        monkeypatch.setattr(language_id, "_SLICE", size)
+        monkeypatch.setattr(language_id, "_STEP", step)
+        got = model.outputs(column)
+        for t, out in zip(texts, got):
+            grams = list(grams_of(t))
+            want = [sum(float(model.odds[g, b]) for g in grams) / max(1, len(grams)) ** 0.5 for b in range(model.odds.shape[1])]
+            assert out.tolist() == pytest.approx(want, abs=1e-3)
+        batch = pa.RecordBatch.from_arrays([pa.array(["a" if k % 2 else "b" for k in range(len(texts))]), column], names=["lang", "text"])
+        have = {(x["lang"], x["bin"]): x["n"] for b in language_id._count(iter([batch])) for x in b.to_pylist()}
+        want = {}
+        for k, t in enumerate(texts):
+            for g in grams_of(t):
+                want["a" if k % 2 else "b", g] = want.get(("a" if k % 2 else "b", g), 0) + 1
+        assert have == want
+    outputs = model.outputs(column)
+    for out, losses in zip(outputs, model.losses(outputs)):
+        for lang, word in enumerate(model.code):
+            assert losses[lang] == pytest.approx(sum(w * np.log1p(np.exp(-z * bit)) if -z * bit < 30 else w * -z * bit for z, bit, w in zip(out, word.tolist(), model.weight)))
+
+
 def test_language_codes_and_few_labels(spark):
     for n in (2, 4, 7, 12):
         code = language_id.codewords(n)
@@ -357,13 +395,36 @@ def test_language_codes_and_few_labels(spark):
 # --- fingerprints ------------------------------------------------------------------------
 
 
+def sets(keys):
+    return [frozenset(keys.key[a:b].tolist()) for a, b in zip(keys.first, keys.first[1:])]
+
+
+def as_keys(groups):
+    return iblt.Keys(np.array([k for g in groups for k in sorted(g)], np.uint64), np.concatenate([[0], np.cumsum([len(g) for g in groups])]).astype(np.int64))
+
+
+def alike(a, b):
+    return 1 - len(a ^ b) / (len(a) + len(b)) if a or b else 1.0
+
+
 def test_sketches_peel_to_the_difference():
     r = random.Random(3)
-    for _ in range(200):
-        a = frozenset(r.getrandbits(64) for _ in range(r.randint(0, 80)))
-        b = frozenset(list(a)[: r.randint(0, len(a))]) | frozenset(r.getrandbits(64) for _ in range(r.randint(0, 80)))
-        assert iblt.difference(a, b) == (set(a - b), set(b - a))
-    assert iblt.likeness(frozenset(), frozenset()) == 1.0 and iblt.likeness(frozenset([1]), frozenset()) == 0.0
+    ours = [frozenset(r.getrandbits(64) for _ in range(r.choice([0, 1, 3, 80, 700]))) for _ in range(300)]
+    others = [frozenset(list(a)[: r.randint(0, len(a))]) | frozenset(r.getrandbits(64) for _ in range(r.choice([0, 2, 90, 2000]))) for a in ours]
+    a, b = as_keys(ours), as_keys(others)
+    of_a, of_b = iblt.fingerprints(a), iblt.fingerprints(b)
+    assert sets(iblt.given_away(of_a)) == ours
+    # The published strings alone tell every difference, also where one sketch is far larger.
+    got = iblt.compare_fingerprints(of_a.texts(), of_b.texts())
+    assert got.tolist() == pytest.approx([alike(x, y) for x, y in zip(ours, others)])
+    part = np.maximum(of_a.part, of_b.part)
+    doc, key, sign, whole = iblt.Sketches.of(a, 8 * part).minus(iblt.Sketches.of(b, 8 * part)).peel()
+    assert whole.all()
+    for d, (x, y) in enumerate(zip(ours, others)):
+        assert {k for k, s in zip(key[doc == d].tolist(), sign[doc == d]) if s > 0} == x - y and {k for k, s in zip(key[doc == d].tolist(), sign[doc == d]) if s < 0} == y - x
+    # Too small a sketch gets stuck and is made larger.
+    tiny = np.full(len(part), 1)
+    assert not iblt.Sketches.of(a, tiny).peel()[3].all() and iblt.differing(a, b, tiny).tolist() == [len(x ^ y) for x, y in zip(ours, others)]
 
 
 def test_paragraphs_are_cut_by_content():
@@ -372,21 +433,28 @@ def test_paragraphs_are_cut_by_content():
     assert " ".join(iblt.paragraphs(a)) == a and len(iblt.paragraphs(a)) > 5
     common = set(iblt.paragraphs(a + " " + b)) & set(iblt.paragraphs("one more " + a + " " + b))
     assert len(common) > 0.8 * len(iblt.paragraphs(a + " " + b))
+    long = prose(r, 20)
+    assert iblt.paragraphs(long + " First. Second!\nthird line\nfo " + long)[-1].split()[-1] == long.split()[-1]
+    assert {"Second!", "x"} <= set(iblt.paragraphs(f"{long}\nSecond!\nx x x x x {long}")) and iblt.paragraphs("a b") == ["a", "b"]
 
 
 def test_versions(spark):
-    rows = [(i, t) for i, t in edge_rows() if i not in (13, 14)] + [(20, "naïve\ntext. More."), (21, "🙂" * 10)]
+    rows = [(i, t) for i, t in edge_rows() if i not in (13, 14)] + [(20, "naïve\ntext. More."), (21, "🙂" * 10), (22, "As " * 200 + "was " * 200)]
     order = sorted(rows, key=lambda r: -(1 << 63) if r[0] is None else r[0], reverse=True)
     got = {r.doc_id: r for r in iblt.compare_versions(docs(spark, rows)).collect()}
     assert len(got) == len(rows)
-    for k, (i, t) in enumerate(order):
-        t, nxt = t or "", order[(k + 1) % len(order)][1] or ""
-        e = t[: len(t) - len(t) // 3] + nxt[: len(t) // 3]
-        a, b, c = map(iblt.digests, (t, e, nxt))
-        like = lambda x, y: 1 - len(x ^ y) / (len(x) + len(y)) if x or y else 1.0
+    texts = [t or "" for _, t in order]
+    edited = [t[: len(t) - len(t) // 3] + n[: len(t) // 3] for t, n in zip(texts, texts[1:] + texts[:1])]
+    own, new = sets(iblt.digests(pa.array(texts))), sets(iblt.digests(pa.array(edited)))
+    for k, (i, _) in enumerate(order):
         g = got[i]
-        assert (g.n_chars, g.edited) == (len(t), e)
-        assert g.near_edited == pytest.approx(like(a, b)) and g.near_next == pytest.approx(like(a, c))
+        assert (g.n_chars, g.edited) == (len(texts[k]), edited[k])
+        assert g.near_edited == pytest.approx(alike(own[k], new[k])) and g.near_next == pytest.approx(alike(own[k], own[(k + 1) % len(own)]))
+        assert iblt.compare_fingerprints([g.fingerprint], [g.edited_fingerprint])[0] == g.near_edited
+        assert iblt.compare_fingerprints([g.fingerprint], [got[order[(k + 1) % len(order)][0]].fingerprint])[0] == g.near_next
+        words = (texts[k][: len(texts[k]) - len(texts[k]) // 3]).split()
+        if len(words) > 3:  # two thirds of the text are unchanged
+            assert g.near_edited > 0
     assert got[1].fingerprint == got[2].fingerprint != got[16].fingerprint
     assert iblt.compare_versions(docs(spark, [])).count() == 0
     lone = iblt.compare_versions(docs(spark, [(1, "abcdef")])).first()
@@ -395,6 +463,16 @@ def test_versions(spark):
     assert len(ties) == 3
 
 
+def test_versions_do_not_depend_on_the_chunks(spark, monkeypatch):
+    r = random.Random(9)
+    rows = [(i, prose(r, r.randint(0, 300))) for i in range(60)]
+    whole = sorted(iblt.compare_versions(docs(spark, rows)).collect())
+    batch = pa.RecordBatch.from_pylist([{"block": 0, "halo": False, "doc_id": i, "text": t} for i, t in reversed(rows)], pa.schema([("block", pa.int32()), ("halo", pa.bool_()), ("doc_id", pa.int64()), ("text", pa.string())]))
+    monkeypatch.setattr(iblt, "CHUNK_CHARS", 500)
+    got = pa.Table.from_batches(iblt._compare(iter([batch]))).to_pylist()
+    assert sorted(tuple(g.values()) for g in got) == [tuple(w) for w in whole if w.doc_id]
+
+
 # --- urls ----------------------------------------------------------------------------------
 
 

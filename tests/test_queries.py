@@ -43,3 +43,10 @@ def test_query_matches_sql(spark, duck, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("missing", ["tessera.llm", "corpus_pipeline"])
+def test_entry_without_the_optional_parts(monkeypatch, missing):
+    monkeypatch.setitem(__import__("sys").modules, missing, None)
+    found = entry.queries()
+    assert set(QUERIES) <= set(found) and "pipeline" not in found and set(entry.oracle_sql()) <= set(found)

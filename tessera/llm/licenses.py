@@ -1,17 +1,20 @@
 """Licence scans by a positional index of rare words.
 
-Templates are licence notices. Their words, without common English function words, are
-the licence vocabulary. Over all documents the vocabulary's document frequencies give
-each word's IDF. For each template whose mandatory phrases stand in a file, the file's
-licence words are looked up in the template's postings; a hit votes for (template, file
-position - template position). A place is a candidate if one of the template's
-highest-IDF words hits it, and gives a label if enough of all the template's words do.
-As many words count as highest-IDF as no place with enough votes can do without, so
+Templates are licence notices, from one line to whole texts. Their words, without common
+English function words, are the licence vocabulary. Over all documents the vocabulary's
+document frequencies give each word's IDF. For each template whose mandatory phrases stand
+in a file, the file's licence words are looked up in the template's postings; a hit votes
+for the place (file position - template position), and so does a mandatory phrase. Places
+of one-line notices are exact; those of longer ones are bands of a tenth of their length,
+each half over the next, so that words which an edit put in or took out do not part the
+votes. A place is a candidate if one of the template's highest-IDF words hits it, and
+gives a label if enough of the template's words do and all its mandatory phrases stand
+there. As many words count as highest-IDF as no place with enough votes can do without, so
 candidates lose nothing, and what else stands in a file takes no label away.
 
 Only built-in expressions. The text is read once; what leaves the scan is one small row
-for each document, in the shared folder. Only the templates' postings (bounded by the
-templates) are broadcast.
+for each document, in the shared folder; only documents with a mandatory phrase give
+positions. Only the templates' postings (bounded by the templates) are broadcast.
 
 Defined results: a null text has no words; a text without licence words has no label but
 base ones; ties in IDF go by word; repeated rows are each judged for themselves and each
@@ -21,11 +24,13 @@ count in the frequencies; an empty table gives an empty table.
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm._shared import materialize, table
+from tessera.llm.licence_texts import NOTICES
 
 #: What separates words: ASCII but for digits and letters (texts are lower-cased first).
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -33,50 +38,72 @@ GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 # The base phrases and their labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-#: Notices: label, text, mandatory phrases.
-TEMPLATES = (
-    ("apache-2.0", "licensed under the apache license version 2 0", ("apache license",)),
-    ("mit", "released under the mit license", ("mit license",)),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ("permission is hereby granted", "free of charge")),
-    ("gpl-3.0", "this work is licensed under the gnu general public license version 3", ("gnu general public license", "version 3")),
-    ("gpl-2.0", "this work is licensed under the gnu general public license version 2", ("gnu general public license", "version 2")),
-    ("lgpl", "licensed under the gnu lesser general public license", ("lesser general public license",)),
-    ("cc-by-nc-4.0", "licensed under cc by nc 4 0", ("cc by nc",)),
-    ("cc-by-sa-4.0", "licensed under cc by sa 4 0", ("cc by sa",)),
-    ("cc-by-4.0", "licensed under a creative commons attribution 4 0 international license", ("creative commons attribution",)),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("redistribution and use", "source and binary forms")),
-    ("mpl-2.0", "subject to the terms of the mozilla public license version 2 0", ("mozilla public license",)),
-    ("proprietary", "copyright all rights reserved", ("all rights reserved",)),
-    ("unlicense", "this is free and unencumbered software released into the public domain", ("unencumbered software", "public domain")),
-)
 #: Function words carry no position votes.
-FUNCTION_WORDS = frozenset("a all and any are for in into is it of or that the this to with without use work under".split())
-
-RARE = 8
+FUNCTION_WORDS = frozenset("a all and any are as at be by for from in into is it of on or that the this to was with without use will work under".split())
+#: Share of a template's words that have to agree on a place.
 SHARE = 0.6
+#: Words up to which a notice's places are exact.
+EXACT = 16
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _normal(text: str) -> tuple[str, ...]:
+    return tuple(w for w in re.split(GAP, text.lower()) if w)
+
+
+#: Label, words, mandatory phrases.
+TEMPLATES = tuple((label, _normal(text), phrases) for label, text, phrases in NOTICES)
 
 
 def vocabulary(templates=TEMPLATES) -> list[str]:
-    return sorted({w for _, text, _ in templates for w in text.split()} - FUNCTION_WORDS)
+    return sorted({w for _, words, _ in templates for w in words} - FUNCTION_WORDS)
 
 
 def key_phrases(templates=TEMPLATES) -> list[str]:
     return sorted({p for _, _, keys in templates for p in keys})
 
 
+def _width(words: Sequence[str]) -> int:
+    """Positions of one band of places: even, or 1 for exact places."""
+    return 1 if len(words) <= EXACT else 2 * (len(words) // 10)
+
+
+def _spots(words: Sequence[str], phrase: str) -> list[int]:
+    parts = tuple(phrase.split())
+    return [i for i in range(len(words)) if tuple(words[i : i + len(parts)]) == parts]
+
+
+def _postings_of(templates) -> list[tuple[int, str, int, int, int, int]]:
+    """t, word, spot, of (the template's voting words), width, sought: how many of its
+    highest-IDF words have to be looked up so that no place with enough votes is missed."""
+    rows = []
+    for t, (_, words, _) in enumerate(templates):
+        votes = [(w, i) for i, w in enumerate(words) if w not in FUNCTION_WORDS]
+        of = len(votes)
+        least = next(v for v in range(1, of + 1) if v / of >= SHARE)
+        rows += [(t, w, i, of, _width(words), of - least + 1) for w, i in votes]
+    return rows
+
+
+def _needs_of(templates) -> list[tuple[int, int, int, int]]:
+    """t, phrase, spot, width for each place of a mandatory phrase in a template."""
+    phrases = key_phrases(templates)
+    return [(t, phrases.index(p), i, _width(words)) for t, (_, words, keys) in enumerate(templates) for p in keys for i in _spots(words, p)]
+
+
 def _stands(words: str) -> str:
     """A pattern for a phrase's words standing consecutively in lower-cased text."""
     return r"(?:^|[\x00-\x2F\x3A-\x60\x7B-\x7F])" + GAP.join(re.escape(w) for w in words.split()) + r"(?:$|[\x00-\x2F\x3A-\x60\x7B-\x7F])"
 
 
-def _has(low: Column, phrase: str) -> Column:
-    """Does the phrase stand? Few texts have its longest word at all, and looking for that
-    is far cheaper than the pattern."""
-    return low.contains(max(phrase.split(), key=len)) & low.rlike(_stands(phrase))
+def _lower(text: Column) -> Column:
+    """A-Z in lower case, and nothing else. Where a text is ASCII that is the plain function."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
 
 
-def _places(low: Column, words: Column, phrase: str) -> Column:
-    """Starts of a phrase in the array of words; null unless the text has it."""
+def _places(low: Column, words: Column, phrase: str, may: Column | None = None) -> Column:
+    """Starts of a phrase in the array of words. Few texts have its longest word at all, and
+    looking for that is far cheaper than the pattern; ``may`` tells where it can stand."""
     parts = phrase.split()
     n = F.size(words) - len(parts)
 
@@ -86,74 +113,93 @@ def _places(low: Column, words: Column, phrase: str) -> Column:
             test = test & (F.get(words, i + k) == part)
         return test
 
-    return F.when(_has(low, phrase), F.filter(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), begins)).otherwise(F.array().cast("array<int>"))
+    has = low.contains(max(parts, key=len)) & low.rlike(_stands(phrase))
+    return F.when(has if may is None else may & has, F.filter(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), begins)).otherwise(F.array().cast("array<int>"))
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, base=BASE) -> DataFrame:
-    """One row for each document: row, doc_id, n_words, the starts of each base phrase,
-    its licence words with positions, and which mandatory phrases it has."""
-    low = F.lower(F.coalesce(F.col("text"), F.lit("")))
+    """One row for each document: row, doc_id, n_words, the starts of each base phrase, its
+    distinct licence words (terms), the starts of each mandatory phrase (keys), and where
+    there are some, its licence words with positions."""
+    low = _lower(F.coalesce(F.col("text"), F.lit("")))
     split = docs.select("doc_id", low.alias("low"), F.split(low, GAP, -1).alias("raw"))
     first = F.when(F.element_at("raw", 1) == "", 1).otherwise(0)
     last = F.when((F.size("raw") > 1) & (F.element_at("raw", -1) == ""), 1).otherwise(0)
     words = split.select("doc_id", "low", F.slice("raw", first + 1, F.size("raw") - first - last).alias("words"))
-    vocab = F.array(*[F.lit(w) for w in vocabulary(templates)])
-    licence = F.when(
-        F.arrays_overlap("words", vocab),
-        F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda x: F.array_contains(vocab, x["word"])),
-    ).otherwise(F.array().cast("array<struct<word:string,at:int>>"))
-    keys = F.array(*[_has(F.col("low"), p) for p in key_phrases(templates)])
-    return words.select(
-        F.monotonically_increasing_id().alias("row"),
+    # Phrases' longest words are looked up too, whether they vote or not.
+    asked = sorted({*vocabulary(templates), *(max(p.split(), key=len) for p in key_phrases(templates))})
+    termed = words.select("doc_id", "low", "words", F.array_intersect("words", F.array(*[F.lit(w) for w in asked])).alias("terms"))
+    keys = F.array(*[_places(F.col("low"), F.col("words"), p, F.array_contains("terms", max(p.split(), key=len))) for p in key_phrases(templates)])
+    found = termed.select(
         "doc_id",
-        F.size("words").cast("long").alias("n_words"),
+        "words",
+        "terms",
         F.array(*[_places(F.col("low"), F.col("words"), p) for p, _ in base]).alias("base"),
-        licence.alias("licence"),
-        F.when(F.arrays_overlap("words", vocab), keys).otherwise(F.array().cast("array<boolean>")).alias("keys"),
+        F.when(F.size("terms") > 0, keys).otherwise(F.array().cast("array<array<int>>")).alias("keys"),
     )
+    licence = F.when(
+        F.exists("keys", lambda k: F.size(k) > 0),
+        F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda x: F.array_contains("terms", x["word"])),
+    ).otherwise(F.array().cast("array<struct<word:string,at:int>>"))
+    return found.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.size("words").cast("long").alias("n_words"), "base", "terms", "keys", licence.alias("licence"))
 
 
 def idf(scanned: DataFrame) -> DataFrame:
-    """word, idf over all documents of the scan; a row for each vocabulary word they have."""
+    """word, idf over all documents of the scan; a row for each licence word they have."""
     rows = scanned.agg(F.count(F.lit(1)).alias("n"))
-    df = scanned.select(F.explode(F.array_distinct(F.transform("licence", lambda x: x["word"]))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    df = scanned.select(F.explode("terms").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     return df.crossJoin(F.broadcast(rows)).select("word", F.log((F.col("n") + 1.0) / (F.col("df") + 1.0)).alias("idf"))
 
 
-def _postings(scanned: DataFrame, templates, rare: int, share: float) -> DataFrame:
-    """t, word, spot, of, seeks for each voting word of each template: the votes that make a
-    full score, and whether the word is one of the template's highest-IDF words. A place
-    can miss ``size - least`` words at most, so one more than that are looked for; a word
-    that no document has comes first, as the rarest."""
-    rows = []
-    for t, (_, text, _) in enumerate(templates):
-        votes = [(w, i) for i, w in enumerate(text.split()) if w not in FUNCTION_WORDS]
-        of = min(len(votes), rare)
-        least = next((v for v in range(1, of + 1) if v / of >= share), of + 1)
-        rows += [F.struct(F.lit(t).alias("t"), F.lit(w).alias("word"), F.lit(i).alias("spot"), F.lit(of).alias("of"), F.lit(len(votes) - least + 1).alias("sought")) for w, i in votes]
-    entries = scanned.sparkSession.range(1).select(F.inline(F.array(*rows)))
+def _table(spark: SparkSession, rows: Sequence[tuple], names: Sequence[str]) -> DataFrame:
+    return spark.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(x).alias(n) for x, n in zip(r, names, strict=True)]) for r in rows])))
+
+
+def _postings(scanned: DataFrame, templates) -> DataFrame:
+    """t, word, spot, of, width, seeks: is the word one of the template's highest-IDF words?
+    A word that no document has comes first, as the rarest."""
+    entries = _table(scanned.sparkSession, _postings_of(templates), ("t", "word", "spot", "of", "width", "sought"))
     rank = F.row_number().over(Window.partitionBy("t").orderBy(F.col("idf").desc_nulls_first(), "word", "spot"))
-    return entries.join(F.broadcast(idf(scanned)), "word", "left").select("t", "word", "spot", "of", (rank <= F.col("sought")).alias("seeks"))
+    return entries.join(F.broadcast(idf(scanned)), "word", "left").select("t", "word", "spot", "of", "width", (rank <= F.col("sought")).alias("seeks"))
 
 
-def find_licences(scanned: DataFrame, templates=TEMPLATES, rare: int = RARE, share: float = SHARE) -> DataFrame:
-    """row, label, score for each document and template place that holds: the mandatory
-    phrases stand, one of the template's highest-IDF words is at its place, and at least
-    ``share`` of the template's voting words (of ``rare`` if it has more) agree on it."""
-    phrases = key_phrases(templates)
+def _bands(offset: Column, width: Column) -> Column:
+    """The places that an offset votes for: (half, band)."""
+    whole = F.struct(F.lit(0).alias("half"), F.floor(offset / width).alias("band"))
+    half = F.struct(F.lit(1).alias("half"), F.floor((offset + width / 2) / width).alias("band"))
+    return F.when(width == 1, F.array(whole)).otherwise(F.array(whole, half))
+
+
+def find_licences(scanned: DataFrame, templates=TEMPLATES) -> DataFrame:
+    """row, label, score for each document and label of a template that has a place: all its
+    mandatory phrases stand there, one of its highest-IDF words does, and at least ``SHARE``
+    of its voting words do; score is that share."""
+    spark, phrases = scanned.sparkSession, key_phrases(templates)
     stand = F.array(*[F.struct(F.lit(t).alias("t"), F.array(*[F.lit(phrases.index(p)) for p in keys]).alias("needed")) for t, (_, _, keys) in enumerate(templates)])
-    held = F.transform(F.filter(stand, lambda x: F.forall(x["needed"], lambda k: F.get(F.col("keys"), k))), lambda x: x["t"])
-    words = scanned.where(F.size("licence") > 0).select("row", "licence", F.explode(held).alias("t")).select("row", "t", F.explode("licence").alias("x")).select("row", "t", "x.word", "x.at")
+    held = F.transform(F.filter(stand, lambda x: F.forall(x["needed"], lambda k: F.size(F.get(F.col("keys"), k)) > 0)), lambda x: x["t"])
+    holding = scanned.where(F.size("licence") > 0).select("row", "licence", "keys", held.alias("held")).where(F.size("held") > 0)
+    words = holding.select("row", "licence", F.explode("held").alias("t")).select("row", "t", F.explode("licence").alias("x")).select("row", "t", "x.word", "x.at")
+    none = F.lit(None)
+    hits = words.join(F.broadcast(_postings(scanned, templates)), ["t", "word"]).select("row", "t", (F.col("at") - F.col("spot")).alias("offset"), "width", "of", "spot", "seeks", none.cast("int").alias("phrase"))
+    needed = _table(spark, _needs_of(templates), ("t", "phrase", "spot", "width"))
+    stands = holding.select("row", "held", F.posexplode("keys").alias("phrase", "places")).where(F.size("places") > 0).select("row", "held", "phrase", F.explode("places").alias("at"))
+    phrase_hits = (
+        stands.join(F.broadcast(needed), "phrase")
+        .where(F.array_contains("held", F.col("t")))
+        .select("row", "t", (F.col("at") - F.col("spot")).alias("offset"), "width", none.cast("int").alias("of"), none.cast("int").alias("spot"), none.cast("boolean").alias("seeks"), "phrase")
+    )
     votes = (
-        words.join(F.broadcast(_postings(scanned, templates, rare, share)), ["t", "word"])
-        .groupBy("row", "t", (F.col("at") - F.col("spot")).alias("offset"))
-        .agg(F.count(F.lit(1)).alias("votes"), F.first("of").alias("of"), F.bool_or("seeks").alias("candidate"))
+        hits.unionByName(phrase_hits)
+        .select("row", "t", "of", "spot", "seeks", "phrase", F.explode(_bands(F.col("offset"), F.col("width"))).alias("place"))
+        .groupBy("row", "t", "place")
+        .agg(F.size(F.collect_set("spot")).alias("votes"), F.size(F.collect_set("phrase")).alias("phrases"), F.max("of").alias("of"), F.bool_or("seeks").alias("candidate"))
     )
+    of = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("t") + 1).cast("int"))
     return (
-        votes.where("candidate")
-        .withColumn("score", F.least(F.col("votes") / F.col("of"), F.lit(1.0)))
-        .where(F.col("score") >= share)
-        .groupBy("row", F.element_at(F.array(*[F.lit(label) for label, _, _ in templates]), (F.col("t") + 1).cast("int")).alias("label"))
+        votes.where(F.col("candidate") & (F.col("phrases") == of([len(keys) for _, _, keys in templates])))
+        .withColumn("score", F.col("votes") / F.col("of"))
+        .where(F.col("score") >= SHARE)
+        .groupBy("row", of([label for label, _, _ in templates]).alias("label"))
         .agg(F.max("score").alias("score"))
     )
 
@@ -208,24 +254,23 @@ phrase(p, label, n, k, part) AS (VALUES {_sql_values([(i, label, len(p.split()),
 base AS (
   SELECT r, i - k AS s, p, label FROM w JOIN phrase ON word = part GROUP BY r, i - k, p, label, n HAVING count(*) = n),
 keyed(p, n, k, part) AS (VALUES {_sql_values([(i, len(p.split()), k, w) for i, p in enumerate(key_phrases()) for k, w in enumerate(p.split())])}),
-stands AS (
-  SELECT DISTINCT r, p FROM (SELECT r, i - k AS s, p FROM w JOIN keyed ON word = part GROUP BY r, i - k, p, n HAVING count(*) = n)),
-posting(word, t, spot) AS (VALUES {_sql_values([(w, t, i) for t, (_, text, _) in enumerate(TEMPLATES) for i, w in enumerate(text.split()) if w not in FUNCTION_WORDS])}),
-needs(t, p) AS (VALUES {_sql_values([(t, key_phrases().index(p)) for t, (_, _, keys) in enumerate(TEMPLATES) for p in keys])}),
-named(t, label) AS (VALUES {_sql_values([(t, label) for t, (label, _, _) in enumerate(TEMPLATES)])}),
-idf AS (
-  SELECT word, ln(((SELECT count(*) FROM d) + 1.0::DOUBLE) / (count(DISTINCT r) + 1.0::DOUBLE)) AS idf
-  FROM w WHERE word IN (SELECT word FROM posting) GROUP BY word),
-ranked AS (
-  SELECT r, word, i, dense_rank() OVER (PARTITION BY r ORDER BY idf DESC, word) AS rank FROM w JOIN idf USING (word)),
+stands AS MATERIALIZED (
+  SELECT r, p, s FROM (SELECT r, i - k AS s, p FROM w JOIN keyed ON word = part GROUP BY r, i - k, p, n HAVING count(*) = n)),
+posting(t, word, spot, "of", width) AS (VALUES {_sql_values([r[:5] for r in _postings_of(TEMPLATES)])}),
+needs(t, p, spot, width) AS (VALUES {_sql_values(_needs_of(TEMPLATES))}),
+named(t, label, n) AS (VALUES {_sql_values([(t, label, len(keys)) for t, (label, _, keys) in enumerate(TEMPLATES)])}),
+held AS MATERIALIZED (
+  SELECT r, t FROM (SELECT DISTINCT r, p FROM stands) JOIN (SELECT DISTINCT t, p FROM needs) USING (p) JOIN named USING (t) GROUP BY r, t, n HAVING count(*) = n),
+hits AS (
+  SELECT r, t, i - spot AS place, width, spot, NULL AS p FROM w JOIN posting USING (word) JOIN held USING (r, t)
+  UNION ALL SELECT r, t, s - spot, width, NULL, p FROM stands JOIN needs USING (p) JOIN held USING (r, t)),
 votes AS (
-  SELECT r, t, i - spot AS place, count(*) AS votes FROM ranked JOIN posting USING (word) WHERE rank <= {RARE} GROUP BY r, t, i - spot),
+  SELECT r, t, half, floor((place + half * width / 2) / width::DOUBLE) AS band, count(DISTINCT spot) AS votes, count(DISTINCT p) AS phrases
+  FROM hits, (VALUES (0), (1)) h(half) WHERE half = 0 OR width > 1 GROUP BY r, t, half, band),
 scored AS (
-  SELECT r, t, least(votes / least((SELECT count(*) FROM posting q WHERE q.t = votes.t), {RARE})::DOUBLE, 1.0::DOUBLE) AS score FROM votes),
+  SELECT r, label, votes / (SELECT any_value(q."of") FROM posting q WHERE q.t = votes.t)::DOUBLE AS score FROM votes JOIN named USING (t) WHERE phrases = n),
 found AS (
-  SELECT r, label, max(score) AS score FROM scored JOIN named USING (t)
-  WHERE score >= {SHARE}::DOUBLE AND NOT EXISTS (SELECT 1 FROM needs WHERE needs.t = scored.t AND NOT EXISTS (SELECT 1 FROM stands WHERE stands.r = scored.r AND stands.p = needs.p))
-  GROUP BY r, label),
+  SELECT r, label, max(score) AS score FROM scored WHERE score >= {SHARE}::DOUBLE GROUP BY r, label),
 b AS (SELECT r, count(*) AS n, min(s) AS lo, max(s) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM base GROUP BY r),
 e AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM base UNION ALL SELECT r, label FROM found) GROUP BY r),
 f AS (SELECT r, max(score) AS score FROM found GROUP BY r)

@@ -1,6 +1,7 @@
 """Mixing, secrets and licences, against plain Python."""
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -207,15 +208,74 @@ def test_licences(spark):
     assert licenses.scan_licences(docs(spark, [])).count() == 0
 
 
+def labels_of(spark, rows):
+    return {r.doc_id: {f.label: f.score for f in r.found} for r in licenses.scan_licences(docs(spark, rows)).collect()}
+
+
 def test_every_notice_of_a_file_is_found(spark):
-    notice = {}
-    for label, text, _ in licenses.TEMPLATES:
-        notice[label] = text  # of mit the long one
+    notice = {label: text for label, text, _ in licenses.NOTICES}  # the long ones
     pairs = [("mit", "bsd"), ("apache-2.0", "bsd"), ("mit", "apache-2.0"), ("mpl-2.0", "gpl-2.0", "unlicense"), tuple(notice)]
     rare = " person source conditions following binary obtaining charge hereby subject terms" * 3
     rows = [(i, " filler ".join(notice[k] for k in p), None) for i, p in enumerate(pairs)]
     rows += [(50, "released under the mit license" + rare, None), (51, "person source binary hereby free of charge mit", None)]
-    got = {r.doc_id: {f.label: f.score for f in r.found} for r in licenses.scan_licences(docs(spark, rows)).collect()}
+    # The words of a notice, and its phrase elsewhere in the file: no phrase at the place, no label.
+    rows += [(52, "licensed under the apache x license version 2 0 " + "filler " * 50 + "apache license", None)]
+    got = labels_of(spark, rows)
     for i, p in enumerate(pairs):
         assert set(p) <= set(got[i]) and all(got[i][k] == 1 for k in p)
-    assert set(got[50]) == {"mit"} and got[51] == {}
+    assert set(got[50]) == {"mit"} and got[51] == {} == got[52]
+
+
+def edited(r, words, rate):
+    """Words of a notice with a share of them left out, replaced and added to."""
+    out = []
+    for w in words:
+        x = r.random() / rate
+        out += [] if x < 1 / 3 else ["changed"] if x < 2 / 3 else [w, "added"] if x < 1 else [w]
+    return out
+
+
+def test_recall_on_edited_notices(spark):
+    r = random.Random(12)
+    rows, want = [], {}
+    for rate in (0.02, 0.04):
+        for label, text, _ in licenses.NOTICES:
+            for _ in range(8):
+                words = edited(r, text.split(), rate)
+                body = "\n# ".join(" ".join(words[k : k + 9]) for k in range(0, len(words), 9))
+                around = [" ".join(r.choice("the software a copy of use terms water source license ship".split()) for _ in range(r.randint(0, 300))) for _ in range(2)]
+                want[len(rows)] = (rate, label)
+                rows.append((len(rows), f"{around[0]}\n# {body}\n{around[1]}", None))
+    got = labels_of(spark, rows)
+    for rate in (0.02, 0.04):
+        mine = [label in got[i] for i, (x, label) in want.items() if x == rate]
+        print(f"recall at {rate}: {sum(mine) / len(mine):.3f} of {len(mine)}")
+        assert sum(mine) / len(mine) >= 0.9 - (rate > 0.03) * 0.1
+    # And without a notice no label.
+    noise = [(i, " ".join(r.choice("the software is provided as is without warranty of any kind copyright license terms conditions source binary use public domain free".split()) for _ in range(2000)), None) for i in range(20)]
+    assert all(found == {} for found in labels_of(spark, noise).values())
+
+
+def test_notices_match_a_plain_scan(spark):
+    """Scores against a search in plain Python, over edited notices and prose."""
+    r = random.Random(13)
+    rows = [(k, " ".join([*edited(r, r.choice(licenses.NOTICES)[1].split(), 0.3), *("of license software version 2 the".split() * r.randint(0, 5)), *edited(r, r.choice(licenses.NOTICES)[1].split(), 0.1)]), None) for k in range(40)]
+    got = labels_of(spark, rows)
+    for i, text, _ in rows:
+        words, want = licenses._normal(text), {}
+        for label, notice, keys in licenses.TEMPLATES:
+            width, voting = licenses._width(notice), [k for k, w in enumerate(notice) if w not in licenses.FUNCTION_WORDS]
+            places = {}
+            for half in (0, 1) if width > 1 else (0,):
+                for at, w in enumerate(words):
+                    for k in voting:
+                        if notice[k] == w:
+                            places.setdefault((half, (at - k + half * width // 2) // width), (set(), set()))[0].add(k)
+                for p in keys:
+                    for at in licenses._spots(words, p):
+                        for k in licenses._spots(notice, p):
+                            places.setdefault((half, (at - k + half * width // 2) // width), (set(), set()))[1].add(p)
+            scores = [len(a) / len(voting) for a, b in places.values() if len(b) == len(keys) and len(a) / len(voting) >= licenses.SHARE]
+            if scores:
+                want[label] = max(scores + [want.get(label, 0)])
+        assert got[i] == pytest.approx(want)

@@ -2,22 +2,27 @@
 
 Host labels are names run together. A unigram model of the corpus's own words splits them
 by Viterbi: of all splits the one whose words are most probable, an unknown word being
-the less probable the longer it is. The words of the host and of the path are then scored
-by a multinomial naive Bayes model with two classes. Its training labels are weak ones: a
-url that has one of the ``SEEDS`` among its words counts as unwanted, every other as
-wanted; what else stands in such urls (a campaign's path, the rest of a host's name)
-gets its weight from them.
-
-The word model is all words of all pages' visible text. The most frequent, ``LEXICON`` of
-them at most, are broadcast. The others stay a table: the substrings of the distinct host
-and path labels are joined with it, each label is split again with what it holds of them,
-and where that changes its split, the split goes along with the urls that have the label.
-The naive Bayes model has hashed bins and is broadcast. Counts are taken over all pages.
-Pages' texts are never shuffled.
+the less probable the longer it is. The words are those of all pages' visible text, and the
+tokens that paths of more than one host have between their separators: what many sites set
+off by themselves (a language code, a section's name) is a word.
+
+The words of the host and of the path are then scored by a multinomial naive Bayes model
+with two classes. It learns from the pages themselves: a page that a rule fits has the
+rule's verdict, and every other is unwanted if its visible text fails plain checks (too few
+words, words too short or too long, hardly any distinct ones). A url is so judged by what
+was found at urls with the same words, before its own page is fetched.
+
+The most frequent words of the model are broadcast, ``LEXICON`` of them at most. The others
+stay a table: the substrings of the distinct host and path labels are joined with it, each
+label is split again with what it holds of them, and where that changes its split, the
+split goes along with the urls that have the label, so no word is lost. The naive Bayes
+model has hashed bins and is broadcast. Counts are taken over all pages. Pages' texts are
+never shuffled.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, fits no
 rule and is allowed; a url without words is allowed; hosts with other than letters are cut
-there; repeated pages are judged alike and each counts; an empty table gives an empty table.
+there; a null html has no words; repeated pages are judged alike and each counts; an empty
+table gives an empty table.
 """
 
 from __future__ import annotations
@@ -38,12 +43,10 @@ from tessera.llm._shared import materialize, session_of, table
 
 # The rules (verdict, host, path).
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
-#: Words that make a url unwanted for training.
-SEEDS = frozenset("adult bet betting bitcoin buy casino cheap clickbait crack cialis escort forex free gambling keygen loan loans lottery pharma pharmacy pill pills poker porn prize replica sex slots spam torrent viagra warez win winner xxx".split())
-#: Words of the unigram model that are broadcast, and the longest word it looks for.
-LEXICON, LONGEST = 50_000, 20
-#: Count that a seed word has in the unigram model at least.
-SEED_COUNT = 50
+#: Words of the unigram model that are broadcast, and the longest word of it: that of a host label.
+LEXICON, LONGEST = 50_000, 63
+# A text is poor with fewer words, a mean word length outside these, or a lesser share of distinct words.
+LEAST_WORDS, WORD_LENGTHS, LEAST_DISTINCT = 50, (3.0, 10.0), 0.05
 #: Bins of the naive Bayes model.
 BINS = 1 << 16
 SMOOTHING = 0.1
@@ -54,7 +57,7 @@ _TOKENS = re.compile(r"[a-z]+|[0-9]+")
 _COUNTS = "bin int, unwanted boolean, n long"
 _OWN = "array<struct<label:string,words:array<string>>>"
 _SPLIT = "label string, words array<string>"
-_SCORED = "page_id long, url string, host string, path string, words string, score double"
+_SCORED = "page_id long, host string, path string, rule string, verdict string, unwanted boolean, words string, score double"
 
 _AFTER = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -118,18 +121,38 @@ class Segmenter:
 
 def segmenter(counts: dict[str, int], others: int = 0) -> Segmenter:
     """``others``: how often words that are not in ``counts`` stand in the texts."""
-    counts = dict(counts)
-    for seed in SEEDS:
-        counts[seed] = max(counts.get(seed, 0), SEED_COUNT)
-    total = float(sum(counts.values()) + others)
+    total = float(max(1, sum(counts.values()) + others))
     return Segmenter({w: math.log(n / total) for w, n in counts.items()}, total)
 
 
-def all_counts(texts: DataFrame) -> DataFrame:
-    """word, n: how often each word stands in ``texts`` (html), tags left out."""
-    visible = F.lower(F.regexp_replace(F.coalesce("html", F.lit("")), r"(?s)<[^>]*>", " "))
-    words = texts.select(F.explode(F.split(visible, "[^a-z]+")).alias("word")).where(F.length("word").between(1, LONGEST))
-    return materialize(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "word-counts")
+def visible(html: Column) -> Column:
+    """A page's text in lower case, tags left out."""
+    return F.lower(F.regexp_replace(F.coalesce(html, F.lit("")), r"(?s)<[^>]*>", " "))
+
+
+def is_poor(html: Column) -> Column:
+    """Does a page's visible text fail the checks?"""
+    words = F.array_remove(F.split(visible(html), r"\s+"), "")
+    length = F.length(F.array_join(words, "")) / F.size(words)
+    return (F.size(words) < LEAST_WORDS) | ~length.between(*WORD_LENGTHS) | (F.size(F.array_distinct(words)) < LEAST_DISTINCT * F.size(words))
+
+
+def parse(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
+    """page_id, url, host, path, rule and verdict (of the longest rule, or null) and
+    unwanted (the page's label) of ``pages``; the one time that texts are checked."""
+    parsed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")
+    ruled = parsed.withColumn("_rule", longest_rule(F.col("host"), F.col("path"), rules))
+    unwanted = F.coalesce(F.col("_rule.verdict") == "block", is_poor(F.col("html")))
+    return materialize(ruled.select("page_id", "url", "host", "path", F.col("_rule.rule").alias("rule"), F.col("_rule.verdict").alias("verdict"), unwanted.alias("unwanted")), "urls")
+
+
+def all_counts(texts: DataFrame, parsed: DataFrame) -> DataFrame:
+    """word, n: how often each word stands in ``texts`` (html), and beside the first how
+    many hosts of ``parsed`` (host, path) have it as a token of a path."""
+    words = texts.select(F.explode(F.split(visible(F.col("html")), "[^a-z]+")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    tokens = parsed.select("host", F.explode(F.split(F.lower("path"), "[^a-z]+")).alias("word")).distinct().groupBy("word").agg((F.count(F.lit(1)) - 1).alias("n")).where("n > 0")
+    both = words.unionAll(tokens).where(F.length("word").between(1, LONGEST)).groupBy("word").agg(F.sum("n").alias("n"))
+    return materialize(both, "word-counts")
 
 
 def least_count(counts: DataFrame, size: int) -> int:
@@ -147,17 +170,10 @@ def _collected(counts: DataFrame) -> dict[str, int]:
     return {r["word"]: r["n"] for r in counts.collect()}
 
 
-def word_counts(texts: DataFrame, size: int = LEXICON) -> dict[str, int]:
-    """The most frequent words of ``texts``: all with the least count for ``size`` or more."""
-    counts = all_counts(texts)
-    return _collected(counts.where(F.col("n") >= least_count(counts, size)))
-
-
 def word_model(counts: DataFrame, size: int = LEXICON) -> tuple[Segmenter, DataFrame | None]:
-    """The most frequent words (and the seeds) as a segmenter that knows the total of all
-    words, and the table of the others; None if there are none."""
-    least = least_count(counts, size)
-    common = (F.col("n") >= least) | F.col("word").isin(*sorted(SEEDS))
+    """The most frequent words as a segmenter that knows the total of all words, and the
+    table of the others; None if there are none."""
+    common = F.col("n") >= least_count(counts, size)
     others = counts.where(~common)
     n = others.agg(F.sum("n")).first()[0] or 0
     return segmenter(_collected(counts.where(common)), n), others if n else None
@@ -197,7 +213,7 @@ def with_splits(parsed: DataFrame, splits: DataFrame | None) -> DataFrame:
     """Adds ``own``: the splits of a url's labels, null for most."""
     if splits is None or splits.isEmpty():
         return parsed.withColumn("own", F.lit(None).cast(_OWN))
-    keyed = materialize(parsed.withColumn("row", F.monotonically_increasing_id()), "urls")
+    keyed = materialize(parsed.withColumn("row", F.monotonically_increasing_id()), "urls-numbered")
     own = keyed.select("row", F.explode(_labels(F.col("host"), F.col("path"))).alias("label")).join(splits, "label").groupBy("row").agg(F.collect_list(F.struct("label", "words")).alias("own"))
     return materialize(keyed.join(own, "row", "left").drop("row"), "urls-split")
 
@@ -216,24 +232,34 @@ def _bin(token: str) -> int:
     return zlib.crc32(token.encode()) % BINS
 
 
-def _is_unwanted(words: list[str]) -> bool:
-    return any(w[2:] in SEEDS for w in words)
+class _Tokens:
+    """Words and bins of the urls of a batch; the bin of a word is computed once."""
+
+    def __init__(self, model: Segmenter):
+        self.model, self.bins = model, {}
+
+    def of(self, batch: pa.RecordBatch) -> tuple[list[list[str]], np.ndarray, np.ndarray]:
+        """The words of each url, all their bins, and the number of words of each url."""
+        words = [tokens(self.model, h, p, o) for h, p, o in zip(batch["host"].to_pylist(), batch["path"].to_pylist(), batch["own"].to_pylist(), strict=True)]
+        distinct = {w for ws in words for w in ws}
+        if len(self.bins) >= _REMEMBERED:
+            self.bins.clear()
+        self.bins.update((w, _bin(w)) for w in distinct - self.bins.keys())
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        return words, np.fromiter((self.bins[w] for ws in words for w in ws), np.int64, int(sizes.sum())), sizes
 
 
 def _count(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, counts = shared.value, np.zeros((2, BINS), np.int64)
-        pages = [0, 0]
+        own, counts, pages = _Tokens(shared.value), np.zeros((2, BINS), np.int64), np.zeros(2, np.int64)
         for batch in batches:
-            for host, path, own in zip(batch["host"].to_pylist(), batch["path"].to_pylist(), batch["own"].to_pylist(), strict=True):
-                words = tokens(model, host, path, own)
-                side = int(_is_unwanted(words))
-                pages[side] += 1
-                for w in words:
-                    counts[side, _bin(w)] += 1
+            _, bins, sizes = own.of(batch)
+            side = batch["unwanted"].to_numpy(zero_copy_only=False).astype(np.int64)
+            pages += np.bincount(side, minlength=2)
+            counts += np.bincount(np.repeat(side, sizes) * BINS + bins, minlength=2 * BINS).reshape(2, BINS)
         for side in (0, 1):
             have = np.flatnonzero(counts[side])
-            bins, n = [-1, *have.tolist()], [pages[side], *counts[side, have].tolist()]
+            bins, n = [-1, *have.tolist()], [int(pages[side]), *counts[side, have].tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(bins, pa.int32()), pa.array([bool(side)] * len(bins)), pa.array(n, pa.int64())], names=["bin", "unwanted", "n"])
 
     return run
@@ -244,8 +270,13 @@ class Bayes:
     prior: float  # log odds of a page being unwanted
     odds: np.ndarray  # log odds of each bin
 
-    def score(self, words: list[str]) -> float:
-        return self.prior + float(sum(self.odds[_bin(w)] for w in words)) if words else -math.inf
+    def score(self, bins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The probability of being unwanted of urls with so many words; 0 without words."""
+        sums = np.zeros(len(sizes))
+        have = np.flatnonzero(sizes)
+        if len(have):
+            sums[have] = np.add.reduceat(self.odds[bins], (np.cumsum(sizes) - sizes)[have])
+        return np.where(sizes > 0, 1 / (1 + np.exp(-np.clip(self.prior + sums, -500.0, 500.0))), 0.0)
 
 
 def bayes(pages: np.ndarray, counts: np.ndarray) -> Bayes:
@@ -257,9 +288,9 @@ def bayes(pages: np.ndarray, counts: np.ndarray) -> Bayes:
 
 
 def train_bayes(parsed: DataFrame, shared) -> Bayes:
-    """``parsed``: host, path, own. At most two rows for each bin reach the driver."""
+    """``parsed``: host, path, own, unwanted. At most two rows for each bin reach the driver."""
     counts, pages = np.zeros((2, BINS)), np.zeros(2)
-    for r in parsed.select("host", "path", "own").mapInArrow(_count(shared), _COUNTS).groupBy("bin", "unwanted").agg(F.sum("n").alias("n")).collect():
+    for r in parsed.select("host", "path", "own", "unwanted").mapInArrow(_count(shared), _COUNTS).groupBy("bin", "unwanted").agg(F.sum("n").alias("n")).collect():
         if r["bin"] < 0:
             pages[int(r["unwanted"])] = r["n"]
         else:
@@ -269,28 +300,28 @@ def train_bayes(parsed: DataFrame, shared) -> Bayes:
 
 def _score(shared, shared_bayes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, nb = shared.value, shared_bayes.value
+        own, nb = _Tokens(shared.value), shared_bayes.value
         for batch in batches:
-            words = [tokens(model, h, p, o) for h, p, o in zip(batch["host"].to_pylist(), batch["path"].to_pylist(), batch["own"].to_pylist(), strict=True)]
-            score = [1 / (1 + math.exp(-max(-500.0, min(500.0, nb.score(w))))) for w in words]
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("page_id", "url", "host", "path")), pa.array([" ".join(w) for w in words], pa.string()), pa.array(score, pa.float64())], names=["page_id", "url", "host", "path", "words", "score"])
+            words, bins, sizes = own.of(batch)
+            columns = [*(batch[c] for c in ("page_id", "host", "path", "rule", "verdict", "unwanted")), pa.array([" ".join(w) for w in words], pa.string()), pa.array(nb.score(bins, sizes), pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["page_id", "host", "path", "rule", "verdict", "unwanted", "words", "score"])
 
     return run
 
 
-def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, threshold: float = 0.5) -> DataFrame:
-    """One row for each page of ``pages`` (page_id, url, html): host, path, words (the
-    segmented words), score (of being unwanted, 0 to 1), rule, verdict."""
+def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, threshold: float = 0.5, learn_from: Column | None = None) -> DataFrame:
+    """One row for each page of ``pages`` (page_id, url, html): host, path, rule, verdict,
+    words (the segmented words), score (of being unwanted, 0 to 1), unwanted (the label that
+    the page itself has). ``learn_from``: which pages the model learns from, all if not given."""
     sc = session_of(pages).sparkContext
-    parsed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    model, others = word_model(all_counts(pages))
+    parsed = parse(pages, rules)
+    model, others = word_model(all_counts(pages, parsed))
     shared = sc.broadcast(model)
     parsed = with_splits(parsed, rare_splits(parsed, others, shared) if others is not None else None)
-    nb = sc.broadcast(train_bayes(parsed, shared))
+    nb = sc.broadcast(train_bayes(parsed if learn_from is None else parsed.where(learn_from), shared))
     scored = parsed.mapInArrow(_score(shared, nb), _SCORED)
-    rule = longest_rule(F.col("host"), F.col("path"), rules)
     judged = F.when(F.col("score") > threshold, "block").otherwise("allow")
-    return scored.withColumn("rule_found", rule).select("page_id", "host", "path", F.col("rule_found.rule").alias("rule"), F.coalesce("rule_found.verdict", judged).alias("verdict"), "words", "score")
+    return scored.select("page_id", "host", "path", "rule", F.coalesce("verdict", judged).alias("verdict"), "words", "score", "unwanted")
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """The operators that run Python, against brute force, round trips and held-out accuracy."""
 
+import os
 import random
 import re
 import zlib
@@ -483,10 +484,13 @@ def best_split(model, s):
 
 
 def test_viterbi_is_the_best_split():
-    model = url_filter.segmenter({"the": 50, "cat": 20, "he": 10, "sat": 10, "thecat": 1, "at": 5, "s": 2})
-    for s in ("thecat", "catsat", "hesat", "qzthe", "cheapcat", "a"):
-        assert sum(map(model._word, model.label(s))) == pytest.approx(best_split(model, s)[0])
-    assert model.label("cheappills") == ("cheap", "pills") and model.host("www.the-cat.com")[:3] == ("www", "the", "cat")
+    model = url_filter.segmenter({"the": 50, "cat": 20, "he": 10, "sat": 10, "thecat": 1, "at": 5, "s": 2, "cheap": 3, "pills": 3, "fr": 9, "r": 1, "f": 1, "x" * 40: 2})
+    for s in ("thecat", "catsat", "hesat", "qzthe", "cheapcat", "a", "frcat", "x" * 40):
+        assert sum(map(model._word, model.label(s))) == pytest.approx(best_split(model, s)[0] if len(s) < 20 else model._word(s))
+    assert model.label("cheappills") == ("cheap", "pills") and model.host("www.the-cat.com")[:3] == ("www", "the", "cat") and model.label("fr") == ("fr",)
+
+
+GOOD = "calm water " + " ".join(f"word{k} stone" for k in range(40))
 
 
 def test_rules_and_verdicts(spark):
@@ -494,36 +498,90 @@ def test_rules_and_verdicts(spark):
         "http://A.Example.com/en/71?x", "https://example.com/en/6", "http://b.example.net/de/8#t", "http://net/de/9", "http://x.org/es/", "http://xorg/es/", "http://cheappills.example.com/fr/1", "http://calm.example.com/fr/2",
         None, "no scheme", "http://", "x://h?q=/en/", "a://b://c/d", "http://EXAMPLE.ORG", "http://cheappills.example.com/fr/1", "http://h/" + "p/" * 5000,
     ]
-    table = spark.createDataFrame([(i, u, "<p>calm cheap pills the</p>" if i % 2 else None, "h") for i, u in enumerate(urls)] + [(100 + i, f"http://site{i}.example.com/fr/{i}", None, "h") for i in range(60)], "page_id long, url string, html string, host string")
+    rows = [(i, u, GOOD, "h") for i, u in enumerate(urls)]
+    rows += [(100 + i, f"http://calm{'water' if i % 2 else 'stone'}.example.com/fr/{i}", GOOD + " calm cheap pills pages", "h") for i in range(60)]
+    rows += [(200 + i, f"http://cheap-pills{'a' * i}.example.com/fr/{i}", [None, "<p>cheap pills</p>", "pills " * 500][i % 3], "h") for i in range(12)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string, host string")
     got = {r.page_id: r for r in url_filter.filter_urls(table).collect()}
     assert (got[0].host, got[0].path, got[0].rule, got[0].verdict) == ("a.example.com", "/en/71", "example.com/en/7", "allow")
     assert (got[1].rule, got[1].verdict) == ("com/en/", "block") and (got[2].rule, got[2].verdict) == ("example.net/de/8", "block")
     assert (got[3].rule, got[3].verdict) == ("net/de/", "allow") and got[4].verdict == "block" and got[5].rule is None
-    assert got[6].rule is None and got[6].verdict == "block" == got[14].verdict and "h:cheap h:pills" in got[6].words and got[7].verdict == "allow"
+    # Pages at such names were poor, so the name is unwanted, also where its own page is good.
+    assert got[6].rule is None and not got[6].unwanted and got[6].verdict == "block" == got[14].verdict and "h:cheap h:pills" in got[6].words and got[7].verdict == "allow"
+    assert all(got[200 + i].unwanted and got[200 + i].verdict == "block" for i in range(12)) and not any(got[100 + i].unwanted or got[100 + i].verdict == "block" for i in range(60))
     assert all((got[i].host, got[i].path, got[i].verdict) == ("", "", "allow") for i in (8, 9, 10))
     assert (got[11].host, got[11].path) == ("h", "") and (got[12].host, got[12].path) == ("b:", "//c/d") and got[13].host == "example.org"
+    assert "p:fr" in got[7].words.split()
     assert url_filter.filter_urls(table.limit(0)).count() == 0
 
 
-def test_counted_words_stop_at_a_count(spark):
-    table = spark.createDataFrame([("<b>a a a</b> b b c c d",), (None,)], "html string")
-    assert url_filter.word_counts(table, 10) == {"a": 3, "b": 2, "c": 2, "d": 1}
-    assert url_filter.word_counts(table, 3) == {"a": 3, "b": 2, "c": 2} and url_filter.word_counts(table, 2) == {"a": 3}
+def brute_urls(rows):
+    """Labels, splits, scores and verdicts of (page_id, url, html) rows in plain Python."""
+    pages, counts, hosts = [], {}, {}
+    for i, url, html in rows:
+        m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", url or "")
+        host, path = (m[1].lower() if m else "", m[2] if m else "")
+        rules = [(len(h + p), v) for v, h, p in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        text = re.sub(r"(?s)<[^>]*>", " ", html or "").lower()
+        words = text.split()
+        poor = len(words) < 50 or not 3 <= sum(map(len, words)) / len(words) <= 10 or len(set(words)) < 0.05 * len(words)
+        verdict = max(rules)[1] if rules else None
+        pages.append((i, host, path, verdict, verdict == "block" if verdict else poor))
+        for w in re.findall("[a-z]+", text):
+            counts[w] = counts.get(w, 0) + (len(w) <= 63)
+        for w in re.findall("[a-z]+", path.lower()):
+            hosts.setdefault(w, set()).add(host)
+    for w, found in hosts.items():
+        if len(found) > 1:
+            counts[w] = counts.get(w, 0) + len(found) - 1
+    model = url_filter.segmenter(counts)
+    seen, bins = ([0, 0], [{}, {}])
+    split = {i: url_filter.tokens(model, host, path) for i, host, path, _, _ in pages}
+    for i, _, _, _, unwanted in pages:
+        seen[unwanted] += 1
+        for w in split[i]:
+            b = zlib.crc32(w.encode()) % url_filter.BINS
+            bins[unwanted][b] = bins[unwanted].get(b, 0) + 1
+    every = len(bins[0].keys() | bins[1].keys())
+    share = lambda side, b: (bins[side].get(b, 0) + url_filter.SMOOTHING) / (sum(bins[side].values()) + url_filter.SMOOTHING * every)
+    out = {}
+    for i, _, _, verdict, _ in pages:
+        odds = np.log((seen[1] + 1) / (seen[0] + 1)) + sum(np.log(share(1, b) / share(0, b)) for b in (zlib.crc32(w.encode()) % url_filter.BINS for w in split[i]))
+        score = 1 / (1 + np.exp(-odds)) if split[i] else 0.0
+        out[i] = (verdict or ("block" if score > 0.5 else "allow"), score, " ".join(split[i]))
+    return out
+
+
+def test_query_matches_brute_force(spark, tmp_path):
+    d = "/root/testdata/sf0.001"
+    table = spark.read.parquet(f"{d}/pages.parquet") if os.path.isdir(d) else spark.createDataFrame([(k, f"http://calmwater{k % 7}.example.org/fr/{k}", GOOD if k % 3 else "few") for k in range(50)], "page_id long, url string, html string")
+    extra = spark.createDataFrame([(10_000, None, None), (10_001, "x", ""), (10_002, "http://thetheand.example.net/for-the/AND", GOOD), (10_002, "http://thetheand.example.net/for-the/AND", GOOD)], "page_id long, url string, html string")
+    table.select("page_id", "url", "html").unionAll(extra).write.parquet(f"file://{tmp_path}/pages.parquet")
+    got = url_filter.op3(spark, f"file://{tmp_path}").collect()
+    want = brute_urls([(r.page_id, r.url, r.html) for r in spark.read.parquet(f"file://{tmp_path}/pages.parquet").collect()])
+    assert len(got) == table.count() + 4
+    for r in got:
+        assert (r.verdict, r.words) == (want[r.page_id][0], want[r.page_id][2]) and r.score == pytest.approx(want[r.page_id][1])
 
 
-def test_rare_words_split_hosts_too(spark):
+def test_rare_words_split_hosts_too(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "LEXICON", 200)
     r = random.Random(8)
-    rare = sorted({"".join(r.choice("bcdfgklmnprtvz") + r.choice("aeiou") for _ in range(4)) for _ in range(56_000)})
-    assert len(rare) > url_filter.LEXICON + 1000
+    rare = sorted({"".join(r.choice("bcdfgklmnprtvz") + r.choice("aeiou") for _ in range(4)) for _ in range(3_000)})
     pieces = [a + b for a in "bcdfgklmnprtvz" for b in "aeiou"]  # frequent words that the rare ones are made of
     text = ("calm water stone " + " ".join(pieces) + " ") * 50 + "loan " + " ".join(rare)
     hosts = [f"{a}{b}.example.com" for a, b in zip(r.sample(rare, 40), ["calm", "water", "stone", "loan"] * 10)] + ["calmwater.example.net"]
     urls = [f"http://www.{h}/{r.choice(rare)}stone/{k}" for k, h in enumerate(hosts)] + [None, f"http://{hosts[0]}/"]
-    pages = spark.createDataFrame([(k, u, text if k == 0 else None) for k, u in enumerate(urls)], "page_id long, url string, html string")
-    counts = dict.fromkeys(["calm", "water", "stone", *pieces], 50) | dict.fromkeys(["loan", *rare], 1)
-    full = url_filter.segmenter(counts)
-    got = {x.page_id: x for x in url_filter.filter_urls(pages).collect()}
-    assert len(got) == len(urls)
-    for x in got.values():
-        assert x.words == " ".join(url_filter.tokens(full, x.host, x.path))
+    rows = [(k, u, text if k == 0 else None) for k, u in enumerate(urls)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got, want = {x.page_id: x for x in url_filter.filter_urls(pages).collect()}, brute_urls(rows)
+    assert len(got) == len(urls) and all(x.words == want[i][2] and x.score == pytest.approx(want[i][1]) for i, x in got.items())
     assert sum(h[:8] in rare and f"h:{h[:8]}" in got[k].words.split() for k, h in enumerate(hosts)) >= 35
+
+
+def test_words_are_broadcast_down_to_a_count(spark):
+    counts = spark.createDataFrame([("a", 3), ("b", 2), ("c", 2), ("d", 1)], "word string, n long")
+    for size, words in ((10, "abcd"), (3, "abc"), (2, "a")):
+        model, others = url_filter.word_model(counts, size)
+        assert "".join(sorted(model.log_p)) == words and model.total == 8
+        assert (others is None) == (size == 10)

@@ -12,7 +12,8 @@ Items and texts are compared lower-cased with white space runs as one space.
 
 The items are taken in blocks of bounded size (``BLOCK_CHARS`` characters), each
 broadcast to a pass over the documents; a small benchmark is one block, a large one more
-passes. No document is shuffled.
+passes. The driver reads one block at a time and leaves it on disk as a broadcast file, so
+neither its memory nor the plan grows with the benchmark. No document is shuffled.
 
 Defined results: null and empty items match nothing; equal items each give their match; a
 null or empty text matches nothing; repeated documents are each judged; empty tables give
@@ -157,9 +158,9 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(lo, hi) for lo, hi in out]
 
 
-def _find(block: list[tuple[int | None, str | None]], rate: float, min_chars: int):
+def _find(shared, rate: float, min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(block, rate, min_chars)
+        matcher = Matcher(shared.value, rate, min_chars)
         for batch in batches:
             rows = [(doc_id, *found) for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True) for found in matcher.matches(text.as_py())]
             ids, items, distance, budget, end = zip(*rows, strict=True) if rows else ((),) * 5
@@ -186,18 +187,18 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, rate: float = ERRO
     """doc_id, item_id, distance, budget, match_end (in the normalized text) for each
     document and item that matches within the budget, ``rate`` of the item's characters (none below ``min_chars``)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = None
+    sc, found = texts.sparkSession.sparkContext, None
     for block in _blocks(benchmark, block_chars):
-        one = map_batches(texts, _find(block, rate, min_chars), _MATCHES)
+        one = map_batches(texts, _find(sc.broadcast(block), rate, min_chars), _MATCHES)
         found = one if found is None else found.unionAll(one)
     return found if found is not None else texts.sparkSession.createDataFrame([], _MATCHES)
 
 
-def _clean(blocks: list[list[tuple[int | None, str | None]]], rate: float, min_chars: int):
+def _clean(shared, rate: float, min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matchers = [Matcher(b, rate, min_chars) for b in blocks]
+        matcher = Matcher(shared.value, rate, min_chars)
         for batch in batches:
-            keep = [not any(True for m in matchers for _ in m.matches(t.as_py())) for t in batch["text"]]
+            keep = [not any(True for _ in matcher.matches(t.as_py())) for t in batch["text"]]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -205,9 +206,9 @@ def _clean(blocks: list[list[tuple[int | None, str | None]]], rate: float, min_c
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The documents without a match, in their own columns: one filter for each block."""
-    out = docs
+    sc, out = docs.sparkSession.sparkContext, docs
     for block in _blocks(benchmark, block_chars):
-        out = map_batches(out, _clean([block], rate, min_chars), docs.schema)
+        out = map_batches(out, _clean(sc.broadcast(block), rate, min_chars), docs.schema)
     return out
 
 

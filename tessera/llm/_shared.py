@@ -70,16 +70,6 @@ def drop_table(df: DataFrame) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
-def remove_files(spark: SparkSession, folder: str, keep: set[str]) -> None:
-    """Remove the files of a folder but for those of the names in ``keep``."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(p):
-        for status in fs.listStatus(p):
-            if status.isFile() and status.getPath().getName() not in keep:
-                fs.delete(status.getPath(), False)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -14,6 +14,7 @@ with one id are ordered by a digest of the text; an empty table gives no shards
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import uuid
 import zlib
@@ -132,9 +133,15 @@ def encoder(vocabulary: str) -> WordEncoder:
     return _ENCODERS[vocabulary]
 
 
+def file_system(uri: str) -> tuple[pa.fs.FileSystem, str]:
+    """The file system of a folder and the folder's path in it. The schemes that Hadoop has
+    for one object store (s3a, s3n) are one scheme here."""
+    return pa.fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))
+
+
 def _write(folder: str, vocabulary: str, end: int, shard_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = pa.fs.FileSystem.from_uri(folder)
+        fs, root = file_system(folder)
         fs.create_dir(root, recursive=True)
         encode = encoder(vocabulary).encode
         part, seq = TaskContext.get().partitionId(), 0
@@ -190,7 +197,7 @@ def _read():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, start, root in zip(*(batch[c].to_pylist() for c in ("path", "start", "root")), strict=True):
-                fs, _ = pa.fs.FileSystem.from_uri(root)
+                fs, _ = file_system(root)
                 with fs.open_input_stream(path) as file:
                     shard = wavelet.decode(file.read())
                 tokens = shard.decode().astype("<u4")
@@ -208,7 +215,7 @@ def read_documents(shards: DataFrame) -> DataFrame:
 
 
 def open_shard(path: str, root: str) -> wavelet.Shard:
-    fs, _ = pa.fs.FileSystem.from_uri(root)
+    fs, _ = file_system(root)
     with fs.open_input_stream(path) as file:
         return wavelet.decode(file.read())
 

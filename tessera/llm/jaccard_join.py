@@ -17,10 +17,13 @@ similarity of at least the threshold is a link.
    Out come, for each class, its number of links, and a forest of the links, whose
    components are the groups.
 
-Nothing emits a pair as a row. A large bucket or cluster is split into blocks, and pairs
-of blocks go to separate tasks: a class is sent once for each block, never for each
-partner, and no task holds more than two blocks. Exact copies fall together on the map
-side before any of this.
+Nothing emits a pair as a row. Exact copies fall together on the map side before any of
+this. A bucket of more than one block's classes is not compared: all its classes are one
+cluster (an edge from each to the least), so candidates cost one row for each class and
+bucket. A cluster of n classes in more than one block is compared block by block, each pair
+of blocks in a task of its own: no task holds more than two blocks, and each class is sent
+once for each block of its cluster. So the work on one such cluster, and its shuffle, grow
+with the square of n (n * n / 2048 rows): its links are as many, and they are counted.
 
 Defined results: a null text has no shingles; a text of one to four words has one shingle,
 all its words; documents without words have no links and form a class of their own (in all
@@ -162,20 +165,20 @@ def _pairs(side: np.ndarray | None, n: int, i: int) -> np.ndarray:
 
 
 def _load(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, list[str], pa.Table]:
-    rows = rows.sort_by([("side", "ascending"), ("class", "ascending")])
+    two = "side" in rows.column_names and rows["lo"][0] != rows["hi"][0]
+    rows = rows.sort_by([("side", "ascending"), ("class", "ascending")] if two else "class")
     sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint16).reshape(-1, HASHES)
-    side = None if rows["lo"][0] == rows["hi"][0] else rows["side"].to_numpy()
-    return sketch, rows["n_shingles"].to_numpy(), side, rows["class"].to_pylist(), rows
+    return sketch, rows["n_shingles"].to_numpy(), rows["side"].to_numpy() if two else None, rows["class"].to_pylist(), rows
 
 
 def _candidate_forest(threshold: float, tolerance: float):
     steps = least_agreements(threshold, tolerance)
 
     def run(rows: pa.Table) -> pa.Table:
-        sketch, sizes, side, names, _ = _load(rows)
+        sketch, sizes, _, names, _ = _load(rows)
         forest, a, b = _Forest(len(names)), [], []
         for i in range(len(names)):
-            for j in _survivors(sketch, sizes, i, _pairs(side, len(names), i), steps, threshold).tolist():
+            for j in _survivors(sketch, sizes, i, _pairs(None, len(names), i), steps, threshold).tolist():
                 if forest.join(i, j):
                     a.append(names[i]), b.append(names[j])
         return pa.table({"a": pa.array(a, pa.string()), "b": pa.array(b, pa.string())})
@@ -230,8 +233,8 @@ def _sizes(members: DataFrame, group: str, weight: Column) -> DataFrame:
     return members.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), F.sum(weight).alias("_w")).where("_n > 1")
 
 
-def _in_blocks(members: DataFrame, sizes: DataFrame, group: str, name: str = "class") -> DataFrame:
-    """``members`` (group, name, ...) of the groups in ``sizes``, dealt out for pair work:
+def _in_blocks(members: DataFrame, sizes: DataFrame, group: str) -> DataFrame:
+    """``members`` (group, class, ...) of the groups in ``sizes``, dealt out for pair work:
     columns lo, hi (the block pair) and side (0 for a member of lo, 1 of hi). A group of one
     block stays one task's; of k blocks, each member goes to k block pairs. Members learn
     their group's size by a join, which Spark splits where one group is large; no group is
@@ -239,7 +242,7 @@ def _in_blocks(members: DataFrame, sizes: DataFrame, group: str, name: str = "cl
     counted = (
         members.join(sizes, group)
         .withColumn("_k", F.ceil(F.greatest(F.col("_n") / BLOCK_CLASSES, F.col("_w") / BLOCK_BYTES)).cast("int"))
-        .withColumn("_block", F.pmod(F.xxhash64(name), F.col("_k")).cast("int"))
+        .withColumn("_block", F.pmod(F.xxhash64("class"), F.col("_k")).cast("int"))
     )
     return (
         counted.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
@@ -268,10 +271,13 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
     )
     # Half a class's digest stands for it in the buckets: two classes that share it both come along.
     meet = classes.select("one", F.explode("bands").alias("bucket"))
+    sizes = meet.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     sketched = classes.select("one", "class", "n_shingles", "sketch")
-    blocks = _in_blocks(meet, _sizes(meet, "bucket", F.lit(0)), "bucket", "one").join(sketched, "one")
-    edges = blocks.groupBy("bucket", "lo", "hi").applyInArrow(_candidate_forest(threshold, tolerance), "a string, b string")
-    clusters = components(edges)
+    compared = meet.join(sizes.where(F.col("_n") <= BLOCK_CLASSES), "bucket").join(sketched, "one").select("bucket", "class", "n_shingles", "sketch")
+    edges = compared.groupBy("bucket").applyInArrow(_candidate_forest(threshold, tolerance), "a string, b string")
+    large = meet.join(sizes.where(F.col("_n") > BLOCK_CLASSES), "bucket").join(classes.select("one", "class"), "one").select("bucket", "class")
+    least = large.groupBy("bucket").agg(F.min("class").alias("a"))
+    clusters = components(edges.unionAll(large.join(least, "bucket").select("a", F.col("class").alias("b"))))
 
     joined = classes.select("class", "first", "n_shingles", "sketch").join(clusters, F.col("class") == F.col("node")).select("class", "first.doc_id", "first.tie", "n_shingles", "sketch", "component")
     wanted = joined.select(known_id(F.col("doc_id")).alias("_id"), F.col("tie").alias("_tie"))

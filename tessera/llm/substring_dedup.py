@@ -1,13 +1,18 @@
 """Substring dedup by relative Lempel-Ziv parsing of documents against reference blocks.
 
-The corpus is its own reference: the partitions of a distributed index are the reference
-blocks, and a block holds, for each window of ``window`` words whose digest falls to it,
-the earliest place where that word sequence starts. A document is factored greedily
-against all blocks: a factor begins where a window has an earlier place and goes on while
-the next window's place is the next word of the same reference; where the reference
-changes or ends, the windows over that factor boundary are looked up one by one, as every
-window is. So a factor is at least ``window`` words long, and every word sequence of that
-length that starts earlier lies inside some factor. Words under factors are duplicates.
+The corpus, without its repeats, is the reference: the partitions of a distributed index
+are the reference blocks, and a block holds, for each window of ``window`` words whose
+digest falls to it, the one earliest place where that word sequence starts (for a repeat
+inside one Arrow batch: where the batch has it first). A document is factored greedily
+against all blocks: a factor begins where a window has an earlier place and takes the
+longest run of words that the reference has from there, which goes on while the next
+window's one place is the next word of the same text. (A later text that has a longer run in
+one piece is itself a repeat in its beginning, and only its new windows are reference, so
+a run may take two factors where an undivided text would give one.) Where the
+reference changes or ends, the windows over that factor boundary are looked up one by one,
+as every window is. So a factor is at least ``window`` words long, and every word sequence
+of that length that starts earlier lies inside some factor. Words under factors are
+duplicates.
 
 Looking up every window would shuffle the corpus many times over. Each window is first
 represented by its anchor, the least digest of its ``ANCHOR`` word pieces: equal windows

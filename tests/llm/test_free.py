@@ -90,6 +90,49 @@ def test_substring_dedup_is_exact(spark):
     assert {r.doc_id: r.kept for r in short} == {1: "a b c", 2: "x"}
 
 
+def test_greedy_factors_match_a_naive_parse(spark):
+    r = random.Random(10)
+    words = [f"v{k}" for k in range(30)]
+    texts = [" ".join(words[:20]), " ".join(words), " ".join(words), " ".join(words[10:]) + " x " + " ".join(words[:25])]
+    for _ in range(25):
+        parts = [r.choice(texts).split() for _ in range(r.randint(1, 3))]
+        texts.append(" ".join(x for w in parts for x in w[r.randrange(len(w)) :]))
+    # One batch for each document, so that each window's place is the earliest of all.
+    table = docs(spark, list(enumerate(texts)))
+    place, owned = {}, [t.split() for t in texts]
+    for i, w in enumerate(owned):
+        for k in range(len(w) - 4):
+            place.setdefault(tuple(w[k : k + 5]), (i, k))
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "1")
+    try:
+        got = {x.doc_id: x for x in substring_dedup.parse_corpus(table, window=5, anchor=2).collect()}
+    finally:
+        spark.conf.set(key, before)
+    for i, w in enumerate(owned):
+        if len(w) >= 5 and w in owned[:i]:
+            assert [tuple(f) for f in got[i].factors] == [(0, len(w), owned.index(w), 0)]
+            continue
+        want, k = [], 0
+        while k <= len(w) - 5:
+            at = place[tuple(w[k : k + 5])]
+            if at >= (i, k):
+                k += 1
+                continue
+            n = 1
+            while k + n <= len(w) - 5 and place[tuple(w[k + n : k + n + 5])] == (at[0], at[1] + n) and (at[0], at[1] + n) < (i, k + n):
+                n += 1
+            want.append((k, n + 4, *at))
+            k += n
+        inside = lambda fs: sum(f[1] for f in fs)
+        own = [tuple(f) for f in got[i].factors]
+        if len(set(map(tuple, (w[k : k + 5] for k in range(len(w) - 4))))) == max(0, len(w) - 4):  # no repeat inside the text's own batch
+            assert own == want
+        else:
+            assert inside(own) >= 5 * bool(want) and {x for f in own for x in range(f[0], f[0] + f[1])} == {x for f in want for x in range(f[0], f[0] + f[1])}
+
+
 # --- n-gram Jaccard join ---------------------------------------------------------------
 
 

@@ -130,19 +130,20 @@ def visible(html: Column) -> Column:
     return F.lower(F.regexp_replace(F.coalesce(html, F.lit("")), r"(?s)<[^>]*>", " "))
 
 
-def is_poor(html: Column) -> Column:
-    """Does a page's visible text fail the checks?"""
-    words = F.array_remove(F.split(visible(html), r"\s+"), "")
-    length = F.length(F.array_join(words, "")) / F.size(words)
-    return (F.size(words) < LEAST_WORDS) | ~length.between(*WORD_LENGTHS) | (F.size(F.array_distinct(words)) < LEAST_DISTINCT * F.size(words))
+def is_poor(words: Column, letters: Column) -> Column:
+    """Do the words of a page's visible text, with so many letters in all, fail the checks?"""
+    n, (least, most) = F.size(words), WORD_LENGTHS
+    return (n < LEAST_WORDS) | ~letters.between(least * n, most * n) | (F.size(F.array_distinct(words)) < LEAST_DISTINCT * n)
 
 
 def parse(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
     """page_id, url, host, path, rule and verdict (of the longest rule, or null) and
     unwanted (the page's label) of ``pages``; the one time that texts are checked."""
-    parsed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")
+    parsed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.split(F.trim(visible(F.col("html"))), r"\s+").alias("_split"))
+    # Split and counted in steps of their own: each is computed once.
+    parsed = parsed.withColumn("_words", F.array_remove("_split", "")).withColumn("_letters", F.length(F.array_join("_words", "")))
     ruled = parsed.withColumn("_rule", longest_rule(F.col("host"), F.col("path"), rules))
-    unwanted = F.coalesce(F.col("_rule.verdict") == "block", is_poor(F.col("html")))
+    unwanted = F.coalesce(F.col("_rule.verdict") == "block", is_poor(F.col("_words"), F.col("_letters")))
     return materialize(ruled.select("page_id", "url", "host", "path", F.col("_rule.rule").alias("rule"), F.col("_rule.verdict").alias("verdict"), unwanted.alias("unwanted")), "urls")
 
 

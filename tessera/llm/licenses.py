@@ -23,6 +23,7 @@ count in the frequencies; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Sequence
 
@@ -128,7 +129,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, base=BASE) -> DataFrame:
     words = split.select("doc_id", "low", F.slice("raw", first + 1, F.size("raw") - first - last).alias("words"))
     # Phrases' longest words are looked up too, whether they vote or not.
     asked = sorted({*vocabulary(templates), *(max(p.split(), key=len) for p in key_phrases(templates))})
-    termed = words.select("doc_id", "low", "words", F.array_intersect("words", F.array(*[F.lit(w) for w in asked])).alias("terms"))
+    termed = words.select("doc_id", "low", "words", F.array_intersect("words", F.split(F.lit(" ".join(asked)), " ")).alias("terms"))
     keys = F.array(*[_places(F.col("low"), F.col("words"), p, F.array_contains("terms", max(p.split(), key=len))) for p in key_phrases(templates)])
     found = termed.select(
         "doc_id",
@@ -151,14 +152,17 @@ def idf(scanned: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(rows)).select("word", F.log((F.col("n") + 1.0) / (F.col("df") + 1.0)).alias("idf"))
 
 
-def _table(spark: SparkSession, rows: Sequence[tuple], names: Sequence[str]) -> DataFrame:
-    return spark.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(x).alias(n) for x, n in zip(r, names, strict=True)]) for r in rows])))
+def _table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """Fixed rows as a table: one literal, however many rows there are."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    text = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{schema.replace(' ', ':').replace(',:', ',')}>>")))
 
 
 def _postings(scanned: DataFrame, templates) -> DataFrame:
     """t, word, spot, of, width, seeks: is the word one of the template's highest-IDF words?
     A word that no document has comes first, as the rarest."""
-    entries = _table(scanned.sparkSession, _postings_of(templates), ("t", "word", "spot", "of", "width", "sought"))
+    entries = _table(scanned.sparkSession, _postings_of(templates), "t int, word string, spot int, of int, width int, sought int")
     rank = F.row_number().over(Window.partitionBy("t").orderBy(F.col("idf").desc_nulls_first(), "word", "spot"))
     return entries.join(F.broadcast(idf(scanned)), "word", "left").select("t", "word", "spot", "of", "width", (rank <= F.col("sought")).alias("seeks"))
 
@@ -181,7 +185,7 @@ def find_licences(scanned: DataFrame, templates=TEMPLATES) -> DataFrame:
     words = holding.select("row", "licence", F.explode("held").alias("t")).select("row", "t", F.explode("licence").alias("x")).select("row", "t", "x.word", "x.at")
     none = F.lit(None)
     hits = words.join(F.broadcast(_postings(scanned, templates)), ["t", "word"]).select("row", "t", (F.col("at") - F.col("spot")).alias("offset"), "width", "of", "spot", "seeks", none.cast("int").alias("phrase"))
-    needed = _table(spark, _needs_of(templates), ("t", "phrase", "spot", "width"))
+    needed = _table(spark, _needs_of(templates), "t int, phrase int, spot int, width int")
     stands = holding.select("row", "held", F.posexplode("keys").alias("phrase", "places")).where(F.size("places") > 0).select("row", "held", "phrase", F.explode("places").alias("at"))
     phrase_hits = (
         stands.join(F.broadcast(needed), "phrase")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import functions as F
 
-from tessera.agent.base import Message, Provider, ToolCall
+from tessera.agent.models import Model, Row, row
 from tessera.functions.text import TEXT_LIMIT, TRUNCATED
 from tessera.operators import graph, tools
 from tessera.plans.workspace import Embedder, Workspace
@@ -15,14 +15,15 @@ from tessera.plans.workspace import Embedder, Workspace
 MAX_ROUNDS = 6
 SEARCH_RESULTS = 5
 SYSTEM = (
-    "You help a developer to understand a Python code base that nobody can explain to them any more. "
-    "Look things up with the tools instead of guessing, and cite each claim about the code as file_path:start_line, "
-    "for example sessions.py:651. Say so when you could not find something out."
+    "The tools below read an index of one Python repository: "
+    + "; ".join(f"{name} ({about.rstrip('.').lower()})" for name, about, _ in tools.TOOL_SPECS)
+    + ". Answer only from what they return. Put path.py:line behind every statement about the code, with a line that a tool "
+    "returned. Where the tools return nothing, the answer is that the index does not have it."
 )
 RISK = (
-    "You judge how risky a change to one symbol is. You get the complete results of a static analysis; add no caller, "
-    "module or test to them. In three to six sentences, say how far the change reaches, which call sites look untested, "
-    "and what to watch for."
+    "Below is an impact report: a symbol, its direct and transitive callers, the modules that import it, and the tests that "
+    "mention it. Rate the change as low, medium or high risk. Give the reason in at most six sentences: the number of callers, "
+    "those that no listed test names, and the modules a reviewer has to open. Name nothing that the report does not list."
 )
 
 
@@ -78,40 +79,40 @@ class Tools:
             return {"error": f"Unknown tool: {name}"}
         return getattr(self, name)(**arguments)
 
-    def answer(self, call: ToolCall) -> Message:
-        """The tool message of a call; what goes wrong becomes the content, as an error."""
+    def answer(self, call: Row) -> Row:
+        """The tool's row for a call; what goes wrong becomes the content, as an error."""
         try:
-            content = json.dumps(shorten(self.call(call.name, call.arguments)))
+            content = json.dumps(shorten(self.call(call["name"], json.loads(call["arguments"]))))
         except Exception as x:  # the model is told, the conversation goes on
             content = json.dumps({"error": str(x)})
-        return Message("tool", content, tool_call_id=call.id)
+        return row("tool", content, answers=call["id"])
 
 
-def chat(box: Tools, provider: Provider, history: Sequence[Message], said: str) -> list[Message]:
+def chat(box: Tools, model: Model, history: Sequence[Row], said: str) -> list[Row]:
     """One turn of the user's, answered: the history with all that was said in between. The
     model is asked ``MAX_ROUNDS`` times at most."""
-    messages = [*(history or [Message("system", SYSTEM)]), Message("user", said)]
+    conversation = [*(history or [row("system", SYSTEM)]), row("user", said)]
     for round_ in range(1, MAX_ROUNDS + 1):
-        got = provider.generate(messages, tools=tools.TOOL_SPECS, max_tokens=1024)
-        messages.append(Message("assistant", got.content, tool_calls=got.tool_calls or None))
-        if not got.tool_calls or round_ == MAX_ROUNDS:
+        got = model(conversation, tools.TOOL_SPECS, 1024)
+        conversation.append(got)
+        if not got["tool_calls"] or round_ == MAX_ROUNDS:
             break
-        messages += [box.answer(c) for c in got.tool_calls]
-    return messages
+        conversation += [box.answer(c) for c in got["tool_calls"]]
+    return conversation
 
 
-def assess(ws: Workspace, provider: Provider, target: str) -> dict:
+def assess(ws: Workspace, model: Model, target: str) -> dict:
     """The impact report of one target with the model's risk summary (None on an error)."""
-    row = ws.impact(ws.spark.createDataFrame([(target,)], "target string")).first().asDict()
-    row["risk_summary"] = None
-    if not row["error"]:
-        row["risk_summary"] = provider.generate([Message("system", RISK), Message("user", row["facts"])], max_tokens=400).content
-    return row
+    found = ws.impact(ws.spark.createDataFrame([(target,)], "target string")).first().asDict()
+    found["risk_summary"] = None
+    if not found["error"]:
+        found["risk_summary"] = model([row("system", RISK), row("user", found["facts"])], (), 400)["content"]
+    return found
 
 
-def messages_table(ws: Workspace, conversations: dict[str, list[Message]]):
+def messages_table(ws: Workspace, conversations: dict[str, list[Row]]):
     """``MESSAGES`` rows of answered conversations, for the evaluation."""
     from tessera.schemas import MESSAGES
 
-    rows = [(cid, i, m.role, m.content, m.tool_call_id, [(c.id, c.name, json.dumps(c.arguments)) for c in m.tool_calls or []]) for cid, ms in conversations.items() for i, m in enumerate(ms)]
+    rows = [(cid, i, m["role"], m["content"], m["tool_call_id"], [(c["id"], c["name"], c["arguments"]) for c in m["tool_calls"]]) for cid, ms in conversations.items() for i, m in enumerate(ms)]
     return ws.spark.createDataFrame(rows, MESSAGES).withColumn("turn", F.col("turn").cast("int"))

@@ -105,7 +105,7 @@ def impact(args) -> int:
 def ask(args) -> int:
     from tessera.agent.loop import Tools, chat
 
-    print(chat(Tools(_workspace(args)), _provider(args), [], args.question)[-1].content)
+    print(chat(Tools(_workspace(args)), _provider(args), [], args.question)[-1]["content"])
     return 0
 
 
@@ -123,7 +123,7 @@ def chat_(args) -> int:
             return 0
         if said:
             history = chat(box, provider, history, said)
-            print("assistant>", history[-1].content)
+            print("assistant>", history[-1]["content"])
 
 
 def eval_(args) -> int:

@@ -5,8 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.agent.base import Message, Response, Scripted, ToolCall, make_provider
-from tessera.agent.loop import MAX_ROUNDS, Tools, assess, chat, messages_table, shorten
+from tessera.agent.loop import MAX_ROUNDS, SYSTEM, Tools, assess, chat, messages_table, shorten
+from tessera.agent.models import asks, by_name, replay, row
 from tessera.functions import text as T
 from tessera.operators import metrics, tools
 from tessera.plans import evaluate, workspace
@@ -105,21 +105,18 @@ def ws(spark, tmp_path_factory):
     return workspace.build(table, f"file://{tmp_path_factory.mktemp('ws')}/ix")
 
 
-def call(name, **arguments):
-    return Response("", [ToolCall("c1", name, arguments)], "tool_use")
-
-
 def test_chat_calls_tools_and_stops(ws):
     box = Tools(ws)
-    history = chat(box, Scripted(["42"]), [], "?")
-    assert [m.role for m in history] == ["system", "user", "assistant"] and history[-1].content == "42"
-    history = chat(box, Scripted([call("get_definition", qualname="utils.helper"), "done"]), [], "?")
-    shown = json.loads(next(m for m in history if m.role == "tool").content)
+    history = chat(box, replay(["42"]), [], "?")
+    assert [m["role"] for m in history] == ["system", "user", "assistant"] and history[-1]["content"] == "42"
+    history = chat(box, replay([asks("get_definition", qualname="utils.helper"), "done"]), [], "?")
+    shown = json.loads(next(m for m in history if m["role"] == "tool")["content"])
     assert shown["qualname"] == "utils.helper" and shown["text"].endswith("[truncated]") and len(shown["text"]) == 2015
-    provider = Scripted([call("get_callers", qualname="utils.helper")] * 10)
-    assert chat(box, provider, [], "?")[-1].role == "assistant" and len(provider.asked) == MAX_ROUNDS
-    bad = chat(box, Scripted([call("get_callers", wrong=1), call("magic"), "x"]), [Message("system", "s")], "?")
-    assert all("error" in json.loads(m.content) for m in bad if m.role == "tool")
+    asked = []
+    assert chat(box, replay([asks("get_callers", qualname="utils.helper")] * 10, asked), [], "?")[-1]["role"] == "assistant" and len(asked) == MAX_ROUNDS
+    bad = chat(box, replay([asks("get_callers", wrong=1), asks("magic"), "x"]), [row("system", "s")], "?")
+    assert all("error" in json.loads(m["content"]) for m in bad if m["role"] == "tool")
+    assert all(name in SYSTEM for name, _, _ in tools.TOOL_SPECS)
 
 
 def test_tools(ws):
@@ -133,18 +130,18 @@ def test_tools(ws):
 
 
 def test_risk_summary_only_without_error(ws):
-    assert assess(ws, Scripted(["risky"]), "helper")["risk_summary"] == "risky"
-    assert assess(ws, Scripted([]), "nope")["risk_summary"] is None
+    assert assess(ws, replay(["risky"]), "helper")["risk_summary"] == "risky"
+    assert assess(ws, replay([]), "nope")["risk_summary"] is None
     with pytest.raises(ValueError, match="Unknown provider"):
-        make_provider("none")
-    assert [p.delta for p in make_provider("scripted", ["a b"]).stream([])][:2] == ["a ", "b "]
+        by_name("none")
+    assert by_name("replay", ["a b"])([], (), 5)["content"] == "a b"
 
 
 def test_evaluation_report_and_gate(spark, ws, tmp_path):
     qa = spark.createDataFrame([("q1", "where is helper", ["utils.helper"], ["help"]), ("q2", "nothing", [], [])], "id string, question string, expected_qualnames array<string>, expected_keywords array<string>")
     im = spark.createDataFrame([("i1", "utils.helper", ["app.run"], ["tests.test_u.test_helper"]), ("i2", "gone", [], [])], "id string, target string, expected_direct_callers array<string>, expected_tests array<string>")
     box = Tools(ws)
-    said = {"q1": chat(box, Scripted([call("get_definition", qualname="utils.helper"), "helper is utils.py:1"]), [], "?"), "q2": chat(box, Scripted(["no"]), [], "?")}
+    said = {"q1": chat(box, replay([asks("get_definition", qualname="utils.helper"), "helper is utils.py:1"]), [], "?"), "q2": chat(box, replay(["no"]), [], "?")}
     result = evaluate.evaluate(ws, "demo", "0123456789abcdef", qa, im, messages_table(ws, said))
     r = result.first()
     assert r.retrieval.recall_at_k == 0.5 and tuple(r.groundedness) == (0.5, 1.0) and r.correctness.keyword_coverage == 1.0

@@ -6,7 +6,7 @@ would add them; it breaks all ties. Targets are a DataFrame with a column ``targ
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_DEPTH = 5
@@ -86,24 +86,25 @@ def transitive_callers(edges: DataFrame, targets: DataFrame, max_depth: int = MA
     once, the target never. lineno is that of the call site that discovered the caller
     first: level by level, parents in their order, their callers in edge order.
 
-    Parallel call sites of one caller and callee are first reduced to the earliest, so a
-    level costs one join and one aggregation over what the level before found.
+    position is the edge_seq of each call site on the way from the target. Within a level
+    that array's order is the order of discovery, so nothing ranks a target's callers in one
+    task. Parallel call sites of one caller and callee are first reduced to the earliest, so
+    a level costs one join and one aggregation over what the level before found.
     """
     steps = _resolved_calls(edges).groupBy("dst", F.col("src").alias("caller")).agg(F.min("edge_seq").alias("edge_seq"), F.min_by("lineno", "edge_seq").alias("lineno"))
     spark = edges.sparkSession
     steps = _cut(spark, steps)  # every level joins it
-    found = targets.select("target", F.col("target").alias("caller"), F.lit(0).alias("depth"), F.lit(None).cast("int").alias("lineno"), F.lit(0).cast("long").alias("position")).distinct()
+    found = targets.select("target", F.col("target").alias("caller"), F.lit(0).alias("depth"), F.lit(None).cast("int").alias("lineno"), F.array().cast("array<long>").alias("position")).distinct()
     frontier, levels = found, [found]
     for depth in range(1, max_depth + 1):
         reached = (
             frontier.select("target", F.col("caller").alias("parent"), "position")
             .join(steps, F.col("parent") == F.col("dst"))
             .groupBy("target", "caller")
-            .agg(F.min(F.struct("position", "edge_seq", "lineno")).alias("by"))
+            .agg(F.min(F.struct(F.array_append("position", F.col("edge_seq")).alias("position"), "lineno")).alias("by"))
         )
         new = reached.join(found.select("target", "caller"), ["target", "caller"], "left_anti")
-        ranked = new.withColumn("rank", F.row_number().over(Window.partitionBy("target").orderBy("by.position", "by.edge_seq")))
-        frontier = _cut(spark, ranked.select("target", "caller", F.lit(depth).alias("depth"), "by.lineno", F.col("rank").cast("long").alias("position")))
+        frontier = _cut(spark, new.select("target", "caller", F.lit(depth).alias("depth"), "by.lineno", "by.position"))
         if frontier.isEmpty():
             break
         levels.append(frontier)

@@ -1,8 +1,9 @@
 """The engine's operators as queries over the driver's tables, each with its SQL.
 
-The tables have no Python code, so graph operators run over a multigraph derived from
-``lineitem`` (parts call parts), path predicates over paths derived from ``documents``,
-and citations over locations derived from ``conversations``. Every query reads its whole
+The tables have no Python code, so each document gives a small Python file to be analyzed;
+graph operators run over a multigraph derived from ``lineitem`` (parts call parts), path
+predicates over paths derived from ``documents``, and citations over locations derived from
+``conversations``. Every query reads its whole
 tables. Scores are rounded to 6 places before they are ranked, on both sides.
 """
 
@@ -227,25 +228,34 @@ def unresolved_calls(spark: SparkSession, d: str) -> DataFrame:
     return graph.unresolved_calls(_edges(spark, d), _every_part(spark, d))
 
 
-_BUSIEST = "goal AS (SELECT dst AS target FROM edges WHERE resolved GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 1)"
+_HUNDREDTH_PARTS = "goal AS (SELECT 'p' || p_partkey AS target FROM part WHERE p_partkey % 100 = 0)"
 
 
-def _busiest(edges: DataFrame) -> DataFrame:
-    """The query's one target: the symbol with the most resolved call sites."""
-    return edges.where("resolved").groupBy("dst").count().orderBy(F.desc("count"), "dst").limit(1).select(F.col("dst").alias("target"))
+def _levels_sql(depth: int) -> str:
+    """The levels of a breadth-first search, each of what the levels before did not find."""
+    out = ["l0 AS (SELECT target, target AS caller, 0 AS depth, NULL::INTEGER AS lineno, []::BIGINT[] AS path FROM goal)"]
+    for k in range(1, depth + 1):
+        before = " UNION ALL ".join(f"SELECT target, caller FROM l{i}" for i in range(k))
+        out.append(
+            f"""l{k} AS MATERIALIZED (
+  SELECT target, src AS caller, {k} AS depth, arg_min(step.lineno, list_append(path, step.edge_seq)) AS lineno, min(list_append(path, step.edge_seq)) AS path
+  FROM l{k - 1} f JOIN step ON dst = caller
+  WHERE (target, src) NOT IN ({before}) GROUP BY target, src)"""
+        )
+    return ",\n".join(out)
 
 
 @query(
-    f"""WITH RECURSIVE {_EDGES}, {_BUSIEST},
-step AS MATERIALIZED (SELECT DISTINCT src, dst FROM edges WHERE resolved),
-r AS (
-  SELECT target, target AS node, 0 AS depth FROM goal
-  UNION SELECT r.target, src, depth + 1 FROM r JOIN step ON dst = node WHERE depth < 5)
-SELECT target, node AS caller, min(depth) AS depth FROM r WHERE node <> target GROUP BY target, node"""
+    f"""WITH {_EDGES}, {_HUNDREDTH_PARTS},
+step AS MATERIALIZED (SELECT src, dst, min(edge_seq) AS edge_seq, arg_min(lineno, edge_seq) AS lineno FROM edges WHERE resolved GROUP BY src, dst),
+{_levels_sql(5)}
+SELECT target, caller, depth, lineno, array_to_string(path, '>') AS path FROM ({" UNION ALL ".join(f"SELECT * FROM l{k}" for k in range(1, 6))})"""
 )
 def transitive_callers(spark: SparkSession, d: str) -> DataFrame:
-    edges = _edges(spark, d)
-    return graph.transitive_callers(edges, _busiest(edges)).select("target", "caller", "depth")
+    """The query set: every part whose key is divisible by 100, over all call sites."""
+    goal = read_table(spark, d, "part").where("p_partkey % 100 = 0").select(F.concat(F.lit("p"), F.col("p_partkey")).alias("target"))
+    found = graph.transitive_callers(_edges(spark, d), goal)
+    return found.select("target", "caller", "depth", "lineno", F.array_join(F.col("position").cast("array<string>"), ">").alias("path"))
 
 
 _LINKS = r"""
@@ -299,6 +309,19 @@ def _chunks(spark: SparkSession, d: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("chunk_seq"), F.concat_ws("::", path, name).alias("chunk_id"), path.alias("file_path"), name.alias("qualname"), F.lit("function").alias("kind"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), "text")
 
 
+@query(
+    f"""WITH {_CHUNKS}, named AS (SELECT * REPLACE (regexp_replace(qualname, '[0-9]$', '') AS qualname) FROM chunks),
+goal AS (SELECT DISTINCT 'pkg.' || source || '.p' || doc_id AS target FROM documents)
+SELECT target, arg_max(file_path, chunk_seq) AS file, target AS qualname, 'function' AS kind, 1 AS start_line, 1 AS end_line, arg_max(text, chunk_seq) AS text
+FROM named JOIN goal ON qualname = target GROUP BY target"""
+)
+def definitions(spark: SparkSession, d: str) -> DataFrame:
+    """Ten documents share a name, which lacks the id's last digit: the last one defines it."""
+    chunks = _chunks(spark, d).withColumn("qualname", F.regexp_replace("qualname", "[0-9]$", ""))
+    goal = read_table(spark, d, "documents").select(F.concat(F.lit("pkg."), F.col("source"), F.lit(".p"), F.col("doc_id")).alias("target")).distinct()
+    return tools.get_definition(chunks, goal)
+
+
 TESTED = ("pkg.the", "pkg.mod.para", "Einer.nicht", "licensed", "absent_word")
 
 
@@ -317,7 +340,9 @@ CHANGED = ("p1", "p17", "src1.p1", "p999999", "src3", "nowhere")
 
 @query(
     f"""WITH RECURSIVE {_EDGES}, {_CHUNKS}, goal AS (SELECT unnest({list(CHANGED)}) AS target),
-names AS MATERIALIZED (SELECT 'p' || p_partkey AS q FROM part UNION SELECT src FROM edges UNION SELECT dst FROM edges UNION SELECT qualname FROM chunks),
+brings AS (SELECT DISTINCT 'm' || p_size AS src, p_brand AS dst FROM part UNION SELECT DISTINCT 'app.' || lang, 'pkg.' || source FROM documents),
+names AS MATERIALIZED (
+  SELECT 'p' || p_partkey AS q FROM part UNION SELECT src FROM edges UNION SELECT dst FROM edges UNION SELECT qualname FROM chunks UNION SELECT src FROM brings UNION SELECT dst FROM brings),
 found AS (
   SELECT target, EXISTS (SELECT 1 FROM names WHERE q = target) AS exact,
          (SELECT list_sort(list(DISTINCT qualname)) FROM chunks WHERE ends_with(qualname, '.' || target)) AS l FROM goal),
@@ -338,13 +363,18 @@ SELECT target, resolved_target, error,
        CASE WHEN error IS NULL THEN coalesce((SELECT string_agg(src, ',' ORDER BY src) FROM direct WHERE g = resolved_target), '') END AS direct_callers,
        CASE WHEN error IS NULL THEN coalesce((SELECT string_agg(node, ',' ORDER BY node) FROM beyond WHERE g = resolved_target), '') END AS transitive_callers,
        CASE WHEN error IS NULL THEN coalesce((SELECT p_brand FROM part WHERE 'p' || p_partkey = resolved_target), regexp_extract(resolved_target, '^(.*)\\.[^.]*$', 1)) END AS target_module,
-       CASE WHEN error IS NULL THEN '' END AS dependent_modules,
+       CASE WHEN error IS NULL THEN coalesce((SELECT string_agg(src, ',' ORDER BY src) FROM brings WHERE dst = coalesce((SELECT p_brand FROM part WHERE 'p' || p_partkey = resolved_target), regexp_extract(resolved_target, '^(.*)\\.[^.]*$', 1))), '') END AS dependent_modules,
        CASE WHEN error IS NULL THEN coalesce((SELECT string_agg(qualname, ',' ORDER BY chunk_seq) FROM tests WHERE g = resolved_target), '') END AS related_tests
 FROM res"""
 )
 def impact_report(spark: SparkSession, d: str) -> DataFrame:
     targets = spark.createDataFrame([(t,) for t in CHANGED], "target string")
-    report = impact.impact_report(targets, _chunks(spark, d), _parts(spark, d), _edges(spark, d))
+    # Sizes stand for modules that import brands, languages for modules that import sources.
+    of_parts = read_table(spark, d, "part").select(F.concat(F.lit("m"), F.col("p_size")).alias("src"), F.col("p_brand").alias("dst"))
+    of_docs = read_table(spark, d, "documents").select(F.concat(F.lit("app."), F.col("lang")).alias("src"), F.concat(F.lit("pkg."), F.col("source")).alias("dst"))
+    imports = of_parts.unionAll(of_docs).where("src IS NOT NULL AND dst IS NOT NULL").distinct()
+    brings = imports.select(F.lit(0).cast("long").alias("edge_seq"), "src", "dst", F.lit("import").alias("type"), F.lit(None).cast("int").alias("lineno"), F.lit(None).cast("boolean").alias("resolved"))
+    report = impact.impact_report(targets, _chunks(spark, d), _parts(spark, d), _edges(spark, d).unionByName(brings))
     lists = ("direct_callers", "transitive_callers", "dependent_modules", "related_tests")
     return report.select("target", "resolved_target", "error", "target_module", *[F.array_join(c, ",").alias(c) for c in lists])
 
@@ -374,14 +404,43 @@ def retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
 def _retrieval_scores(spark: SparkSession, d: str) -> DataFrame:
     """BM25's ten best against the documents that have every token of the item."""
     index, items = lexical.build_index(_documents(spark, d)), _items(spark, d)
-    found = lexical.search(index, items, 10, digits=6).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_seq"))), lambda x: x["doc_seq"].cast("string")).alias("retrieved"))
     terms = lexical.query_terms(items)
     need = terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("need"))
     have = index.postings.join(terms, "term").groupBy("query_id", "doc_seq").agg(F.count(F.lit(1)).alias("have")).join(need, "query_id").where("have = need")
-    gold = have.groupBy("query_id").agg(F.collect_set(F.col("doc_seq").cast("string")).alias("expected"))
-    none = F.array().cast("array<string>")
-    both = items.select("query_id").join(found, "query_id", "left").join(gold, "query_id", "left")
-    return both.select("query_id", metrics.retrieval_scores(F.coalesce("retrieved", none), F.coalesce("expected", none)).alias("s")).select("query_id", "s.*")
+    named = F.col("doc_seq").cast("string").alias("id")
+    return metrics.retrieval_scores_of(items, lexical.search(index, items, 10, digits=6).select("query_id", "rank", named), have.select("query_id", named))
+
+
+_NAMES = """
+hits AS (
+  SELECT doc_id AS query_id, unnest([1, 2, 3]) AS rank, unnest(['pkg.m' || (doc_id % 50), 'pkg.m' || (doc_id % 50) || '.C' || (doc_id % 3), 'pkg.m' || (doc_id % 7) || '.C.run']) AS id FROM documents),
+gold AS (
+  SELECT doc_id AS query_id, unnest(['pkg.m' || (doc_id % 10) || '.C' || (doc_id % 2) || '.f', 'pkg.m' || (doc_id % 50) || '.C1', CASE WHEN doc_id % 4 = 0 THEN 'x' ELSE 'pkg.m' || (doc_id % 50) || '0' END]) AS id
+  FROM documents WHERE doc_id % 9 <> 0),
+pair AS (
+  SELECT DISTINCT query_id, rank, g.id AS gold FROM hits h JOIN gold g USING (query_id)
+  WHERE h.id = g.id OR starts_with(h.id, g.id || '.') OR starts_with(g.id, h.id || '.'))"""
+
+
+@query(
+    f"""WITH {_NAMES}
+SELECT doc_id AS query_id, round((SELECT count(DISTINCT rank) FROM pair p WHERE p.query_id = doc_id) / 3::DOUBLE, 6) AS precision_at_k,
+       coalesce(round((SELECT count(DISTINCT gold) FROM pair p WHERE p.query_id = doc_id) / nullif((SELECT count(DISTINCT id) FROM gold g WHERE g.query_id = doc_id), 0)::DOUBLE, 6), 0) AS recall_at_k,
+       coalesce(round(1 / (SELECT min(rank) FROM pair p WHERE p.query_id = doc_id)::DOUBLE, 6), 0) AS reciprocal_rank
+FROM documents"""
+)
+def retrieval_prefixes(spark: SparkSession, d: str) -> DataFrame:
+    """Dotted names, three found and three expected for each document: a name also matches
+    what stands inside it, or what it stands inside of."""
+    docs = read_table(spark, d, "documents").select(F.col("doc_id").alias("query_id"))
+    m = lambda k: F.concat(F.lit("pkg.m"), F.col("query_id") % k)
+    found = F.array(m(50), F.concat(m(50), F.lit(".C"), F.col("query_id") % 3), F.concat(m(7), F.lit(".C.run")))
+    third = F.when(F.col("query_id") % 4 == 0, F.lit("x")).otherwise(F.concat(m(50), F.lit("0")))
+    expected = F.array(F.concat(m(10), F.lit(".C"), F.col("query_id") % 2, F.lit(".f")), F.concat(m(50), F.lit(".C1")), third)
+    hits = docs.select("query_id", F.posexplode(found).alias("at", "id")).select("query_id", (F.col("at") + 1).alias("rank"), "id")
+    gold = docs.where("query_id % 9 <> 0").select("query_id", F.explode(expected).alias("id"))
+    scored = metrics.retrieval_scores_of(docs, hits, gold)
+    return scored.select("query_id", *[F.round(c, 6).alias(c) for c in ("precision_at_k", "recall_at_k", "reciprocal_rank")])
 
 
 @query(
@@ -509,52 +568,80 @@ def regression_gate(spark: SparkSession, d: str) -> DataFrame:
 
 # --- structure -------------------------------------------------------------------------
 
-#: A small package of our own; what it must yield is written out in the SQL below.
-PACKAGE = {
-    "shop/__init__.py": "from .cart import Cart\n",
-    "shop/cart.py": (
-        "import os.path\nfrom . import prices as pr\nfrom .util import *\n\n\nclass Cart:\n    '''A cart.'''\n\n    @property\n    def total(self):\n        return self.sum(pr.of(x) for x in self.items)\n\n"
-        "    def sum(self, xs):\n        def inner():\n            return self.total()\n        return inner() + os.path.join('a')\n\n\n@deco(1)\ndef make():\n    return Cart().sum([])\n"
+#: Files of a small package of our own. Each document is one of them, by its id: {i} is the
+#: id and {lang} the language, and as many blank lines stand in front as n_chars leaves of 7.
+PACKAGE = (
+    ("shop{i}/__init__.py", "from .cart import Cart\n"),
+    (
+        "shop{i}/cart.py",
+        "import os.path\nfrom . import prices as pr\nfrom .util import *\n\n\nclass Cart:\n    '''A {lang} cart.'''\n\n    @property\n    def total(self):\n        return self.sum(pr.of(x) for x in self.items)\n\n"
+        "    def sum(self, xs):\n        def inner():\n            return self.total()\n        return inner() + os.path.join('a')\n\n\n@deco({i})\ndef make():\n    return Cart().sum([])\n",
     ),
-    "shop/prices.py": "async def of(x):\n    return (lambda y: fmt(y))(x)\n\n\nRATE = of(3)\n",
-    "broken.py": "def f(:\n",
-}
+    ("shop{i}/prices.py", "async def of(x):\n    return (lambda y: fmt(y))(x)\n\n\nRATE = of(3)\n"),
+    ("broken{i}.py", "def f(:\n"),
+)
+
+
+def _package(spark: SparkSession, d: str) -> DataFrame:
+    """A file for each document, analyzed."""
+    k = (F.col("doc_id") % len(PACKAGE)).cast("int")
+    filled = lambda texts: F.replace(F.replace(F.get(F.array(*[F.lit(t) for t in texts]), k), F.lit("{i}"), F.col("doc_id").cast("string")), F.lit("{lang}"), F.coalesce("lang", F.lit("?")))
+    docs = read_table(spark, d, "documents")
+    blank = F.repeat(F.lit("\n"), (F.coalesce("n_chars", F.lit(0)) % 7).cast("int"))
+    return structure.analyze(files_of_table(docs.select(filled([n for n, _ in PACKAGE]).alias("rel_path"), F.concat(blank, filled([t for _, t in PACKAGE])).alias("content"))))
 
 
-def _package(spark: SparkSession) -> DataFrame:
-    files = spark.createDataFrame(list(PACKAGE.items()), "rel_path string, content string")
-    return structure.analyze(files_of_table(files))
+_FILES = "files AS (SELECT doc_id % 4 AS k, CAST(doc_id AS VARCHAR) AS i, coalesce(lang, '?') AS lang, coalesce(n_chars, 0) % 7 AS pad FROM documents)"
 
 
 @query(
-    """SELECT * FROM (VALUES
-('shop.cart', 'shop.cart.Cart.total', 'shop.cart.Cart.sum', 11, true), ('shop.cart', 'shop.cart.Cart.total', 'shop.prices.of', 11, true),
-('shop.cart', 'shop.cart.Cart.sum.inner', 'shop.cart.Cart.sum.total', 15, true), ('shop.cart', 'shop.cart.Cart.sum', 'inner', 16, false),
-('shop.cart', 'shop.cart.Cart.sum', 'os.path.path.join', 16, true), ('shop.cart', 'shop.cart.make', '<dynamic>', 21, false), ('shop.cart', 'shop.cart.make', 'shop.cart.Cart', 21, true),
-('shop.prices', 'shop.prices.of', '<dynamic>', 2, false), ('shop.prices', 'shop.prices.of', 'fmt', 2, false), ('shop.prices', 'shop.prices', 'shop.prices.of', 5, true)
-) v(module, caller, callee, lineno, resolved)"""
+    f"""WITH {_FILES}, v(k, module, caller, callee, line, resolved) AS (VALUES
+(1, 'shop#.cart', 'shop#.cart.Cart.total', 'shop#.cart.Cart.sum', 11, true), (1, 'shop#.cart', 'shop#.cart.Cart.total', 'shop#.prices.of', 11, true),
+(1, 'shop#.cart', 'shop#.cart.Cart.sum.inner', 'shop#.cart.Cart.sum.total', 15, true), (1, 'shop#.cart', 'shop#.cart.Cart.sum', 'inner', 16, false),
+(1, 'shop#.cart', 'shop#.cart.Cart.sum', 'os.path.path.join', 16, true), (1, 'shop#.cart', 'shop#.cart.make', '<dynamic>', 21, false), (1, 'shop#.cart', 'shop#.cart.make', 'shop#.cart.Cart', 21, true),
+(2, 'shop#.prices', 'shop#.prices.of', '<dynamic>', 2, false), (2, 'shop#.prices', 'shop#.prices.of', 'fmt', 2, false), (2, 'shop#.prices', 'shop#.prices', 'shop#.prices.of', 5, true))
+SELECT replace(module, '#', i) AS module, replace(caller, '#', i) AS caller, replace(callee, '#', i) AS callee, CAST(line + pad AS INTEGER) AS lineno, resolved FROM files JOIN v USING (k)"""
 )
 def resolve_calls(spark: SparkSession, d: str) -> DataFrame:
-    return structure.calls(_package(spark)).select("module", "caller", "callee", "lineno", "resolved")
+    return structure.calls(_package(spark, d)).select("module", "caller", "callee", "lineno", "resolved")
 
 
 @query(
-    """SELECT * FROM (VALUES
-('shop/__init__.py::shop', 'module', 1, 1, NULL, ''), ('shop/cart.py::shop.cart.Cart', 'class', 6, 16, 'A cart.', ''), ('shop/cart.py::shop.cart.Cart.total', 'method', 9, 11, NULL, 'property'),
-('shop/cart.py::shop.cart.Cart.sum', 'method', 13, 16, NULL, ''), ('shop/cart.py::shop.cart.make', 'function', 19, 21, NULL, 'deco(1)'), ('shop/cart.py::shop.cart', 'module', 1, 18, NULL, ''),
-('shop/prices.py::shop.prices.of', 'function', 1, 2, NULL, ''), ('shop/prices.py::shop.prices', 'module', 3, 5, NULL, '')
-) v(chunk_id, kind, start_line, end_line, docstring, decorators)"""
+    f"""WITH {_FILES}, v(k, chunk_id, kind, a, b, docstring, decorators) AS (VALUES
+(0, 'shop#/__init__.py::shop#', 'module', 0, 1, NULL, ''), (1, 'shop#/cart.py::shop#.cart.Cart', 'class', 6, 16, 'A @ cart.', ''), (1, 'shop#/cart.py::shop#.cart.Cart.total', 'method', 9, 11, NULL, 'property'),
+(1, 'shop#/cart.py::shop#.cart.Cart.sum', 'method', 13, 16, NULL, ''), (1, 'shop#/cart.py::shop#.cart.make', 'function', 19, 21, NULL, 'deco(#)'), (1, 'shop#/cart.py::shop#.cart', 'module', 0, 18, NULL, ''),
+(2, 'shop#/prices.py::shop#.prices.of', 'function', 1, 2, NULL, ''), (2, 'shop#/prices.py::shop#.prices', 'module', 0, 5, NULL, ''))
+SELECT replace(chunk_id, '#', i) AS chunk_id, kind, CAST(CASE WHEN a > 0 THEN a + pad WHEN k = 2 AND pad = 0 THEN 3 ELSE 1 END AS INTEGER) AS start_line, CAST(b + pad AS INTEGER) AS end_line,
+       replace(docstring, '@', lang) AS docstring, replace(decorators, '#', i) AS decorators FROM files JOIN v USING (k)"""
 )
 def python_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return structure.chunks(_package(spark)).select("chunk_id", "kind", "start_line", "end_line", "docstring", F.array_join("decorators", ",").alias("decorators"))
+    return structure.chunks(_package(spark, d)).select("chunk_id", "kind", "start_line", "end_line", "docstring", F.array_join("decorators", ",").alias("decorators"))
 
 
 @query(
-    """SELECT * FROM (VALUES
-('shop', 'module', NULL, NULL), ('shop.cart', 'module', NULL, NULL), ('shop.prices', 'module', NULL, NULL), ('shop.cart.Cart', 'class', 'shop.cart', NULL), ('shop.cart.Cart.total', 'method', 'shop.cart', 'Cart'),
-('shop.cart.Cart.sum', 'method', 'shop.cart', 'Cart'), ('shop.cart.Cart.sum.inner', 'function', 'shop.cart', NULL), ('shop.cart.make', 'function', 'shop.cart', NULL), ('shop.prices.of', 'function', 'shop.prices', NULL)
-) v(qualname, kind, module, class_name)"""
+    f"""WITH {_FILES}, v(k, qualname, kind, module, class_name) AS (VALUES
+(0, 'shop#', 'module', NULL, NULL), (1, 'shop#.cart', 'module', NULL, NULL), (2, 'shop#.prices', 'module', NULL, NULL), (1, 'shop#.cart.Cart', 'class', 'shop#.cart', NULL), (1, 'shop#.cart.Cart.total', 'method', 'shop#.cart', 'Cart'),
+(1, 'shop#.cart.Cart.sum', 'method', 'shop#.cart', 'Cart'), (1, 'shop#.cart.Cart.sum.inner', 'function', 'shop#.cart', NULL), (1, 'shop#.cart.make', 'function', 'shop#.cart', NULL), (2, 'shop#.prices.of', 'function', 'shop#.prices', NULL))
+SELECT replace(qualname, '#', i) AS qualname, kind, replace(module, '#', i) AS module, class_name FROM files JOIN v USING (k)"""
 )
 def graph_nodes(spark: SparkSession, d: str) -> DataFrame:
-    analysis = _package(spark)
+    analysis = _package(spark, d)
     return graph.build_nodes(analysis.where("error IS NULL"), structure.definitions(analysis))
+
+
+@query(
+    f"""WITH {_FILES}, v(k, src, dst, type, line, resolved) AS (VALUES
+(0, 'shop#', 'shop#.cart', 'import', NULL, NULL), (1, 'shop#.cart', 'os.path', 'import', NULL, NULL), (1, 'shop#.cart', 'shop#', 'import', NULL, NULL), (1, 'shop#.cart', 'shop#.util', 'import', NULL, NULL),
+(1, 'shop#.cart.Cart.total', 'shop#.cart.Cart.sum', 'call', 11, true), (1, 'shop#.cart.Cart.total', 'shop#.prices.of', 'call', 11, true), (1, 'shop#.cart.Cart.sum.inner', 'shop#.cart.Cart.sum.total', 'call', 15, true),
+(1, 'shop#.cart.Cart.sum', 'inner', 'call', 16, false), (1, 'shop#.cart.Cart.sum', 'os.path.path.join', 'call', 16, true), (1, 'shop#.cart.make', '<dynamic>', 'call', 21, false), (1, 'shop#.cart.make', 'shop#.cart.Cart', 'call', 21, true),
+(2, 'shop#.prices.of', '<dynamic>', 'call', 2, false), (2, 'shop#.prices.of', 'fmt', 'call', 2, false), (2, 'shop#.prices', 'shop#.prices.of', 'call', 5, true))
+SELECT replace(src, '#', i) AS src, replace(dst, '#', i) AS dst, type, CAST(line + pad AS INTEGER) AS lineno, resolved FROM files JOIN v USING (k)"""
+)
+def graph_edges(spark: SparkSession, d: str) -> DataFrame:
+    analysis = _package(spark, d).where("error IS NULL")
+    return graph.build_edges(structure.calls(analysis), structure.imports(analysis)).select("src", "dst", "type", "lineno", "resolved")
+
+
+@query(f"WITH {_FILES} SELECT 'broken' || i || '.py' AS rel_path, true AS failed FROM files WHERE k = 3 UNION ALL SELECT 'shop' || i || ['/__init__.py', '/cart.py', '/prices.py'][k + 1], false FROM files WHERE k < 3")
+def file_errors(spark: SparkSession, d: str) -> DataFrame:
+    return _package(spark, d).select("rel_path", F.col("error").isNotNull().alias("failed"))

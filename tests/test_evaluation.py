@@ -1,6 +1,7 @@
 """Metrics, gates, the tool loop."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -33,6 +34,17 @@ def test_retrieval_scores(spark):
     assert s(["a"], ["a", "a", "b"]) == (1.0, 0.5, 1.0)
 
 
+def test_retrieval_scores_of_tables_match_those_of_arrays(spark):
+    names = ["a", "a.b", "a.b.c", "a.bc", "b", "a.b.d", "b.a"]
+    r = random.Random(3)
+    questions = [(k, [r.choice(names) for _ in range(r.randint(0, 4))], [r.choice(names) for _ in range(r.randint(0, 4))]) for k in range(80)]
+    table = spark.createDataFrame(questions, "query_id long, got array<string>, want array<string>")
+    scores = table.select("query_id", metrics.retrieval_scores(F.col("got"), F.col("want")).alias("s")).select("query_id", "s.*")
+    hits = table.select("query_id", F.posexplode("got").alias("k", "id")).select("query_id", (F.col("k") + 1).alias("rank"), "id")
+    of = metrics.retrieval_scores_of(table, hits, table.select("query_id", F.explode("want").alias("id")))
+    assert sorted(map(tuple, of.collect())) == sorted(map(tuple, scores.collect()))
+
+
 def test_set_scores_and_keywords(spark):
     p = lambda a, b: tuple(column(spark, None, lambda _: metrics.set_prf1(strings(*a), strings(*b))))
     assert p([], []) == (1.0, 1.0, 1.0) and p(["a"], []) == (0.0, 0.0, 0.0) and p([], ["a"]) == (0.0, 0.0, 0.0)

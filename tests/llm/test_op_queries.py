@@ -21,12 +21,14 @@ COLUMNS = {
     8: ["doc_id", "item_id"],
     9: ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
     10: ["doc_id", "size", "source_size", "target", "taken"],
+    11: ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"],
+    12: ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
 }
 TYPES = {"bigint": ("doc_id", "n_words", "n_removed", "start", "n_tokens", "ids_crc32", "n_chars", "size", "source_size", "taken", "first_word"), "double": ("score", "target", "near_edited"), "boolean": ("held_out",)}
 
 
 def test_all_are_registered():
-    assert sorted(int(k[2:].split("_")[0]) for k in registry.QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in registry.QUERIES) == list(range(1, 13))
     assert set(registry.SQL) <= set(registry.QUERIES) and {*registry.QUERIES, "pipeline"} <= set(entry.queries())
 
 

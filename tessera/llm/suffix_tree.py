@@ -36,6 +36,7 @@ scores log10(1/1) = 0. Only the id and the text are read; other columns are left
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -46,21 +47,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import _words
-from tessera.llm._shared import Batches, known_id, map_batches, materialize, session_of, table
+from tessera.llm._shared import Batches, drop_table, known_id, map_batches, materialize, session_of, table
 
 #: Longest context, in words.
 DEPTH = 3
 #: Least empirical probability of a context: at most 65,536 contexts a level.
 LEAST = 2.0**-16
-#: Entries that are at least so probable are with the workers: at most 524,288 a level.
-HOT = 2.0**-19
+#: Entries that are at least so probable are with the workers: at most 2,097,152 a level, of
+#: 16 bytes each. It moves work, not results.
+HOT = 2.0**-21
 
 #: The token after a document's last word; no digest of a word in practice.
 END = np.uint64(0xE0D)
-#: Base of the digests of word strings.
+#: Base of the digests of word strings, and of those of words; both are odd.
 _BASE = np.uint64(0xD1B54A32D192ED03)
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+_BYTES = 0x9E3779B97F4A7C15
+_LOWER = np.arange(1, 257, dtype=np.uint64)
+_LOWER[65:91] += np.uint64(32)
 
 
 @dataclass
@@ -107,20 +110,38 @@ class Tokens:
         return out
 
 
+@functools.lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base of words' digests, and their inverses."""
+    steps = np.full(n + 1, _BYTES, np.uint64), np.full(n + 1, pow(_BYTES, -1, 1 << 64), np.uint64)
+    for step in steps:
+        step[0] = 1
+    return np.cumprod(steps[0]), np.cumprod(steps[1])
+
+
+def _digests(words: _words.Words) -> np.ndarray:
+    """A digest of each word's bytes in lower case: a difference of running sums over the
+    slice, moved to the slice's beginning."""
+    size = 1 << max(20, len(words.data).bit_length())
+    up, down = _powers(size)
+    sums = np.zeros(len(words.data) + 1, np.uint64)
+    np.cumsum(_LOWER[words.data] * up[: len(words.data)], out=sums[1:])
+    return _words.mix((sums[words.end] - sums[words.start]) * down[words.start] + (words.end - words.start).astype(np.uint64))
+
+
 def _tokens(words: _words.Words) -> Tokens:
     n = np.diff(words.first)
     end = words.first[1:] + np.arange(len(n))
     symbol = np.full(int(n.sum()) + len(n), END, np.uint64)
     inner = np.ones(len(symbol), bool)
     inner[end] = False
-    symbol[inner] = words.digests()
+    symbol[inner] = _digests(words)
     doc = np.repeat(np.arange(len(n)), n + 1)
     return Tokens(symbol, doc, np.arange(len(symbol)) - (end - n)[doc])
 
 
 def _slices(column: pa.Array) -> Iterator[tuple[slice, Tokens]]:
     for words in _words.slices(column):
-        words.data = _LOWER[words.data]
         with np.errstate(over="ignore"):
             yield words.rows, _tokens(words)
 
@@ -207,7 +228,7 @@ def train(texts: DataFrame, depth: int = DEPTH, least: float = LEAST, hot: float
         c, t = np.zeros(len(contexts.key), np.int64), np.zeros(len(contexts.key), np.int64)
         c[found["s"]], t[found["s"]] = found["c"], found["t"]
         states = _states(spark, parent=contexts.parent.astype(np.int32), c=c, t=t)
-        pairs = counts.join(states, "s").join(above.select(F.col("s").alias("parent"), "a", F.col("p").alias("par")), ["parent", "a"])
+        pairs = counts.join(states, "s").join(above.select(F.col("s").alias("parent"), "a", F.col("p").alias("par")), ["a", "parent"])
         pairs = materialize(pairs.select("s", "a", "n", "par"), f"suffix-level-{level}")
         once = (F.col("n") == 1).cast("long")
         others = (F.col("n") - 1 + (F.col("t") - once) * F.col("par")) / (F.col("c") - 1 + F.col("t") - once)
@@ -217,6 +238,7 @@ def train(texts: DataFrame, depth: int = DEPTH, least: float = LEAST, hot: float
         above = pairs.join(states, "s").select("s", "a", ((F.col("n") + F.col("t") * F.col("par")) / (F.col("c") + F.col("t"))).alias("p"))
         if level < depth:
             contexts = _longer(contexts, _bounded(counts.where((F.col("n") >= enough) & (F.col("a") != int(END)))), level)
+        drop_table(counts)
     return _grown(words, total, distinct, levels, tested, hot)
 
 
@@ -264,8 +286,8 @@ def _gains(tree: SuffixTree) -> tuple[DataFrame, DataFrame]:
 
 def _parts(docs: DataFrame, tree: SuffixTree, hot: list[tuple[np.ndarray, np.ndarray]]) -> DataFrame:
     """doc_id, digest, level, s, a, v: for each document four sums of what the worker has (level
-    -1: tokens, -2: known ones, -3: base, -4: score), then, with level 0 or more, how often it
-    needs the gain of (level, s, a)."""
+    -1: tokens, -2: known ones, -3: base, -4: score), then, with level 0 or more, a row for
+    each token that needs the gain of (level, s, a)."""
     shared = session_of(docs).sparkContext.broadcast((tree.contexts, hot, math.log10(tree.root_weight)))
 
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
@@ -277,9 +299,7 @@ def _parts(docs: DataFrame, tree: SuffixTree, hot: list[tuple[np.ndarray, np.nda
             symbol = tokens.symbol[at]
             found = _find(keys, _pair(state, symbol) if level else symbol)
             rest = np.flatnonzero(found < 0)
-            doc, s, a = tokens.doc[at[rest]], state[rest], symbol[rest]
-            _, first, n = np.unique(_words.mix(_pair(s, a) + doc.astype(np.uint64) * _BASE), return_index=True, return_counts=True)
-            asked.append((doc[first], np.full(len(first), level), s[first], a[first], n.astype(float)))
+            asked.append((tokens.doc[at[rest]], np.full(len(rest), level), state[rest], symbol[rest], np.ones(len(rest))))
             return np.where(found >= 0, gains[found] if len(gains) else 0.0, 0.0), found >= 0
 
         for batch in batches:
@@ -301,6 +321,8 @@ def _parts(docs: DataFrame, tree: SuffixTree, hot: list[tuple[np.ndarray, np.nda
                 every = np.arange(docs_here)
                 local = [(every, np.full(docs_here, -1 - k), np.zeros(docs_here, np.int64), digests[rows].view(np.uint64), v) for k, v in enumerate(sums)]
                 doc, level, s, a, v = (np.concatenate(c) for c in zip(*local, *asked, strict=True))
+                order = np.argsort(doc, kind="stable")  # what is alike stands together and packs well
+                doc, level, s, a, v = doc[order], level[order], s[order], a[order], v[order]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[rows][doc]), pa.array(digests[rows][doc]), pa.array(level.astype(np.int32)), pa.array(s.astype(np.int32)), _signed(a.astype(np.uint64)), pa.array(v)],
                     ["doc_id", "digest", "level", "s", "a", "v"],
@@ -325,7 +347,7 @@ def score(docs: DataFrame, tree: SuffixTree, doc_id: str = "doc_id", text: str =
             hot.append((keys[order], found["gain"][of][order]))
     key = F.when(F.col("level") > 0, F.xxhash64("level", "s", "a")).otherwise(F.col("a")).alias("key")
     parts = _parts(texts, tree, hot).select("doc_id", "digest", "level", key, "v")
-    joined = parts.join(far.select("level", key, "gain"), ["level", "key"], "left")
+    joined = parts.join(far.select("level", key, "gain"), ["key", "level"], "left")
     of = lambda level: F.sum(F.when(F.col("level") == level, F.col("v")).otherwise(0.0))
     more = lambda when: F.sum(F.when(when & F.col("gain").isNotNull(), F.col("v") * F.col("gain")).otherwise(0.0))
     each = joined.groupBy("doc_id", "digest").agg(

@@ -26,7 +26,9 @@ tables: each level is one pass over the training texts, one aggregation, one joi
 level above it. Contexts number at most 1/least a level, whatever the corpus, and so do the
 entries of probability ``hot`` or more: both go to the workers. All other counts, words and
 next symbols, grow with the corpus and stay tables; what a text needs of them is one join by key
-and one sum by document.
+and one sum by document. The tables' rows are unique by key, so no key makes a partition of
+them large; they are the hashed side of the joins, and hot keys are on the other side, which
+adaptive execution splits.
 
 Defined results: a null text is an empty one and has the one end token. A null id is hashed as
 the empty string (a training document). Repeated rows are counted each in training and
@@ -53,9 +55,9 @@ from tessera.llm._shared import Batches, drop_table, known_id, map_batches, mate
 DEPTH = 3
 #: Least empirical probability of a context: at most 65,536 contexts a level.
 LEAST = 2.0**-16
-#: Entries that are at least so probable are with the workers: at most 2,097,152 a level, of
+#: Entries that are at least so probable are with the workers: at most 4,194,304 a level, of
 #: 16 bytes each. It moves work, not results.
-HOT = 2.0**-21
+HOT = 2.0**-22
 
 #: The token after a document's last word; no digest of a word in practice.
 END = np.uint64(0xE0D)
@@ -228,7 +230,7 @@ def train(texts: DataFrame, depth: int = DEPTH, least: float = LEAST, hot: float
         c, t = np.zeros(len(contexts.key), np.int64), np.zeros(len(contexts.key), np.int64)
         c[found["s"]], t[found["s"]] = found["c"], found["t"]
         states = _states(spark, parent=contexts.parent.astype(np.int32), c=c, t=t)
-        pairs = counts.join(states, "s").join(above.select(F.col("s").alias("parent"), "a", F.col("p").alias("par")), ["a", "parent"])
+        pairs = counts.join(states, "s").join(above.select(F.col("s").alias("parent"), "a", F.col("p").alias("par")).hint("shuffle_hash"), ["a", "parent"])
         pairs = materialize(pairs.select("s", "a", "n", "par"), f"suffix-level-{level}")
         once = (F.col("n") == 1).cast("long")
         others = (F.col("n") - 1 + (F.col("t") - once) * F.col("par")) / (F.col("c") - 1 + F.col("t") - once)
@@ -347,9 +349,9 @@ def score(docs: DataFrame, tree: SuffixTree, doc_id: str = "doc_id", text: str =
             hot.append((keys[order], found["gain"][of][order]))
     key = F.when(F.col("level") > 0, F.xxhash64("level", "s", "a")).otherwise(F.col("a")).alias("key")
     parts = _parts(texts, tree, hot).select("doc_id", "digest", "level", key, "v")
-    joined = parts.join(far.select("level", key, "gain"), ["key", "level"], "left")
+    joined = parts.join(far.select("level", key, "gain").hint("shuffle_hash"), ["key", "level"], "left").withColumn("gain", F.col("v") * F.col("gain"))
     of = lambda level: F.sum(F.when(F.col("level") == level, F.col("v")).otherwise(0.0))
-    more = lambda when: F.sum(F.when(when & F.col("gain").isNotNull(), F.col("v") * F.col("gain")).otherwise(0.0))
+    more = lambda when: F.sum(F.when(when & F.col("gain").isNotNull(), F.col("gain")).otherwise(0.0))
     each = joined.groupBy("doc_id", "digest").agg(
         F.sum((F.col("level") == -1).cast("long")).alias("rows"),
         of(-1).alias("n_tokens"),

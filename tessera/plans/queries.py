@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import dense, graph, hybrid, impact, lexical, metrics, structure, tools
-from tessera.session import read_table
+from tessera.operators import dense, graph, hybrid, impact, lexical, metrics, postings, repos, structure, tools
+from tessera.session import new_folder, read_table
 from tessera.sources.pysource import files_of_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,6 +94,28 @@ def bm25_batch_topk(spark: SparkSession, d: str) -> DataFrame:
     return _hits(lexical.search(lexical.build_index(_documents(spark, d)), _items(spark, d), 10, digits=6))
 
 
+@query(f"WITH {_BM25}, q AS (SELECT item_id AS query_id, {tokens_sql('text')} AS t FROM benchmark), {_SCORED} SELECT query_id, doc_id, score, rank FROM ranked WHERE rank <= 10")
+def pruned_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of ``bm25_batch_topk`` from a stored index, unpacked as far as needed."""
+    index = postings.store(lexical.spread(_documents(spark, d)), new_folder(spark, "index"))
+    return _hits(postings.search(index, _items(spark, d), 10, digits=6))
+
+
+@query(f"WITH {_BM25} SELECT term, df, round(idf, 6) AS idf FROM terms")
+def updated_index(spark: SparkSession, d: str) -> DataFrame:
+    """An index of yesterday's documents brought up to date: half of them had another text, a
+    tenth was not there, and some are gone since. Equal to the index of today's documents."""
+    today = lexical.spread(_documents(spark, d))
+    other = today.where("doc_seq % 10 <> 3").withColumn("text", F.when(F.col("doc_seq") % 2 == 0, F.reverse("text")).otherwise(F.col("text")))
+    gone = today.where("doc_seq % 7 = 0").select((-1 - F.col("doc_seq")).alias("doc_seq"), "text")
+    before = other.unionByName(gone)
+    index = postings.store(before, new_folder(spark, "index"))
+    known = before.select("doc_seq", postings.digest(F.col("text")).alias("digest"))
+    found = postings.changes(known, today)
+    upserts = today.join(found.where("change <> 'gone'").select("doc_seq"), "doc_seq", "left_semi")
+    return postings.merged(index, upserts, found.where("change = 'gone'").select("doc_seq")).terms.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
 # --- dense and hybrid ------------------------------------------------------------------
 
 

@@ -6,7 +6,7 @@ would add them; it breaks all ties. Targets are a DataFrame with a column ``targ
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MAX_DEPTH = 5
@@ -115,6 +115,43 @@ def transitive_callers(edges: DataFrame, targets: DataFrame, max_depth: int = MA
     return out
 
 
+#: Targets that one number has a bit for.
+BITS = 63
+
+
+def reachable_callers(edges: DataFrame, targets: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """target, caller, depth: the rows of :func:`transitive_callers`, without the ways.
+
+    The search goes from all targets at once. Targets are numbered, and what a level keeps is a
+    row for each node and group of 63 targets: the bits of those that reached it. A level is
+    one join with the call steps, one bitwise or for each node, and one difference with the
+    bits that the node had, so its rows are bounded by nodes and groups, not by pairs.
+    """
+    spark = edges.sparkSession
+    steps = _cut(spark, _resolved_calls(edges).select("dst", F.col("src").alias("caller")).distinct())
+    order = F.row_number().over(Window.partitionBy("part").orderBy("target")) - 1
+    # Numbers within each of a few parts: no window over all targets.
+    numbered = targets.select("target").distinct().withColumn("part", F.pmod(F.xxhash64("target"), F.lit(64))).withColumn("at", order)
+    numbered = _cut(spark, numbered.select("target", F.concat_ws(":", "part", F.floor(F.col("at") / BITS)).alias("group"), (F.col("at") % BITS).cast("int").alias("bit")))
+    bits = F.expr("shiftleft(1L, bit)")
+    seen = frontier = numbered.groupBy(F.col("target").alias("node"), "group").agg(F.bit_or(bits).alias("bits"))
+    levels = []
+    for depth in range(1, max_depth + 1):
+        reached = frontier.join(steps, F.col("node") == F.col("dst")).groupBy(F.col("caller").alias("node"), "group").agg(F.bit_or("bits").alias("bits"))
+        fresh = reached.join(seen.withColumnRenamed("bits", "had"), ["node", "group"], "left").select("node", "group", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("had", F.lit(0)))).alias("bits"))
+        frontier = _cut(spark, fresh.where("bits <> 0"))
+        if frontier.isEmpty():
+            break
+        levels.append(frontier.withColumn("depth", F.lit(depth)))
+        seen = _cut(spark, seen.unionByName(frontier).groupBy("node", "group").agg(F.bit_or("bits").alias("bits")))
+    if not levels:
+        return numbered.where("false").select("target", F.col("target").alias("caller"), F.lit(0).alias("depth"))
+    every = levels[0]
+    for level in levels[1:]:
+        every = every.unionByName(level)
+    return every.join(numbered, "group").where(F.expr("shiftright(bits, bit) & 1") == 1).select("target", F.col("node").alias("caller"), "depth")
+
+
 def _cut(spark: SparkSession, df: DataFrame) -> DataFrame:
     """A level as a table: checkpointed where the session names a shared folder, else cached
     (which recomputes what is lost)."""

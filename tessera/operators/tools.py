@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import truncate_text
+from tessera.operators import trigrams
 from tessera.operators.graph import last_segment
 
 VIEW = ("file", "qualname", "kind", "start_line", "end_line", "text")
@@ -39,35 +40,19 @@ def is_test_file(path: Column) -> Column:
     return F.array_contains(F.slice(parts, F.lit(1), F.size(parts) - 1), "tests") | F.startswith(F.element_at(parts, -1), F.lit("test_"))
 
 
-#: What separates identifiers in a text.
-_NO_WORD = r"[^\p{L}\p{N}_]+"
+def test_chunks(chunks: DataFrame) -> DataFrame:
+    """The chunks of test files, as a trigram index takes them."""
+    return chunks.where(is_test_file(F.col("file_path"))).select("chunk_id", "chunk_seq", F.col("file_path").alias("file"), "qualname", "start_line", "text")
 
 
-def find_tests(chunks: DataFrame, targets: DataFrame) -> DataFrame:
+def find_tests(chunks: DataFrame, targets: DataFrame, index: trigrams.TrigramIndex | None = None) -> DataFrame:
     """target, file, qualname, start_line, first_seq: chunks of test files whose text has
-    the target's last name, anywhere in it. Chunks are those that win by chunk_id.
-
-    A name of letters, digits and underscores stands in a text if it stands inside one of
-    the text's words. So the parts of the distinct words meet the names by equality, and the
-    texts' words those that have a name; texts are not shuffled, and what is sorted out by
-    chunk_id are hits. Only odd names are searched for text by text.
-    """
-    tests = chunks.where(is_test_file(F.col("file_path"))).select("chunk_id", "chunk_seq", F.col("file_path").alias("file"), "qualname", "start_line", "text")
-    named = targets.select("target", last_segment(F.col("target")).alias("short"))
-    shorts = named.select("short").distinct()
-    plain = shorts.where(F.col("short").rlike(r"^[\p{L}\p{N}_]+$"))
-    odd = shorts.where(~F.col("short").rlike(r"^[\p{L}\p{N}_]+$"))
-    own = ["chunk_id", "chunk_seq", "file", "qualname", "start_line"]
-
-    words = tests.select(*own, F.explode(F.array_distinct(F.split("text", _NO_WORD))).alias("word")).where("word <> ''")
-    # The lengths that names have are few; a word has as many parts of one length as letters.
-    lengths = plain.select(F.length("short").alias("n")).distinct()
-    distinct = words.select("word").distinct().join(F.broadcast(lengths), F.col("n") <= F.length("word"))
-    parts = distinct.select("word", F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - F.col("n") + 1), lambda k: F.substr("word", k, F.col("n")))).alias("short"))
-    having = parts.join(plain, "short").distinct()
-    hits = words.join(having, "word").select("short", *own).unionByName(tests.join(odd, F.contains(F.col("text"), F.col("short"))).select("short", *own)).distinct()
+    the target's last name, anywhere in it. Chunks are those that win by chunk_id. Texts are
+    searched through their trigram index: the one given, or one made of the test chunks."""
+    named = targets.select("target", last_segment(F.col("target")).alias("name"))
+    hits = trigrams.find(index or trigrams.build(test_chunks(chunks)), named.select("name"))
     seqs = chunks.where(is_test_file(F.col("file_path"))).groupBy("chunk_id").agg(F.max("chunk_seq").alias("chunk_seq"), F.min("chunk_seq").alias("first_seq"))
-    return hits.join(seqs, ["chunk_id", "chunk_seq"]).join(named, "short").select("target", "file", "qualname", "start_line", "first_seq")
+    return hits.join(seqs, ["chunk_id", "chunk_seq"]).join(named, "name").select("target", "file", "qualname", "start_line", "first_seq")
 
 
 def truncated(chunks: DataFrame) -> DataFrame:

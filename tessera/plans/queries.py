@@ -280,6 +280,18 @@ def transitive_callers(spark: SparkSession, d: str) -> DataFrame:
     return found.select("target", "caller", "depth", "lineno", F.array_join(F.col("position").cast("array<string>"), ">").alias("path"))
 
 
+@query(
+    f"""WITH {_EDGES}, {_HUNDREDTH_PARTS},
+step AS MATERIALIZED (SELECT src, dst, min(edge_seq) AS edge_seq, arg_min(lineno, edge_seq) AS lineno FROM edges WHERE resolved GROUP BY src, dst),
+{_levels_sql(5)}
+SELECT target, caller, depth FROM ({" UNION ALL ".join(f"SELECT * FROM l{k}" for k in range(1, 6))})"""
+)
+def reachable_callers(spark: SparkSession, d: str) -> DataFrame:
+    """Who reaches a target in how many steps, by bits of targets at each node."""
+    goal = read_table(spark, d, "part").where("p_partkey % 100 = 0").select(F.concat(F.lit("p"), F.col("p_partkey")).alias("target"))
+    return graph.reachable_callers(_edges(spark, d), goal)
+
+
 _LINKS = r"""
 links AS (
   SELECT DISTINCT regexp_extract(url, '://([^/?#]*)', 1) AS module, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS imported_module FROM pages)"""

@@ -10,7 +10,8 @@ each half over the next, so that words which an edit put in or took out do not p
 votes. A place is a candidate if one of the template's highest-IDF words hits it, and
 gives a label if enough of the template's words do and all its mandatory phrases stand
 there. As many words count as highest-IDF as no place with enough votes can do without, so
-candidates lose nothing, and what else stands in a file takes no label away.
+candidates lose nothing, and what else stands in a file takes no label away. The other words
+are looked up only in files that have a candidate, and vote only for candidates.
 
 Only built-in expressions. The text is read once; what leaves the scan is one small row
 for each document, in the shared folder; only documents with a mandatory phrase give
@@ -174,36 +175,54 @@ def _bands(offset: Column, width: Column) -> Column:
     return F.when(width == 1, F.array(whole)).otherwise(F.array(whole, half))
 
 
-def find_licences(scanned: DataFrame, templates=TEMPLATES) -> DataFrame:
-    """row, label, score for each document and label of a template that has a place: all its
-    mandatory phrases stand there, one of its highest-IDF words does, and at least ``SHARE``
-    of its voting words do; score is that share."""
+def _of(values: Sequence) -> Column:
+    """The value of a row's template."""
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("t") + 1).cast("int"))
+
+
+def _words_held(scanned: DataFrame, templates) -> tuple[DataFrame, DataFrame]:
+    """Of the files that have all mandatory phrases of a template, wherever: row, t, word, at
+    of their licence words, and row, t, place, phrases: how many of the phrases vote for a place."""
     spark, phrases = scanned.sparkSession, key_phrases(templates)
     stand = F.array(*[F.struct(F.lit(t).alias("t"), F.array(*[F.lit(phrases.index(p)) for p in keys]).alias("needed")) for t, (_, _, keys) in enumerate(templates)])
     held = F.transform(F.filter(stand, lambda x: F.forall(x["needed"], lambda k: F.size(F.get(F.col("keys"), k)) > 0)), lambda x: x["t"])
     holding = scanned.where(F.size("licence") > 0).select("row", "licence", "keys", held.alias("held")).where(F.size("held") > 0)
     words = holding.select("row", "licence", F.explode("held").alias("t")).select("row", "t", F.explode("licence").alias("x")).select("row", "t", "x.word", "x.at")
-    none = F.lit(None)
-    hits = words.join(F.broadcast(_postings(scanned, templates)), ["t", "word"]).select("row", "t", (F.col("at") - F.col("spot")).alias("offset"), "width", "of", "spot", "seeks", none.cast("int").alias("phrase"))
     needed = _table(spark, _needs_of(templates), "t int, phrase int, spot int, width int")
     stands = holding.select("row", "held", F.posexplode("keys").alias("phrase", "places")).where(F.size("places") > 0).select("row", "held", "phrase", F.explode("places").alias("at"))
-    phrase_hits = (
-        stands.join(F.broadcast(needed), "phrase")
-        .where(F.array_contains("held", F.col("t")))
-        .select("row", "t", (F.col("at") - F.col("spot")).alias("offset"), "width", none.cast("int").alias("of"), none.cast("int").alias("spot"), none.cast("boolean").alias("seeks"), "phrase")
-    )
-    votes = (
-        hits.unionByName(phrase_hits)
-        .select("row", "t", "of", "spot", "seeks", "phrase", F.explode(_bands(F.col("offset"), F.col("width"))).alias("place"))
-        .groupBy("row", "t", "place")
-        .agg(F.size(F.collect_set("spot")).alias("votes"), F.size(F.collect_set("phrase")).alias("phrases"), F.max("of").alias("of"), F.bool_or("seeks").alias("candidate"))
-    )
-    of = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("t") + 1).cast("int"))
+    voted = stands.join(F.broadcast(needed), "phrase").where(F.array_contains("held", F.col("t"))).select("row", "t", "phrase", F.explode(_bands(F.col("at") - F.col("spot"), F.col("width"))).alias("place"))
+    return words, voted.groupBy("row", "t", "place").agg(F.size(F.collect_set("phrase")).alias("phrases"))
+
+
+def _hits(words: DataFrame, postings: DataFrame) -> DataFrame:
+    """row, t, place, spot, of: each licence word's votes by the given postings."""
+    found = words.join(F.broadcast(postings), ["t", "word"])
+    return found.select("row", "t", "spot", "of", F.explode(_bands(F.col("at") - F.col("spot"), F.col("width"))).alias("place"))
+
+
+def candidate_places(words: DataFrame, phrases: DataFrame, postings: DataFrame, templates=TEMPLATES) -> DataFrame:
+    """row, t, place of every place that can give a label: one of the template's highest-IDF
+    words hits it, looked up in the postings of those words alone, and so do all its
+    mandatory phrases."""
+    rare = _hits(words, postings.where("seeks")).select("row", "t", "place").distinct()
+    return rare.join(phrases.where(F.col("phrases") == _of([len(keys) for _, _, keys in templates])), ["row", "t", "place"]).select("row", "t", "place")
+
+
+def find_licences(scanned: DataFrame, templates=TEMPLATES, postings: DataFrame | None = None) -> DataFrame:
+    """row, label, score for each document and label of a template that has a place: all its
+    mandatory phrases stand there, one of its highest-IDF words does, and at least ``SHARE``
+    of its voting words do; score is that share. First the rare words and the phrases give the
+    candidate places; then the other words of the files and templates that have one vote, and
+    only for those places."""
+    postings = _postings(scanned, templates) if postings is None else postings
+    words, phrases = _words_held(scanned, templates)
+    candidates = candidate_places(words, phrases, postings, templates)
+    again = words.join(candidates.select("row", "t").distinct(), ["row", "t"], "left_semi")
+    votes = _hits(again, postings).join(candidates, ["row", "t", "place"], "left_semi").groupBy("row", "t", "place").agg(F.size(F.collect_set("spot")).alias("votes"), F.max("of").alias("of"))
     return (
-        votes.where(F.col("candidate") & (F.col("phrases") == of([len(keys) for _, _, keys in templates])))
-        .withColumn("score", F.col("votes") / F.col("of"))
+        votes.withColumn("score", F.col("votes") / F.col("of"))
         .where(F.col("score") >= SHARE)
-        .groupBy("row", of([label for label, _, _ in templates]).alias("label"))
+        .groupBy("row", _of([label for label, _, _ in templates]).alias("label"))
         .agg(F.max("score").alias("score"))
     )
 

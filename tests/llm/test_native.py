@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.llm import licenses, mixing, secrets
@@ -279,3 +280,20 @@ def test_notices_match_a_plain_scan(spark):
             if scores:
                 want[label] = max(scores + [want.get(label, 0)])
         assert got[i] == pytest.approx(want)
+
+
+def test_other_frequencies_give_other_candidates_and_the_same_labels(spark):
+    """Which words are rare decides which places are looked at, never what is found there."""
+    r = random.Random(14)
+    rows = [(k, " ".join([*edited(r, r.choice(licenses.NOTICES)[1].split(), 0.5), *edited(r, r.choice(licenses.NOTICES)[1].split(), 0.1)]), None) for k in range(60)]
+    scanned = licenses.scan(docs(spark, rows)).cache()
+    usual = licenses._postings(scanned, licenses.TEMPLATES)
+    # The same number of words of each template, but the commonest ones.
+    order = F.row_number().over(Window.partitionBy("t").orderBy(F.col("seeks").cast("int"), "word", "spot"))
+    turned = usual.select("t", "word", "spot", "of", "width", (order <= F.sum(F.col("seeks").cast("int")).over(Window.partitionBy("t"))).alias("seeks"))
+    words, phrases = licenses._words_held(scanned, licenses.TEMPLATES)
+    places = [{tuple(map(str, x)) for x in licenses.candidate_places(words, phrases, p).collect()} for p in (usual, turned)]
+    every = {tuple(map(str, x)) for x in licenses._hits(words, usual).select("row", "t", "place").distinct().collect()}
+    assert places[0] != places[1] and all(p and p < every for p in places)
+    labels = [sorted(map(tuple, licenses.find_licences(scanned, postings=p).collect())) for p in (usual, turned)]
+    assert labels[0] == labels[1] and len(labels[0]) > 40

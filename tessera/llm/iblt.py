@@ -12,8 +12,9 @@ that gets stuck, both are made larger and the attempt is repeated. The likeness
 versions is 1 - differing / (those of one + those of the other).
 
 Paragraphs are lines, and sentences of lines, cut once more between equal words and after
-words chosen by their own digest, so a change moves only the cuts around it; of a text under
-``SHORT`` characters every word is a paragraph.
+words chosen by their own digest, so a change moves only the cuts around it. The first
+``HEAD`` words of every text are paragraphs of their own, whatever its length: so a short
+text has enough paragraphs to be alike in part, and two texts are cut by one rule.
 
 For :func:`compare_versions` documents are dealt out in blocks of the order of their ids;
 the first document of the block that follows is sent along, so every document meets the
@@ -35,7 +36,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,8 +44,8 @@ from tessera.llm._words import mix, slices
 
 #: One word in so many ends a paragraph by its digest; a power of two.
 CUT = 8
-#: Characters below which every word of a text is a paragraph.
-SHORT = 96
+#: Words at the beginning of a text that are paragraphs of their own.
+HEAD = 16
 #: Characters of documents that are compared together.
 CHUNK_CHARS = 2_000_000
 _PARTS = 3
@@ -73,11 +73,12 @@ class Keys:
         return Keys(self.key[np.arange(first[-1]) + np.repeat(self.first[:-1][rows] - first[:-1], n)], first)
 
 
-def _ends(words, h: np.ndarray, short: np.ndarray) -> np.ndarray:
+def _ends(words, h: np.ndarray) -> np.ndarray:
     """For each word: does a paragraph end after it?"""
     last = words.data[words.end - 1]
     lines = np.cumsum(words.data == 0x0A)
-    ends = (last == ord(".")) | (last == ord("!")) | (last == ord("?")) | (mix(h, 22) % np.uint64(CUT) == 0) | short[words.doc]
+    ends = (last == ord(".")) | (last == ord("!")) | (last == ord("?")) | (mix(h, 22) % np.uint64(CUT) == 0)
+    ends |= np.arange(len(h)) - words.first[:-1][words.doc] < HEAD
     ends[:-1] |= (lines[words.start[1:]] > lines[words.end[:-1] - 1]) | (h[1:] == h[:-1])
     bounds = words.first[1:]
     ends[bounds[np.diff(words.first) > 0] - 1] = True
@@ -86,11 +87,10 @@ def _ends(words, h: np.ndarray, short: np.ndarray) -> np.ndarray:
 
 def _paragraphs(column: pa.Array) -> Iterator[tuple]:
     """For each slice of documents its words, their digests, and where paragraphs begin."""
-    short = pc.less(pc.utf8_length(column.fill_null("")), SHORT).to_numpy(zero_copy_only=False)
     for words in slices(column):
         h = words.digests(21)
         if len(h):
-            ends = _ends(words, h, short[words.rows])
+            ends = _ends(words, h)
             yield words, h, np.flatnonzero(np.concatenate([[True], ends[:-1]]))
         else:
             yield words, h, np.zeros(0, np.int64)

@@ -482,6 +482,21 @@ def test_paragraphs_are_cut_by_content():
     assert {"Second!", "x"} <= set(iblt.paragraphs(f"{long}\nSecond!\nx x x x x {long}")) and iblt.paragraphs("a b") == ["a", "b"]
 
 
+def test_likeness_does_not_turn_on_length(spark):
+    """A text whose last third is left out, or replaced, stays alike around every length."""
+    r = random.Random(21)
+    near, cut = {}, {}
+    for n in range(40, 400, 12):
+        whole = prose(r, 120)[:n]
+        for found, other in ((near, whole[: n - n // 3] + "0123 456 78 9 " * (n // 42)), (cut, whole[: n - n // 3])):
+            a, b = (iblt.fingerprints(iblt.digests(pa.array([t]))).texts()[0] for t in (whole, other))
+            found[n] = iblt.compare_fingerprints([a], [b])[0]
+    for found in (near, cut):
+        assert all(v > 0.3 for v in found.values()), found
+        means = [np.mean([v for n, v in found.items() if lo <= n < lo + 36]) for lo in (60, 96)]
+        assert abs(means[0] - means[1]) < 0.15, means
+
+
 def test_versions(spark):
     rows = [(i, t) for i, t in edge_rows() if i not in (13, 14)] + [(20, "naïve\ntext. More."), (21, "🙂" * 10), (22, "As " * 200 + "was " * 200)]
     order = sorted(rows, key=lambda r: -(1 << 63) if r[0] is None else r[0], reverse=True)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import dense, graph, hybrid, impact, lexical, metrics, postings, repos, structure, tools
+from tessera.operators import cells, dense, graph, hybrid, impact, lexical, metrics, nested, postings, repos, structure, tools
 from tessera.session import new_folder, read_table
 from tessera.sources.pysource import files_of_table
 
@@ -153,6 +153,14 @@ def dense_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
     return _hits(dense.search(vectors, _vector_queries(vectors), 10, kind=3, digits=6))
 
 
+@query(f"WITH {_dense_sql(_HUNDREDTH, 10)} SELECT query_id, doc_id, score, rank FROM dense")
+def cell_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of ``dense_topk`` from a table in cells, with all cells probed."""
+    vectors = _vectors(spark, d)
+    index = cells.store(vectors, new_folder(spark, "cells"))
+    return _hits(cells.search(index, _vector_queries(vectors), 10, probes=cells.CELLS, digits=6))
+
+
 _FUSED = f"""
 {_BM25}, q AS (SELECT item_id AS query_id, {tokens_sql('text')} AS t FROM benchmark), {_SCORED}, {_dense_sql(_OF_ITEMS, 30)},
 lists AS (SELECT query_id, 0 AS l, doc_id, rank FROM dense UNION ALL SELECT query_id, 1, doc_id, rank FROM ranked WHERE rank <= 30),
@@ -487,6 +495,43 @@ def retrieval_macro(spark: SparkSession, d: str) -> DataFrame:
     return mean.select(*[F.round(c, 6).alias(c) for c in mean.columns])
 
 
+_REPO_POSTINGS = f"""
+rtok AS MATERIALIZED (SELECT coalesce(source, '') AS repo, doc_id, {tokens_sql("text")} AS t FROM documents),
+rcorpus AS (SELECT repo, count(*) AS n, avg(len(t)) AS avgdl FROM rtok GROUP BY repo),
+rpost AS MATERIALIZED (SELECT repo, term, doc_id, count(*) AS tf, any_value(dl) AS dl FROM (SELECT repo, doc_id, len(t) AS dl, unnest(t) AS term FROM rtok) GROUP BY ALL),
+rraw AS (SELECT repo, term, count(*) AS df, ln(any_value(n) - count(*) + 0.5::DOUBLE) - ln(count(*) + 0.5::DOUBLE) AS raw FROM rpost JOIN rcorpus USING (repo) GROUP BY repo, term),
+rterms AS (SELECT repo, term, df, CASE WHEN raw < 0 THEN 0.25::DOUBLE * avg(raw) OVER (PARTITION BY repo) ELSE raw END AS idf FROM rraw)"""
+
+
+def _of_repos(spark: SparkSession, d: str) -> DataFrame:
+    """Sources stand for repositories."""
+    docs = read_table(spark, d, "documents").select(F.coalesce("source", F.lit("")).alias("repo"), F.col("doc_id").alias("doc_seq"), "text")
+    return repos.postings(lexical.spread(docs))
+
+
+@query(f"WITH {_REPO_POSTINGS} SELECT repo, term, df, round(idf, 6) AS idf FROM rterms")
+def repo_term_stats(spark: SparkSession, d: str) -> DataFrame:
+    """The term statistics of every repository's own index, from one plan."""
+    rows = _of_repos(spark, d)
+    return repos.terms(rows, repos.corpora(rows)).select("repo", "term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query(
+    f"""WITH {_REPO_POSTINGS},
+rq AS (SELECT item_id AS query_id, 'src' || (item_id % 20) AS repo, {tokens_sql('text')} AS t FROM benchmark),
+rqt AS (SELECT repo, query_id, term, count(*) AS qtf FROM (SELECT repo, query_id, unnest(t) AS term FROM rq) GROUP BY ALL),
+rscored AS (
+  SELECT repo, query_id, doc_id, round(sum(qtf * idf * (tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl)))), 6) AS score
+  FROM rpost JOIN rterms USING (repo, term) JOIN rqt USING (repo, term) JOIN rcorpus USING (repo) GROUP BY repo, query_id, doc_id)
+SELECT repo, query_id, doc_id, score, row_number() OVER (PARTITION BY repo, query_id ORDER BY score DESC, doc_id) AS rank FROM rscored WHERE score > 0 QUALIFY rank <= 10"""
+)
+def repo_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Each question in its own repository."""
+    items = read_table(spark, d, "benchmark").select(F.concat(F.lit("src"), F.col("item_id") % 20).alias("repo"), F.col("item_id").alias("query_id"), "text")
+    found = repos.search(_of_repos(spark, d), items, 10, digits=6)
+    return found.select("repo", "query_id", F.col("doc_seq").alias("doc_id"), "score", F.col("rank").cast("long").alias("rank"))
+
+
 _SETS = """
 g AS (SELECT source, count(*) FILTER (quality = 1) AS p, count(*) FILTER (toxic = 1) AS e, count(*) FILTER (quality = 1 AND toxic = 1) AS b FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source),
 s AS (
@@ -574,6 +619,28 @@ def truncate_text(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", T.truncate_text(F.col("text")).alias("text"))
 
 
+_ANSWERED = """
+a AS (
+  SELECT conv_id, turn, length(text) AS n, CASE WHEN length(text) > 2000 THEN substr(text, 1, 2000) || '... [truncated]' ELSE text END AS cut, text FROM conversations)"""
+
+
+@query(
+    f"""WITH {_ANSWERED}
+SELECT conv_id, turn, 'a' AS path, cut AS value FROM a UNION ALL SELECT conv_id, turn, 'b', text FROM a UNION ALL SELECT conv_id, turn, 'c', cut FROM a UNION ALL SELECT conv_id, turn, 'd', cut FROM a
+UNION ALL SELECT conv_id, turn, 'e', n::VARCHAR FROM a"""
+)
+def truncate_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Tool answers as nested JSON of each turn's text: at the top, under another name, in a list
+    and deep inside. What is cut are strings named text, wherever they stand."""
+    c = read_table(spark, d, "conversations").select("conv_id", "turn", "text")
+    text, other = F.col("text"), F.col("text").alias("title")
+    answer = F.to_json(F.struct(text, other, F.array(F.struct(text, other)).alias("hits"), F.struct(F.array(F.struct(F.struct(text).alias("chunk"))).alias("rows"), F.length("text").alias("text")).alias("deep")))
+    cut = nested.truncate_answer(answer)
+    at = lambda path, name: F.struct(F.lit(name).alias("path"), F.get_json_object("answer", path).alias("value"))
+    parts = F.array(at("$.text", "a"), at("$.title", "b"), at("$.hits[0].text", "c"), at("$.deep.rows[0].chunk.text", "d"), at("$.deep.text", "e"))
+    return c.select("conv_id", "turn", cut.alias("answer")).select("conv_id", "turn", F.explode(parts).alias("p")).select("conv_id", "turn", "p.path", "p.value")
+
+
 _RATES = """
 v AS (
   SELECT source AS repo, unnest(['retrieval.recall_at_k', 'groundedness.grounded_rate', 'correctness.keyword_coverage', 'impact.caller_f1']) AS metric,

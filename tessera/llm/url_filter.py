@@ -7,10 +7,11 @@ tokens that paths of more than one host have between their separators: what many
 off by themselves (a language code, a section's name) is a word.
 
 The words of the host and of the path are then scored by a multinomial naive Bayes model
-with two classes. It learns from the pages themselves: a page that a rule fits has the
-rule's verdict, and every other is unwanted if its visible text fails plain checks (too few
-words, words too short or too long, hardly any distinct ones). A url is so judged by what
-was found at urls with the same words, before its own page is fetched.
+with two classes. It learns from the pages themselves: a page is unwanted if its visible
+text fails plain checks (too few words, words too short or too long, hardly any distinct
+ones). Only pages that no rule fits are learned from, as only they are judged by the model: a
+rule's verdict says nothing about what stands at other hosts. A url is so judged by what was
+found at urls with the same words, before its own page is fetched.
 
 The most frequent words of the model are broadcast, ``LEXICON`` of them at most. The others
 stay a table: the substrings of the distinct host and path labels are joined with it, each
@@ -143,7 +144,7 @@ def parse(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> Da
     # Split and counted in steps of their own: each is computed once.
     parsed = parsed.withColumn("_words", F.array_remove("_split", "")).withColumn("_letters", F.length(F.array_join("_words", "")))
     ruled = parsed.withColumn("_rule", longest_rule(F.col("host"), F.col("path"), rules))
-    unwanted = F.coalesce(F.col("_rule.verdict") == "block", is_poor(F.col("_words"), F.col("_letters")))
+    unwanted = is_poor(F.col("_words"), F.col("_letters"))
     return materialize(ruled.select("page_id", "url", "host", "path", F.col("_rule.rule").alias("rule"), F.col("_rule.verdict").alias("verdict"), unwanted.alias("unwanted")), "urls")
 
 
@@ -313,13 +314,14 @@ def _score(shared, shared_bayes):
 def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, threshold: float = 0.5, learn_from: Column | None = None) -> DataFrame:
     """One row for each page of ``pages`` (page_id, url, html): host, path, rule, verdict,
     words (the segmented words), score (of being unwanted, 0 to 1), unwanted (the label that
-    the page itself has). ``learn_from``: which pages the model learns from, all if not given."""
+    the page itself has). ``learn_from``: which pages without a rule the model learns from, all if not given."""
     sc = session_of(pages).sparkContext
     parsed = parse(pages, rules)
     model, others = word_model(all_counts(pages, parsed))
     shared = sc.broadcast(model)
     parsed = with_splits(parsed, rare_splits(parsed, others, shared) if others is not None else None)
-    nb = sc.broadcast(train_bayes(parsed if learn_from is None else parsed.where(learn_from), shared))
+    free = parsed.where("rule IS NULL")
+    nb = sc.broadcast(train_bayes(free if learn_from is None else free.where(learn_from), shared))
     scored = parsed.mapInArrow(_score(shared, nb), _SCORED)
     judged = F.when(F.col("score") > threshold, "block").otherwise("allow")
     return scored.select("page_id", "host", "path", "rule", F.coalesce("verdict", judged).alias("verdict"), "words", "score", "unwanted")

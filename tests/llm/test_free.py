@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tessera.llm import edit_match, iblt, jaccard_join, language_id, substring_dedup, token_shards, url_filter, wavelet
 from tessera.llm import _words as W
 
@@ -584,7 +585,7 @@ def brute_urls(rows):
         words = text.split()
         poor = len(words) < 50 or not 3 <= sum(map(len, words)) / len(words) <= 10 or len(set(words)) < 0.05 * len(words)
         verdict = max(rules)[1] if rules else None
-        pages.append((i, host, path, verdict, verdict == "block" if verdict else poor))
+        pages.append((i, host, path, verdict, poor))
         for w in re.findall("[a-z]+", text):
             counts[w] = counts.get(w, 0) + (len(w) <= 63)
         for w in re.findall("[a-z]+", path.lower()):
@@ -595,7 +596,9 @@ def brute_urls(rows):
     model = url_filter.segmenter(counts)
     seen, bins = ([0, 0], [{}, {}])
     split = {i: url_filter.tokens(model, host, path) for i, host, path, _, _ in pages}
-    for i, _, _, _, unwanted in pages:
+    for i, _, _, verdict, unwanted in pages:
+        if verdict:  # a rule fits: nothing is learned from it
+            continue
         seen[unwanted] += 1
         for w in split[i]:
             b = zlib.crc32(w.encode()) % url_filter.BINS
@@ -622,6 +625,17 @@ def test_query_matches_brute_force(spark, tmp_path):
         assert (r.verdict, r.words) == (want[r.page_id][0], want[r.page_id][2]) and r.score == pytest.approx(want[r.page_id][1])
 
 
+def test_rules_teach_the_model_nothing(spark):
+    """Other rules change the verdicts of their own pages and the pages learned from, no label."""
+    rows = [(k, f"http://calmwater{'pills' if k % 3 == 0 else ''}.example.org/fr/{k}", "few" if k % 3 == 0 else GOOD) for k in range(90)] + [(100 + k, f"http://blocked.example.org/es/{k}", GOOD) for k in range(200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r for r in url_filter.filter_urls(pages).collect()}
+    assert all(r.verdict == "block" and not r.unwanted for i, r in got.items() if i >= 100)
+    assert all((r.verdict == "block") == r.unwanted == (i % 3 == 0) for i, r in got.items() if i < 100)
+    half = {r.page_id: r for r in url_filter.filter_urls(pages, learn_from=F.col("page_id") % 2 == 0).collect()}
+    assert all((r.verdict == "block") == (i % 3 == 0) for i, r in half.items() if i < 100 and i % 2)
+
+
 def test_rare_words_split_hosts_too(spark, monkeypatch):
     monkeypatch.setattr(url_filter, "LEXICON", 200)
     r = random.Random(8)

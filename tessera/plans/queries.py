@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import text as T
+from tessera.functions import embedding, text as T
 from tessera.operators import cells, dense, graph, hybrid, impact, lexical, metrics, nested, postings, repos, structure, tools
 from tessera.session import new_folder, read_table
 from tessera.sources.pysource import files_of_table
@@ -161,6 +161,28 @@ def cell_topk(spark: SparkSession, d: str) -> DataFrame:
     return _hits(cells.search(index, _vector_queries(vectors), 10, probes=cells.CELLS, digits=6))
 
 
+def _hashed_sql(name: str, table: str, key: str) -> str:
+    """Coordinates of the hashing model's vectors: key, c, v."""
+    return f"""
+{name} AS MATERIALIZED (
+  SELECT {key}, ('0x' || substr(md5(w), 1, 8))::BIGINT % 64 AS c, sum(CASE WHEN ('0x' || substr(md5(w), 9, 2))::BIGINT % 2 = 1 THEN 1 ELSE -1 END)::DOUBLE AS v
+  FROM (SELECT {key}, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS w FROM {table}) GROUP BY ALL)"""
+
+
+@query(
+    f"""WITH {_hashed_sql('dv', 'documents', 'doc_id')}, {_hashed_sql('qv', 'benchmark', 'item_id')},
+dn AS (SELECT doc_id, sqrt(sum(v * v)) AS n FROM dv GROUP BY doc_id), qn AS (SELECT item_id, sqrt(sum(v * v)) AS n FROM qv GROUP BY item_id),
+dots AS (SELECT item_id, doc_id, sum(dv.v * qv.v) AS dot FROM dv JOIN qv USING (c) GROUP BY item_id, doc_id),
+every AS (SELECT item_id, doc_id, round(coalesce(dot / nullif(dn.n * qn.n, 0), 0), 6) AS score FROM benchmark CROSS JOIN documents LEFT JOIN dots USING (item_id, doc_id) LEFT JOIN dn USING (doc_id) LEFT JOIN qn USING (item_id))
+SELECT item_id AS query_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM every QUALIFY rank <= 10"""
+)
+def embedded_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Nearest documents by vectors made of the texts themselves, in batches, by the hashing model."""
+    vectors = embedding.embed(lexical.spread(_documents(spark, d)).withColumnRenamed("doc_seq", "id")).withColumnRenamed("id", "doc_seq")
+    asked = embedding.embed(_items(spark, d).withColumnRenamed("query_id", "id")).withColumnRenamed("id", "query_id")
+    return _hits(dense.search(vectors, asked, 10, digits=6))
+
+
 _FUSED = f"""
 {_BM25}, q AS (SELECT item_id AS query_id, {tokens_sql('text')} AS t FROM benchmark), {_SCORED}, {_dense_sql(_OF_ITEMS, 30)},
 lists AS (SELECT query_id, 0 AS l, doc_id, rank FROM dense UNION ALL SELECT query_id, 1, doc_id, rank FROM ranked WHERE rank <= 30),

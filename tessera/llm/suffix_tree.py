@@ -157,8 +157,8 @@ def _signed(a: np.ndarray) -> pa.Array:
 
 
 def _counts(texts: DataFrame, contexts: Contexts | None, level: int) -> DataFrame:
-    """s, a, n: how often the symbol ``a`` follows the s-th context of ``level``; s is 0 at the
-    root. Each worker sums up its slices, Spark the rest."""
+    """s, a, n: how often the symbol ``a`` follows the s-th context of ``level``; at the root
+    without s. Each worker sums up its slices, Spark the rest."""
     spark = session_of(texts)
     known = spark.sparkContext.broadcast(contexts) if contexts is not None else None
 
@@ -177,7 +177,8 @@ def _counts(texts: DataFrame, contexts: Contexts | None, level: int) -> DataFram
                         s, a = s[first].astype(np.int32), tokens.symbol[at[first]]
                 yield pa.RecordBatch.from_arrays([pa.array(s), _signed(a), pa.array(n)], ["s", "a", "n"])
 
-    return map_batches(texts.select("text"), run, "s int, a long, n long").groupBy("s", "a").agg(F.sum("n").alias("n"))
+    rows = map_batches(texts.select("text"), run, "s int, a long, n long")
+    return rows.groupBy(*(["s", "a"] if contexts is not None else ["a"])).agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -214,7 +215,7 @@ def _states(spark: SparkSession, **columns: np.ndarray) -> DataFrame:
 def train(texts: DataFrame, depth: int = DEPTH, least: float = LEAST, hot: float = HOT) -> SuffixTree:
     """The tree of ``texts`` (column text)."""
     spark = session_of(texts)
-    words = materialize(_counts(texts, None, 0).select("a", "n"), "suffix-words")
+    words = materialize(_counts(texts, None, 0), "suffix-words")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     weight, enough = total + distinct + 1, max(2.0, least * total)
 
@@ -288,7 +289,7 @@ def _gains(tree: SuffixTree) -> tuple[DataFrame, DataFrame]:
 
 def _parts(docs: DataFrame, tree: SuffixTree, hot: list[tuple[np.ndarray, np.ndarray]]) -> DataFrame:
     """doc_id, digest, level, s, a, v: for each document four sums of what the worker has (level
-    -1: tokens, -2: known ones, -3: base, -4: score), then, with level 0 or more, a row for
+    -1: tokens, -2: known ones, -3: base, -4: what the tree adds), then, with level 0 or more, a row for
     each token that needs the gain of (level, s, a)."""
     shared = session_of(docs).sparkContext.broadcast((tree.contexts, hot, math.log10(tree.root_weight)))
 
@@ -313,13 +314,13 @@ def _parts(docs: DataFrame, tree: SuffixTree, hot: list[tuple[np.ndarray, np.nda
                     everywhere = np.arange(len(tokens.symbol))
                     gain, known = look_up(0, np.zeros(len(everywhere), np.int64), everywhere, tokens, asked)
                     base = gain - weight
-                    score, at = base.copy(), everywhere
+                    tree, at = np.zeros(len(base)), everywhere
                     for level, states in enumerate(contexts, 1):
                         at = at[tokens.place[at] >= level]
                         s = states.find(tokens.context(at, level))
                         at, s = at[s >= 0], s[s >= 0]  # a longer state has its suffixes for states
-                        score[at] += states.value[s] + look_up(level, s, at, tokens, asked)[0]
-                sums = [np.bincount(tokens.doc, w, docs_here) for w in (np.ones(len(everywhere)), known, base, score)]
+                        tree[at] += states.value[s] + look_up(level, s, at, tokens, asked)[0]
+                sums = [np.bincount(tokens.doc, w, docs_here) for w in (np.ones(len(everywhere)), known, base, tree)]
                 every = np.arange(docs_here)
                 local = [(every, np.full(docs_here, -1 - k), np.zeros(docs_here, np.int64), digests[rows].view(np.uint64), v) for k, v in enumerate(sums)]
                 doc, level, s, a, v = (np.concatenate(c) for c in zip(*local, *asked, strict=True))
@@ -357,12 +358,12 @@ def score(docs: DataFrame, tree: SuffixTree, doc_id: str = "doc_id", text: str =
         of(-1).alias("n_tokens"),
         (of(-2) + F.sum(F.when((F.col("level") == 0) & F.col("gain").isNotNull(), F.col("v")).otherwise(0.0))).alias("n_known"),
         (of(-3) + more(F.col("level") == 0)).alias("base_score"),
-        (of(-4) + more(F.col("level") >= 0)).alias("score"),
+        (of(-4) + more(F.col("level") > 0)).alias("tree"),
     )
     # Equal rows came together in the sums; each has its part.
     whole = lambda c: F.round(F.col(c) / F.col("rows")).cast("long").alias(c)
     part = lambda c: (F.col(c) / F.col("rows")).alias(c)
-    each = each.select("doc_id", "digest", whole("n_tokens"), whole("n_known"), part("base_score"), part("score"))
+    each = each.select("doc_id", "digest", whole("n_tokens"), whole("n_known"), part("base_score"), ((F.col("base_score") + F.col("tree")) / F.col("rows")).alias("score"))
     out = texts.select("doc_id", "digest").join(each, ["doc_id", "digest"])
     return out.select(F.nullif("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "n_tokens", "n_known", "base_score", "score")
 

@@ -1 +1 @@
-"""No streaming operator: an index is rebuilt from its files, and nothing asks for more."""
+"""The one stream of the project is the job ``jobs.index_documents``; no operator is a stream."""

@@ -12,6 +12,8 @@ import tokenize
 from collections.abc import Iterator
 from typing import NamedTuple
 
+#: Nodes that neither define nor call anything, nor have parts that do.
+_LEAVES = (ast.Name, ast.Constant, ast.expr_context)
 _FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
 
 
@@ -103,10 +105,11 @@ def _definition(source: _Source, node, path: str, qualname: str, kind: str, clas
     return Chunk(path, qualname, kind, line, node.end_lineno, text, _docstring(source, node.body), decorators, class_name)
 
 
-def chunks(module: str, path: str, text: str) -> Iterator[Chunk]:
+def chunks(module: str, path: str, text: str, tree: ast.Module | None = None) -> Iterator[Chunk]:
     """Top-level functions and classes, each class followed by its methods, then one chunk
-    of all lines that no definition covers. Raises SyntaxError."""
-    tree, source = ast.parse(text), _Source(text)
+    of all lines that no definition covers. ``tree``: the text's parse, if there is one
+    already. Raises SyntaxError."""
+    tree, source = tree or ast.parse(text), _Source(text)
     covered: set[int] = set()
     for node in tree.body:
         if isinstance(node, _FUNCTIONS):
@@ -152,10 +155,10 @@ class Symbols(NamedTuple):
     raw_calls: list[RawCall]
 
 
-def symbols(module: str, text: str, is_package_init: bool = False) -> Symbols:
+def symbols(module: str, text: str, is_package_init: bool = False, tree: ast.Module | None = None) -> Symbols:
     """Definitions, imports and raw calls in the order in which they are met. Of functions
     and classes only the body is entered: decorators, defaults, annotations and bases call
-    nothing. Raises SyntaxError."""
+    nothing. ``tree``: the text's parse, if there is one already. Raises SyntaxError."""
     found = Symbols([], [], [])
 
     def enter(body: list[ast.stmt], scope: str, owner: str | None) -> None:
@@ -183,7 +186,8 @@ def symbols(module: str, text: str, is_package_init: bool = False) -> Symbols:
                 if isinstance(node, ast.Call):
                     found.raw_calls.append(RawCall(scope, dotted(node.func), node.lineno))
                 for child in ast.iter_child_nodes(node):
-                    walk(child, scope, owner)
+                    if not isinstance(child, _LEAVES):
+                        walk(child, scope, owner)
 
-    enter(ast.parse(text).body, module, None)
+    enter((tree or ast.parse(text)).body, module, None)
     return found

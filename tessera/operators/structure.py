@@ -7,6 +7,7 @@ are resolved inside a file's own row, without a join or a shuffle.
 
 from __future__ import annotations
 
+import ast
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,8 +28,9 @@ def _analyze(schema: pa.Schema):
                 row = {"file_seq": r["file_seq"], "rel_path": r["rel_path"], "module": r["module"], "error": r["error"], "chunks": [], "defs": [], "imports": [], "raw_calls": []}
                 if row["error"] is None:
                     try:
-                        found = list(pystructure.chunks(r["module"], r["rel_path"], r["content"]))
-                        symbols = pystructure.symbols(r["module"], r["content"], r["is_package_init"])
+                        tree = ast.parse(r["content"])
+                        found = list(pystructure.chunks(r["module"], r["rel_path"], r["content"], tree))
+                        symbols = pystructure.symbols(r["module"], r["content"], r["is_package_init"], tree)
                     except (SyntaxError, ValueError, RecursionError) as x:
                         row["error"] = f"syntax error ({x})"
                     else:
@@ -67,7 +69,7 @@ def imports(analysis: DataFrame) -> DataFrame:
     return i.select("file_seq", "module", F.col("pos").cast("long").alias("seq"), "i.*", _resolved_import(F.col("i")).alias("resolved"))
 
 
-def _callee(module: Column, defs: Column, imported: Column, call: Column) -> Column:
+def _callee(module: Column, names: Column, stand_for: Column, tops: Column, call: Column) -> Column:
     """struct<callee, resolved> of a raw call, by the first rule that applies:
 
     1. no dotted name: ``<dynamic>``, unresolved;
@@ -79,27 +81,31 @@ def _callee(module: Column, defs: Column, imported: Column, call: Column) -> Col
     raw, caller = call["raw"], call["caller"]
     parts = F.split(raw, r"\.")
     head, rest = F.get(parts, F.lit(0)), F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
-    alias = F.try_element_at(F.filter(imported, lambda i: i["local_name"] == head), F.lit(-1))
-    top = F.exists(defs, lambda d: (d["qualname"] == F.concat(module, F.lit("."), head)) & ~head.contains("."))
+    at = F.array_position(names, head)
     out = lambda callee, ok: F.struct(callee.alias("callee"), F.lit(ok).alias("resolved"))
     own = F.concat(F.regexp_extract(caller, r"^(.*)\.[^.]*$", 1), F.lit("."), F.get(rest, F.lit(0)))
-    joined = F.array_join(F.concat(F.array(_resolved_import(alias)), rest), ".")
+    joined = F.array_join(F.concat(F.array(F.get(stand_for, at - 1)), rest), ".")
     return (
         F.when(raw.isNull(), out(F.lit("<dynamic>"), False))
         .when(head.isin("self", "cls") & (F.size(rest) == 1), F.when(F.size(F.split(caller, r"\.")) >= 3, out(own, True)).otherwise(out(raw, False)))
-        .when(alias.isNotNull(), out(joined, True))
-        .when(top, out(F.concat(module, F.lit("."), raw), True))
+        .when(at > 0, out(joined, True))
+        .when(F.array_contains(tops, head), out(F.concat(module, F.lit("."), raw), True))
         .otherwise(out(raw, False))
     )
 
 
 def calls(analysis: DataFrame) -> DataFrame:
     """``CALLS`` (with file_seq), resolved within each file's row."""
+    # A file's names are laid out once, last import first, so a call searches plain arrays of strings.
+    last = F.reverse("imports")
+    prefix = F.concat("module", F.lit("."))
+    tops = F.filter(F.transform("defs", lambda d: F.when(d["qualname"].startswith(prefix), F.substr(d["qualname"], F.length(prefix) + 1))), lambda n: n.isNotNull() & ~n.contains("."))
+    laid = analysis.select("file_seq", "module", "raw_calls", F.transform(last, lambda i: i["local_name"]).alias("names"), F.transform(last, _resolved_import).alias("stand_for"), F.array_distinct(tops).alias("tops"))
     resolved = F.transform(
         "raw_calls",
-        lambda c: F.struct(c["caller"].alias("caller"), c["lineno"].alias("lineno"), _callee(F.col("module"), F.col("defs"), F.col("imports"), c).alias("to")),
+        lambda c: F.struct(c["caller"].alias("caller"), c["lineno"].alias("lineno"), _callee(F.col("module"), F.col("names"), F.col("stand_for"), F.col("tops"), c).alias("to")),
     )
-    c = analysis.select("file_seq", "module", F.posexplode(resolved).alias("pos", "c"))
+    c = laid.select("file_seq", "module", F.posexplode(resolved).alias("pos", "c"))
     return c.select("file_seq", "module", F.col("pos").cast("long").alias("seq"), "c.caller", "c.to.callee", "c.lineno", "c.to.resolved")
 
 

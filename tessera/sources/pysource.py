@@ -110,10 +110,13 @@ def read_repo(spark: SparkSession, root: str, index_dir: str = INDEX_DIR) -> Dat
 
 def files_of_table(files: DataFrame) -> DataFrame:
     """``SOURCE_FILES`` rows of a table (rel_path, content): a corpus that is no directory.
-    Rows are range-sorted by path, so file_seq rises with it."""
+    Rows are range-sorted by path, so file_seq rises with it. A parse takes far longer than
+    its bytes suggest, so the ranges are not coalesced by their size."""
+    ranges = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
         files.select("rel_path", "content")
-        .orderBy(F.split("rel_path", "/"))
+        .repartitionByRange(ranges, F.split("rel_path", "/"))
+        .sortWithinPartitions(F.split("rel_path", "/"))
         .select(
             F.monotonically_increasing_id().alias("file_seq"),
             "rel_path",

@@ -5,8 +5,9 @@ import os
 import pytest
 
 import __spark_entry__ as entry
-from tessera.plans.queries import QUERIES, SQL
+from tessera.plans import code_queries, queries
 
+QUERIES, SQL = queries.QUERIES | code_queries.QUERIES, queries.SQL | code_queries.SQL
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")

@@ -147,3 +147,30 @@ def test_table_functions(spark):
     spark.createDataFrame([("m", "m.py", "def f():\n    g()\n")], "module string, rel_path string, content string").createOrReplaceTempView("tf_files")
     assert [r.qualname for r in spark.sql("SELECT c.* FROM tf_files, LATERAL python_chunks(module, rel_path, content) c").collect()] == ["m.f"]
     assert [(r.tag, r.qualname, r.name) for r in spark.sql("SELECT s.* FROM tf_files, LATERAL python_symbols(module, content, false) s").collect()] == [("def", "m.f", None), ("call", "m.f", "g")]
+
+
+def test_calls_of_a_file_with_many_imports_and_words(spark):
+    """The last import of a name counts, wherever it stands; a definition yields to it."""
+    from tessera.sources.pysource import files_of_table
+
+    text = "from a import x\ndef x():\n    y(); z.q(); x.r()\nclass y:\n    def m(self):\n        self.k(); cls.k.j(); w()\nfrom b import x\nimport z.u\n"
+    files = files_of_table(spark.createDataFrame([("p/f.py", text), ("p/g.py", "def w(): pass\n"), ("p/h.py", None)], "rel_path string, content string"))
+    analysis = structure.analyze(files)
+    got = [(r.caller, r.callee, r.lineno, r.resolved) for r in structure.calls(analysis).orderBy("file_seq", "seq").collect()]
+    assert got == [
+        ("p.f.x", "p.f.y", 3, True),
+        ("p.f.x", "z.u.q", 3, True),
+        ("p.f.x", "b.x.r", 3, True),
+        ("p.f.y.m", "p.f.y.k", 6, True),
+        ("p.f.y.m", "cls.k.j", 6, False),
+        ("p.f.y.m", "w", 6, False),
+    ]
+    assert [r.rel_path for r in analysis.where("error IS NOT NULL").collect()] == ["p/h.py"]
+
+
+def test_source_of_a_text_is_made_of_all_its_lines(spark):
+    from tessera.plans.code_queries import source_of
+
+    texts = ["Ab\n\n1 2\nX y z\nlast, word", None, "", "a b c d e\nx@y.z"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").select("i", source_of(F.col("text")).alias("s")).orderBy("i").collect()
+    assert [r.s for r in rows] == ["import w_ab\nclass w_x:\n    def w_y(self):\n        self.w_z()\ndef w_last():\n    w_word()", "", "", "from w_a.w_b import w_c, w_d, w_e\nclass w_x:\n    def w_y(self):\n        self.w_z()\ndef ("]

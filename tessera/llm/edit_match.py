@@ -5,8 +5,8 @@ k + 1 pieces, every text within k edits of the item holds at least one piece unc
 So the pieces of all items are searched in every document by one automaton, and around
 each hit Myers' bit-parallel algorithm finds the least edit distance between the item and
 any substring there. A document with a substring within the budget is contaminated.
-An item shorter than ``MIN_CHARS`` after normalizing has no budget: it is found where it
-stands unchanged and no word runs on over its ends.
+An item shorter than ``WORD_CHARS`` after normalizing has its budget too (1 or 2 edits from
+13 characters on), but only a substring that no word runs on over the ends of counts for it.
 
 Items and texts are compared lower-cased with white space runs as one space.
 
@@ -34,8 +34,8 @@ from tessera.llm._shared import map_batches, table
 
 #: Edits allowed in an item, as a share of its characters.
 ERROR_RATE = 0.08
-#: Characters below which an item is found only unchanged and as whole words.
-MIN_CHARS = 30
+#: Characters below which an item is found only as whole words.
+WORD_CHARS = 30
 #: Characters of one block of items: what a worker holds, whatever the benchmark's size.
 BLOCK_CHARS = 4_000_000
 #: Scripts without spaces between words: Thai, Lao, Burmese, Khmer, kana and Han.
@@ -58,9 +58,19 @@ def _in_word(c: str) -> bool:
     return unicodedata.category(c)[0] in "LMN" and not _UNSPACED.match(c)
 
 
-def _bounded(text: str, begin: int, end: int) -> bool:
-    """Does no word run on over either end of text[begin:end]?"""
-    return not any(0 < at < len(text) and _in_word(text[at - 1]) and _in_word(text[at]) for at in (begin, end))
+def _edge(text: str, at: int) -> bool:
+    """Does no word run on over place ``at`` of the text?"""
+    return not (0 < at < len(text) and _in_word(text[at - 1]) and _in_word(text[at]))
+
+
+def _distance(a: str, b: str) -> int:
+    """The edit distance of two short strings as wholes."""
+    row = list(range(len(a) + 1))
+    for j, c in enumerate(b, 1):
+        last, row = row, [j]
+        for i in range(1, len(a) + 1):
+            row.append(min(last[i - 1] + (a[i - 1] != c), last[i] + 1, row[i - 1] + 1))
+    return row[-1]
 
 
 class Pattern:
@@ -68,7 +78,7 @@ class Pattern:
 
     def __init__(self, item_id: int | None, text: str, rate: float, whole: bool = False):
         self.item_id, self.text, self.whole = item_id, text, whole
-        self.budget = 0 if whole else int(len(text) * rate)
+        self.budget = int(len(text) * rate)
         self.masks: dict[str, int] = {}
         for i, c in enumerate(text):
             self.masks[c] = self.masks.get(c, 0) | 1 << i
@@ -98,14 +108,30 @@ class Pattern:
                 best, end = score, j
         return best, end
 
+    def search_words(self, text: str, lo: int, hi: int) -> tuple[int, int] | None:
+        """For a short item: the least edit distance within the budget to a substring of
+        text[lo:hi] whose ends no word runs over, and the end of the first such substring."""
+        if self.search(text[lo:hi])[0] > self.budget:
+            return None
+        m, k, best = len(self.text), self.budget, None
+        edges = [at for at in range(lo, min(hi, len(text)) + 1) if _edge(text, at)]
+        known = set(edges)
+        for begin in edges:
+            for end in range(begin + m - k, begin + m + k + 1):
+                if end in known and end > begin:
+                    distance = _distance(self.text, text[begin:end])
+                    if distance <= k and (best is None or (distance, end) < best):
+                        best = (distance, end)
+        return best
+
 
 class Matcher:
     """All pieces of a block of items in one automaton."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]], rate: float, min_chars: int):
+    def __init__(self, items: list[tuple[int | None, str | None]], rate: float, word_chars: int):
         import ahocorasick
 
-        self.patterns = [Pattern(i, t, rate, len(t) < min_chars) for i, t in ((i, normalize(t)) for i, t in items) if t]
+        self.patterns = [Pattern(i, t, rate, len(t) < word_chars) for i, t in ((i, normalize(t)) for i, t in items) if t]
         places: dict[str, list[tuple[int, int]]] = {}
         for p, pattern in enumerate(self.patterns):
             for offset, piece in pieces(pattern.text, pattern.budget):
@@ -126,21 +152,27 @@ class Matcher:
         for last, (size, found) in self.automaton.iter(text):
             for p, offset in found:
                 pattern = self.patterns[p]
-                if pattern.whole:
-                    if p not in ends and _bounded(text, last + 1 - size, last + 1):
+                if p in ends:
+                    continue
+                if pattern.whole and size == len(pattern.text):  # no budget: the piece is the item
+                    if _edge(text, last + 1 - size) and _edge(text, last + 1):
                         ends[p] = last + 1
                     continue
                 begin = last + 1 - size - offset - pattern.budget
                 spans.setdefault(p, []).append((max(0, begin), begin + len(pattern.text) + 2 * pattern.budget))
         for p in sorted(spans.keys() | ends.keys()):
             pattern, best = self.patterns[p], None
-            if pattern.whole:
+            if p in ends:
                 yield pattern.item_id, 0, 0, ends[p]
                 continue
             for lo, hi in _merged(spans[p]):
-                distance, end = pattern.search(text[lo:hi])
-                if distance <= pattern.budget and (best is None or distance < best[0]):
-                    best = (distance, lo + end)
+                if pattern.whole:
+                    found = pattern.search_words(text, lo, hi)
+                else:
+                    distance, end = pattern.search(text[lo:hi])
+                    found = (distance, lo + end) if distance <= pattern.budget else None
+                if found and (best is None or found[0] < best[0]):
+                    best = found
                 if best and not best[0]:
                     break
             if best:
@@ -158,9 +190,9 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(lo, hi) for lo, hi in out]
 
 
-def _find(shared, rate: float, min_chars: int):
+def _find(shared, rate: float, word_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(shared.value, rate, min_chars)
+        matcher = Matcher(shared.value, rate, word_chars)
         for batch in batches:
             rows = [(doc_id, *found) for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True) for found in matcher.matches(text.as_py())]
             ids, items, distance, budget, end = zip(*rows, strict=True) if rows else ((),) * 5
@@ -183,20 +215,20 @@ def _blocks(benchmark: DataFrame, size: int) -> Iterator[list[tuple[int | None,
         yield block
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, word_chars: int = WORD_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, item_id, distance, budget, match_end (in the normalized text) for each
-    document and item that matches within the budget, ``rate`` of the item's characters (none below ``min_chars``)."""
+    document and item that matches within the budget, ``rate`` of the item's characters (below ``word_chars`` as whole words)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sc, found = texts.sparkSession.sparkContext, None
     for block in _blocks(benchmark, block_chars):
-        one = map_batches(texts, _find(sc.broadcast(block), rate, min_chars), _MATCHES)
+        one = map_batches(texts, _find(sc.broadcast(block), rate, word_chars), _MATCHES)
         found = one if found is None else found.unionAll(one)
     return found if found is not None else texts.sparkSession.createDataFrame([], _MATCHES)
 
 
-def _clean(shared, rate: float, min_chars: int):
+def _clean(shared, rate: float, word_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(shared.value, rate, min_chars)
+        matcher = Matcher(shared.value, rate, word_chars)
         for batch in batches:
             keep = [not any(True for _ in matcher.matches(t.as_py())) for t in batch["text"]]
             yield batch.filter(pa.array(keep, pa.bool_()))
@@ -204,11 +236,11 @@ def _clean(shared, rate: float, min_chars: int):
     return run
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, word_chars: int = WORD_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The documents without a match, in their own columns: one filter for each block."""
     sc, out = docs.sparkSession.sparkContext, docs
     for block in _blocks(benchmark, block_chars):
-        out = map_batches(out, _clean(sc.broadcast(block), rate, min_chars), docs.schema)
+        out = map_batches(out, _clean(sc.broadcast(block), rate, word_chars), docs.schema)
     return out
 
 

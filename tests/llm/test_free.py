@@ -256,7 +256,7 @@ def test_contamination_matches_brute_force(spark):
     for i, t in rows:
         for k, p in items:
             n, h = edit_match.normalize(p), edit_match.normalize(t)
-            if len(n) >= edit_match.MIN_CHARS and h:
+            if len(n) >= edit_match.WORD_CHARS and h:
                 d = least_distance(n, h[-300:] if len(h) > 9000 else h)
                 if d <= int(len(n) * edit_match.ERROR_RATE):
                     want.append((i, k, d))
@@ -272,16 +272,61 @@ def test_contamination_matches_brute_force(spark):
 
 
 def test_short_items_are_found_as_whole_words(spark):
+    """A slip within the budget of 8 % is found in short items too ("who wrote at?")."""
     items = [(0, "Who wrote it?"), (1, "cat nap"), (2, "日本の首都はどこですか。"), (3, "猫は"), (4, " "), (5, None), (6, "cat nap"), (7, "क")]
     rows = [(0, "x who  wrote IT?yes"), (1, "a concat nap, cat naps"), (2, "a Cat Nap."), (3, "問題：日本の首都はどこですか。答え"), (4, "黒猫は白い"), (5, "who wrote at?"), (6, "cat nap"), (7, "cat naps, cat nap"), (8, "कि"), (9, None)]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    want = {(0, 0), (2, 1), (2, 6), (3, 2), (4, 3), (6, 1), (6, 6), (7, 1), (7, 6)}
+    want = {(0, 0), (2, 1), (2, 6), (3, 2), (4, 3), (5, 0), (6, 1), (6, 6), (7, 1), (7, 6)}
     found = edit_match.find_contamination(docs(spark, rows), bench).collect()
-    assert len(found) == len(want) and all(r.distance == r.budget == 0 for r in found)
+    assert len(found) == len(want) and all(r.distance == (r.doc_id == 5) and r.budget == (r.item_id == 0) for r in found)
     texts = dict(rows)
     assert {(r.doc_id, r.item_id) for r in found} == want
-    assert all(edit_match.normalize(texts[r.doc_id])[: r.match_end].endswith(edit_match.normalize(dict(items)[r.item_id])) for r in found)
-    assert sorted(r.doc_id for r in edit_match.decontaminate(docs(spark, rows), bench).collect()) == [1, 5, 8, 9]
+    assert all(edit_match.normalize(texts[r.doc_id])[: r.match_end].endswith(edit_match.normalize(dict(items)[r.item_id])) for r in found if not r.distance)
+    assert sorted(r.doc_id for r in edit_match.decontaminate(docs(spark, rows), bench).collect()) == [1, 8, 9]
+
+
+def test_edited_items_of_all_lengths_match_brute_force(spark):
+    """Items of 5 to 2,000 characters with edits around their budgets, against all substrings."""
+    r = random.Random(11)
+
+    def edited(t: str, n: int) -> str:
+        c = list(t)
+        for _ in range(n):
+            at = r.randrange(len(c))
+            c[at : at + 1] = r.choice(([], [r.choice("qx ")], [c[at], r.choice("qx")]))
+        return "".join(c)
+
+    def cut(t: str, n: int) -> str:
+        return edit_match.normalize(t[: n + 1])[:n].strip()
+
+    items = [(k, cut(prose(r, 2 + n // 3), n)) for k, n in enumerate([5, 8, 12, 13, 14, 18, 24, 25, 26, 27, 29, 30, 31, 50, 90, 400, 2000])]
+    rows = []
+    for k, t in items:
+        budget = int(len(t) * edit_match.ERROR_RATE)
+        for n in {0, 1, 2, budget, budget + 1}:
+            around = r.choice(("{} {} {}", "{}{} {}", "{}. {}, {}"))
+            rows.append((len(rows), around.format(prose(r, 3), edited(t, n), prose(r, 3))))
+    rows += [(900, "What is the Capitol of Peru? asked"), (901, "xwhat is the capitol of peru?"), (902, "what  is the capital of per u?")]
+    items += [(90, "what is the capital of peru?")]
+
+    def least(item: str, text: str) -> int:
+        if len(item) >= edit_match.WORD_CHARS:
+            return least_distance(item, text)
+        k, inside = int(len(item) * edit_match.ERROR_RATE), lambda c: c.isalnum()
+        ends = [i for i in range(len(text) + 1) if not (0 < i < len(text) and inside(text[i - 1]) and inside(text[i]))]
+        pairs = [text[a:b] for a in ends for b in ends if 0 < b - a <= len(item) + k]
+        return min((edit_match._distance(item, x) for x in pairs if len(x) >= len(item) - k), default=len(item))
+
+    want = set()
+    for i, t in rows:
+        h = edit_match.normalize(t)
+        for k, p in items:
+            n = edit_match.normalize(p)
+            if n and (len(n) < 500 or len(h) > len(n) // 2) and (d := least(n, h)) <= int(len(n) * edit_match.ERROR_RATE):
+                want.add((i, k, d))
+    found = edit_match.find_contamination(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(x.doc_id, x.item_id, x.distance) for x in found} == want and len(found) == len(want)
+    assert {(900, 90, 1), (902, 90, 1)} <= want and not any(i == 901 and k == 90 and d == 1 for i, k, d in want)
 
 
 # --- tokens ------------------------------------------------------------------------------

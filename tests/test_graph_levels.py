@@ -20,6 +20,12 @@ def test_no_way_is_made_to_a_caller_that_was_known_before(spark):
     assert shuffled(spark) - before < 700_000  # 918,706 before, 522,152 now
 
 
+def test_few_targets_are_numbered_in_few_groups(spark):
+    asked = goal(spark, *[f"n{i}" for i in range(600)])
+    got = graph._numbered(asked).select("group", "bit").collect()
+    assert len({tuple(r) for r in got}) == 600 and len({r.group for r in got}) == 2
+
+
 def test_more_targets_than_a_row_has_bits_for(spark):
     # A ring of 700 functions: everyone is reached by the five before it, first to last.
     rows = [(f"n{i}", f"n{(i + 1) % 700}", True) for i in range(700)]

@@ -3,8 +3,9 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; the next stage gets what
 was written of it. All but the last return the columns of documents.
 
-1. language: the documents that output codes identify; those without letters go, the
-   ambiguous ones stay. The model learns from the stage's own labelled documents.
+1. language: the documents that output codes identify. Those without letters go and those whose
+   text is plainly in another language than their label; the ambiguous ones stay, and a missing
+   label becomes the predicted one. The model learns from the stage's own labelled documents.
 2. near_duplicates: of each group of documents linked by a Jaccard similarity of 0.8 or
    more of their five-word shingles the one with the least id stays.
 3. decontamination: documents with a passage within the error budget of a benchmark item go.

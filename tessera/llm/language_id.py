@@ -44,6 +44,8 @@ EXHAUSTIVE = 7
 UNKNOWN = "und"
 #: Loss by which the second codeword must be farther for a text not to be ambiguous.
 MARGIN = 0.5
+#: Loss by which the predicted language must be nearer than all others to overrule a label.
+CONTRADICTED = 30.0
 _SLICE = 1 << 19
 #: n-grams whose odds, and texts whose losses, are held at once.
 _STEP, _ROWS = 1 << 16, 1 << 10
@@ -272,17 +274,23 @@ def _accept(shared):
     predict = _predict(shared, MARGIN)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = set(shared.value.langs)
         for batch in batches:
-            ids = pa.array([0] * len(batch), pa.int64())
+            ids, langs = pa.array([0] * len(batch), pa.int64()), batch["lang"].to_pylist()
             found = next(predict(iter([pa.RecordBatch.from_arrays([ids, batch["text"]], names=["doc_id", "text"])])))
-            keep = [p != UNKNOWN for p in found["lang_pred"].to_pylist()]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            read, sure = found["lang_pred"].to_pylist(), found["margin"].to_numpy() >= CONTRADICTED
+            keep = [p != UNKNOWN and (lang not in known or p == lang or not s) for p, lang, s in zip(read, langs, sure, strict=True)]
+            told = pa.array([p if lang is None else lang for p, lang in zip(read, langs, strict=True)], batch["lang"].type)
+            at = batch.schema.get_field_index("lang")
+            yield batch.set_column(at, batch.schema.field(at), told).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents that are not ``und``, in their own columns; the ambiguous ones stay."""
+    """The documents (text, lang and more) in a language that the model tells, in their own
+    columns. Those that are ``und`` go, and those whose text is plainly in another language than
+    their label says; the ambiguous ones stay. A missing label becomes the predicted one."""
     shared = session_of(docs).sparkContext.broadcast(model)
     return map_batches(docs, _accept(shared), docs.schema)
 

@@ -1,16 +1,17 @@
 """Source files -> chunks, definitions, imports and resolved calls.
 
 One parse of each file yields everything, in one row, so a file that does not parse is
-missing everywhere. What follows is per-file array work in built-in expressions: names
-are resolved inside a file's own row, without a join or a shuffle.
+missing everywhere. Names are resolved while the file is parsed, without a join or a
+shuffle. A worker holds the parts of a few files at once, however many a batch brings.
 """
 
 from __future__ import annotations
 
 import ast
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
@@ -20,33 +21,59 @@ from tessera.functions import pystructure
 from tessera.schemas import CHUNK, FILE_ANALYSIS
 
 
-def _analyze(schema: pa.Schema):
+#: What an analysis can hold of a file.
+PARTS = ("chunks", "defs", "imports", "raw_calls")
+#: Files, and bytes of their text, whose parts a worker holds at once; a single file may be longer.
+FILES, BYTES = 64, 1 << 18
+
+
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    sizes = [n or 0 for n in pc.binary_length(batch["content"]).to_pylist()]
+    begin = held = 0
+    for i, n in enumerate(sizes):
+        if i > begin and (held + n > BYTES or i - begin == FILES):
+            yield batch.slice(begin, i - begin)
+            begin, held = i, 0
+        held += n
+    if begin < len(sizes):
+        yield batch.slice(begin)
+
+
+def _parts_of(module: str, path: str, content: str, is_package_init: bool) -> dict[str, list]:
+    tree = ast.parse(content)
+    found = list(pystructure.chunks(module, path, content, tree))
+    symbols = pystructure.symbols(module, content, is_package_init, tree)
+    return {"chunks": found, "defs": symbols.defs, "imports": symbols.imports, "raw_calls": pystructure.resolve(module, symbols)}
+
+
+def _analyze(schema: pa.Schema, parts: Sequence[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                row = {"file_seq": r["file_seq"], "rel_path": r["rel_path"], "module": r["module"], "error": r["error"], "chunks": [], "defs": [], "imports": [], "raw_calls": []}
-                if row["error"] is None:
-                    try:
-                        tree = ast.parse(r["content"])
-                        found = list(pystructure.chunks(r["module"], r["rel_path"], r["content"], tree))
-                        symbols = pystructure.symbols(r["module"], r["content"], r["is_package_init"], tree)
-                    except (SyntaxError, ValueError, RecursionError) as x:
-                        row["error"] = f"syntax error ({x})"
-                    else:
-                        row |= {"chunks": [c._asdict() for c in found]} | {k: [x._asdict() for x in v] for k, v in symbols._asdict().items()}
-                rows.append(row)
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+            for piece in _pieces(batch):
+                errors, columns = piece["error"].to_pylist(), {k: [] for k in PARTS}
+                for i, (module, path, content, init) in enumerate(zip(*(piece[c].to_pylist() for c in ("module", "rel_path", "content", "is_package_init")), strict=True)):
+                    found: dict[str, list] = {}
+                    if errors[i] is None:
+                        try:
+                            found = _parts_of(module, path, content, init)
+                        except (SyntaxError, ValueError, RecursionError) as x:
+                            errors[i] = f"syntax error ({x})"
+                    for k, column in columns.items():
+                        column.append(found.get(k, []) if k in parts else [])
+                named = {"file_seq": piece["file_seq"], "rel_path": piece["rel_path"], "module": piece["module"], "error": pa.array(errors, pa.string())}
+                named |= {k: pa.array(column, schema.field(k).type) for k, column in columns.items()}
+                yield pa.RecordBatch.from_arrays([named[n].cast(schema.field(n).type) for n in schema.names], schema=schema)
 
     return run
 
 
-def analyze(files: DataFrame) -> DataFrame:
-    """``SOURCE_FILES`` -> ``FILE_ANALYSIS``: one row for each file, with its error or its parts."""
+def analyze(files: DataFrame, parts: Sequence[str] = PARTS) -> DataFrame:
+    """``SOURCE_FILES`` -> ``FILE_ANALYSIS``: one row for each file, with its error or its parts.
+    ``parts``: those that are asked for, where not all are; the others' arrays are empty."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema = to_arrow_schema(StructType.fromDDL(FILE_ANALYSIS))
-    return files.mapInArrow(_analyze(schema), FILE_ANALYSIS)
+    return files.mapInArrow(_analyze(schema, parts), FILE_ANALYSIS)
 
 
 def chunks(analysis: DataFrame) -> DataFrame:
@@ -69,44 +96,10 @@ def imports(analysis: DataFrame) -> DataFrame:
     return i.select("file_seq", "module", F.col("pos").cast("long").alias("seq"), "i.*", _resolved_import(F.col("i")).alias("resolved"))
 
 
-def _callee(module: Column, names: Column, stand_for: Column, tops: Column, call: Column) -> Column:
-    """struct<callee, resolved> of a raw call, by the first rule that applies:
-
-    1. no dotted name: ``<dynamic>``, unresolved;
-    2. ``self.x`` or ``cls.x``: the caller's parent's x if the caller has three parts or more, else unresolved;
-    3. the head is an imported name (the file's last import of it counts): what it stands for, and the rest;
-    4. the head is defined directly below the module: the module's;
-    5. unresolved, as written.
-    """
-    raw, caller = call["raw"], call["caller"]
-    parts = F.split(raw, r"\.")
-    head, rest = F.get(parts, F.lit(0)), F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
-    at = F.array_position(names, head)
-    out = lambda callee, ok: F.struct(callee.alias("callee"), F.lit(ok).alias("resolved"))
-    own = F.concat(F.regexp_extract(caller, r"^(.*)\.[^.]*$", 1), F.lit("."), F.get(rest, F.lit(0)))
-    joined = F.array_join(F.concat(F.array(F.get(stand_for, at - 1)), rest), ".")
-    return (
-        F.when(raw.isNull(), out(F.lit("<dynamic>"), False))
-        .when(head.isin("self", "cls") & (F.size(rest) == 1), F.when(F.size(F.split(caller, r"\.")) >= 3, out(own, True)).otherwise(out(raw, False)))
-        .when(at > 0, out(joined, True))
-        .when(F.array_contains(tops, head), out(F.concat(module, F.lit("."), raw), True))
-        .otherwise(out(raw, False))
-    )
-
-
 def calls(analysis: DataFrame) -> DataFrame:
-    """``CALLS`` (with file_seq), resolved within each file's row."""
-    # A file's names are laid out once, last import first, so a call searches plain arrays of strings.
-    last = F.reverse("imports")
-    prefix = F.concat("module", F.lit("."))
-    tops = F.filter(F.transform("defs", lambda d: F.when(d["qualname"].startswith(prefix), F.substr(d["qualname"], F.length(prefix) + 1))), lambda n: n.isNotNull() & ~n.contains("."))
-    laid = analysis.select("file_seq", "module", "raw_calls", F.transform(last, lambda i: i["local_name"]).alias("names"), F.transform(last, _resolved_import).alias("stand_for"), F.array_distinct(tops).alias("tops"))
-    resolved = F.transform(
-        "raw_calls",
-        lambda c: F.struct(c["caller"].alias("caller"), c["lineno"].alias("lineno"), _callee(F.col("module"), F.col("names"), F.col("stand_for"), F.col("tops"), c).alias("to")),
-    )
-    c = laid.select("file_seq", "module", F.posexplode(resolved).alias("pos", "c"))
-    return c.select("file_seq", "module", F.col("pos").cast("long").alias("seq"), "c.caller", "c.to.callee", "c.lineno", "c.to.resolved")
+    """``CALLS`` (with file_seq), as :func:`pystructure.resolve` resolved them within each file."""
+    c = analysis.select("file_seq", "module", F.posexplode("raw_calls").alias("pos", "c"))
+    return c.select("file_seq", "module", F.col("pos").cast("long").alias("seq"), "c.caller", "c.callee", "c.lineno", "c.resolved")
 
 
 @udtf(returnType=CHUNK)

@@ -11,12 +11,12 @@ SOURCE_FILES = "file_seq long, rel_path string, module string, content string, i
 CHUNK = "file_path string, qualname string, kind string, start_line int, end_line int, text string, docstring string, decorators array<string>, class_name string"
 DEF = "qualname string, kind string, lineno int, end_lineno int, class_name string"
 IMPORT = "local_name string, imported_module string, imported_symbol string, lineno int"
-RAW_CALL = "caller string, raw string, lineno int"
+RAW_CALL = "caller string, raw string, lineno int, callee string, resolved boolean"
 
 #: One row for each file: what its one parse found, or why there was none.
 FILE_ANALYSIS = (
     "file_seq long, rel_path string, module string, error string, "
-    + ", ".join(f"{name} array<struct<{fields.replace(' array<string>', ':array<string>').replace(' string', ':string').replace(' int', ':int')}>>" for name, fields in (("chunks", CHUNK), ("defs", DEF), ("imports", IMPORT), ("raw_calls", RAW_CALL)))
+    + ", ".join(f"{name} array<struct<{fields.replace(' array<string>', ':array<string>').replace(' string', ':string').replace(' int', ':int').replace(' boolean', ':boolean')}>>" for name, fields in (("chunks", CHUNK), ("defs", DEF), ("imports", IMPORT), ("raw_calls", RAW_CALL)))
 )
 
 CHUNKS = f"chunk_seq long, chunk_id string, {CHUNK}"

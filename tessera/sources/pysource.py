@@ -8,7 +8,7 @@ filtering afterwards; files are read where their partition runs.
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -108,11 +108,13 @@ def read_repo(spark: SparkSession, root: str, index_dir: str = INDEX_DIR) -> Dat
     return spark.read.format("pyrepo").option("indexDir", index_dir).load(os.path.abspath(root))
 
 
-def files_of_table(files: DataFrame) -> DataFrame:
+def files_of_table(files: DataFrame, make: Callable[[Column], Column] = lambda content: content) -> DataFrame:
     """``SOURCE_FILES`` rows of a table (rel_path, content): a corpus that is no directory.
     Rows are range-sorted by path, so file_seq rises with it. A parse takes far longer than
-    its bytes suggest, so the ranges are not coalesced by their size."""
+    its bytes suggest, so the ranges are not coalesced by their size. ``make``: what turns a row's content
+    into source; ranges are found in a pass of its own, which does not make it."""
     ranges = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    content = make(F.col("content"))
     return (
         files.select("rel_path", "content")
         .repartitionByRange(ranges, F.split("rel_path", "/"))
@@ -121,8 +123,8 @@ def files_of_table(files: DataFrame) -> DataFrame:
             F.monotonically_increasing_id().alias("file_seq"),
             "rel_path",
             module_of(F.col("rel_path")).alias("module"),
-            F.regexp_replace("content", "\r\n?", "\n").alias("content"),
+            F.regexp_replace(content, "\r\n?", "\n").alias("content"),
             (F.element_at(F.split("rel_path", "/"), -1) == "__init__.py").alias("is_package_init"),
-            F.when(F.col("content").isNull(), "no content").alias("error"),
+            F.when(content.isNull(), "no content").alias("error"),
         )
     )

@@ -1,8 +1,8 @@
 """Exact nearest vectors by cosine similarity, for batches of queries.
 
 The batch is taken in blocks of bounded size; each is broadcast to one pass over the
-vectors, in which every Arrow batch is multiplied with the block at once and keeps only
-its k best for each query. What is shuffled is k rows for each query and batch.
+vectors, in which every ``TILE`` of them is multiplied with the block at once and keeps only
+its k best for each query. What is shuffled is k rows for each query and tile at most.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from tessera.operators.lexical import top_k
 
 #: Queries of one block: what a worker holds is this many vectors, whatever the batch.
 BLOCK = 1024
+#: Vectors that a block is multiplied with at once: 16 MB of similarities.
+TILE = 2048
 _HITS = "query_id long, doc_seq long, score double"
 
 
@@ -34,7 +36,7 @@ def _unit(m: np.ndarray) -> np.ndarray:
 def _nearest(shared, k: int, digits: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, queries = shared.value
-        for batch in batches:
+        for batch in (whole.slice(at, TILE) for whole in batches for at in range(0, len(whole), TILE)):
             batch = batch.filter(batch["embedding"].is_valid())
             if not len(batch):
                 continue

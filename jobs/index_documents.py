@@ -37,7 +37,7 @@ def _write(batch: DataFrame, number: int, target: str, config: dict) -> None:
     try:
         last = F.row_number().over(Window.partitionBy("doc_seq").orderBy(F.desc(postings.digest(F.col("text")))))
         docs = read.where("doc_seq IS NOT NULL").withColumn("_place", last).where("_place = 1").drop("_place")
-        rows = postings.blocks_of(postings.counted(docs), config["block_width"], config["slots"]).withColumn("batch", F.lit(number).cast("long"))
+        rows = postings.blocks_of(postings.counted(docs, config["block_width"]), config["block_width"], config["slots"]).withColumn("batch", F.lit(number).cast("long"))
         known = docs.select("doc_seq", postings.digest(F.col("text")).alias("digest"), postings.length(F.col("text")).alias("dl"), F.lit(number).cast("long").alias("batch"))
         put = lambda df, name, *by: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(f"{target}/{name}")
         put(rows.repartition("slot").sortWithinPartitions("slot", "term", "block"), "blocks", "batch", "slot")

@@ -9,6 +9,8 @@ from tessera.functions.text import truncate_text
 from tessera.operators import trigrams
 from tessera.operators.graph import last_segment
 
+#: Names that texts are searched for without an index.
+SCANNED = 64
 VIEW = ("file", "qualname", "kind", "start_line", "end_line", "text")
 
 
@@ -48,9 +50,14 @@ def test_chunks(chunks: DataFrame) -> DataFrame:
 def find_tests(chunks: DataFrame, targets: DataFrame, index: trigrams.TrigramIndex | None = None) -> DataFrame:
     """target, file, qualname, start_line, first_seq: chunks of test files whose text has
     the target's last name, anywhere in it. Chunks are those that win by chunk_id. Texts are
-    searched through their trigram index: the one given, or one made of the test chunks."""
+    searched through their trigram index: the one given, or one made of the test chunks. For few
+    names and no index given none is made, which would cost more than a look into each text."""
     named = targets.select("target", last_segment(F.col("target")).alias("name"))
-    hits = trigrams.find(index or trigrams.build(test_chunks(chunks)), named.select("name"))
+    if index is None and named.count() <= SCANNED:
+        names = F.broadcast(named.select("name").distinct())
+        hits = test_chunks(chunks).join(names, F.contains(F.col("text"), F.col("name"))).select("name", *trigrams.OWN)
+    else:
+        hits = trigrams.find(index or trigrams.build(test_chunks(chunks)), named.select("name"))
     seqs = chunks.where(is_test_file(F.col("file_path"))).groupBy("chunk_id").agg(F.max("chunk_seq").alias("chunk_seq"), F.min("chunk_seq").alias("first_seq"))
     return hits.join(seqs, ["chunk_id", "chunk_seq"]).join(named, "name").select("target", "file", "qualname", "start_line", "first_seq")
 

@@ -8,6 +8,8 @@ shuffle. A worker holds the parts of a few files at once, however many a batch b
 from __future__ import annotations
 
 import ast
+import gc
+import itertools
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -39,30 +41,57 @@ def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(begin)
 
 
-def _parts_of(module: str, path: str, content: str, is_package_init: bool) -> dict[str, list]:
-    tree = ast.parse(content)
-    found = list(pystructure.chunks(module, path, content, tree))
-    symbols = pystructure.symbols(module, content, is_package_init, tree)
-    return {"chunks": found, "defs": symbols.defs, "imports": symbols.imports, "raw_calls": pystructure.resolve(module, symbols)}
+def _parts_of(module: str, path: str, content: str, is_package_init: bool, parts: Sequence[str]) -> dict[str, list]:
+    """The parts that are asked for, of one parse. Whether a file has an error does not depend on them."""
+    tree, found = ast.parse(content), {}
+    if "chunks" in parts:
+        found["chunks"] = list(pystructure.chunks(module, path, content, tree))
+    if any(p != "chunks" for p in parts):
+        symbols = pystructure.symbols(module, content, is_package_init, tree, "raw_calls" in parts)
+        found |= {"defs": symbols.defs, "imports": symbols.imports}
+        if "raw_calls" in parts:
+            found["raw_calls"] = pystructure.resolve(module, symbols)
+    return found
+
+
+def _lists(column: list[list[tuple]], kind: pa.ListType) -> pa.ListArray:
+    """Lists of tuples as lists of structs, made field by field, which is faster than row by row."""
+    fields = list(kind.value_type)
+    rows = list(itertools.chain.from_iterable(column))
+    values = zip(*rows) if rows else [()] * len(fields)
+    structs = pa.StructArray.from_arrays([pa.array(v, f.type) for v, f in zip(values, fields, strict=True)], fields=fields)
+    offsets = list(itertools.accumulate(map(len, column), initial=0))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), structs, type=kind)
 
 
 def _analyze(schema: pa.Schema, parts: Sequence[str]):
+    def analyzed(piece: pa.RecordBatch) -> pa.RecordBatch:
+        errors, columns = piece["error"].to_pylist(), {k: [] for k in PARTS}
+        for i, (module, path, content, init) in enumerate(zip(*(piece[c].to_pylist() for c in ("module", "rel_path", "content", "is_package_init")), strict=True)):
+            found: dict[str, list] = {}
+            if errors[i] is None:
+                try:
+                    found = _parts_of(module, path, content, init, parts)
+                except (SyntaxError, ValueError, RecursionError) as x:
+                    errors[i] = f"syntax error ({x})"
+            for k, column in columns.items():
+                column.append(found.get(k, []) if k in parts else [])
+        named = {"file_seq": piece["file_seq"], "rel_path": piece["rel_path"], "module": piece["module"], "error": pa.array(errors, pa.string())}
+        named |= {k: _lists(column, schema.field(k).type) for k, column in columns.items()}
+        return pa.RecordBatch.from_arrays([named[n].cast(schema.field(n).type) for n in schema.names], schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in _pieces(batch):
-                errors, columns = piece["error"].to_pylist(), {k: [] for k in PARTS}
-                for i, (module, path, content, init) in enumerate(zip(*(piece[c].to_pylist() for c in ("module", "rel_path", "content", "is_package_init")), strict=True)):
-                    found: dict[str, list] = {}
-                    if errors[i] is None:
-                        try:
-                            found = _parts_of(module, path, content, init)
-                        except (SyntaxError, ValueError, RecursionError) as x:
-                            errors[i] = f"syntax error ({x})"
-                    for k, column in columns.items():
-                        column.append(found.get(k, []) if k in parts else [])
-                named = {"file_seq": piece["file_seq"], "rel_path": piece["rel_path"], "module": piece["module"], "error": pa.array(errors, pa.string())}
-                named |= {k: pa.array(column, schema.field(k).type) for k, column in columns.items()}
-                yield pa.RecordBatch.from_arrays([named[n].cast(schema.field(n).type) for n in schema.names], schema=schema)
+                # A parse makes very many objects without cycles; looking for cycles among them takes as long as the parse.
+                collects = gc.isenabled()
+                gc.disable()
+                try:
+                    made = analyzed(piece)
+                finally:
+                    if collects:
+                        gc.enable()
+                yield made
 
     return run
 

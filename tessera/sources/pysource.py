@@ -114,17 +114,18 @@ def files_of_table(files: DataFrame, make: Callable[[Column], Column] = lambda c
     its bytes suggest, so the ranges are not coalesced by their size. ``make``: what turns a row's content
     into source; ranges are found in a pass of its own, which does not make it."""
     ranges = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    content = make(F.col("content"))
+    made = F.col("made")  # in a step of its own, as it is used more than once
     return (
         files.select("rel_path", "content")
         .repartitionByRange(ranges, F.split("rel_path", "/"))
         .sortWithinPartitions(F.split("rel_path", "/"))
+        .select(F.monotonically_increasing_id().alias("file_seq"), "rel_path", make(F.col("content")).alias("made"))
         .select(
-            F.monotonically_increasing_id().alias("file_seq"),
+            "file_seq",
             "rel_path",
             module_of(F.col("rel_path")).alias("module"),
-            F.regexp_replace(content, "\r\n?", "\n").alias("content"),
+            F.when(made.contains("\r"), F.regexp_replace(made, "\r\n?", "\n")).otherwise(made).alias("content"),
             (F.element_at(F.split("rel_path", "/"), -1) == "__init__.py").alias("is_package_init"),
-            F.when(content.isNull(), "no content").alias("error"),
+            F.when(made.isNull(), "no content").alias("error"),
         )
     )

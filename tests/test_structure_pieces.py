@@ -1,5 +1,7 @@
 """What a worker of the structure analysis holds at once, and how calls are resolved."""
 
+import gc
+
 import pyarrow as pa
 
 from tessera.functions import pystructure
@@ -34,3 +36,32 @@ def test_calls_of_a_file_with_many_imports_are_resolved_by_looking_names_up():
     text = "from m import " + ", ".join(f"a{i}" for i in range(n)) + "\n" + "\n".join(f"a{i}.b()" for i in range(n)) + "\nq()\n(1)()\n"
     found = pystructure.resolve("f", pystructure.symbols("f", text))
     assert [(c.callee, c.resolved) for c in found] == [(f"m.a{i}.b", True) for i in range(n)] + [("q", False), ("<dynamic>", False)]
+
+
+def test_only_what_is_asked_for_is_made(monkeypatch):
+    made = []
+    for name in ("chunks", "resolve"):
+        monkeypatch.setattr(pystructure, name, lambda *_, name=name: made.append(name) or [])
+    text = "import a\ndef f():\n    b(); (lambda: c())()\nif a:\n    class g: pass\n"
+    assert structure._parts_of("m", "m.py", text, False, ()) == {} == structure._parts_of("m", "m.py", "", False, ())
+    found = structure._parts_of("m", "m.py", text, False, ("defs", "imports"))
+    assert [d.qualname for d in found["defs"]] == ["m.f", "m.g"] and [i.local_name for i in found["imports"]] == ["a"] and not made
+    whole = pystructure.symbols("m", text)
+    assert (whole.defs, whole.imports) == (found["defs"], found["imports"]) and [c.raw for c in whole.raw_calls] == ["b", None, "c"]
+
+
+def test_a_parse_does_not_look_for_cycles(spark, monkeypatch):
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    schema, looks = to_arrow_schema(StructType.fromDDL(FILE_ANALYSIS)), []
+    parse = structure.ast.parse
+    monkeypatch.setattr(structure.ast, "parse", lambda text: looks.append(gc.isenabled()) or parse(text))
+    for _ in structure._analyze(schema, ("defs",))(iter([batch(["x = 1\n", "def ("])])):
+        assert gc.isenabled()
+    assert looks == [False, False]
+
+
+def test_a_long_sum_is_walked_without_recursion():
+    text = "x = " + " + ".join(f"f{i}()" for i in range(1500)) + "\n"
+    assert [c.raw for c in pystructure.symbols("m", text).raw_calls] == [f"f{i}" for i in range(1500)]

@@ -12,6 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import structure
 from tessera.session import new_folder
 
 MAX_DEPTH = 5
@@ -35,9 +36,44 @@ def build_nodes(modules: DataFrame, definitions: DataFrame) -> DataFrame:
     last value that was set (a module sets only its kind)."""
     of_modules = modules.select(F.col("module").alias("qualname"), "file_seq", F.lit(-1).cast("long").alias("seq"), F.lit("module").alias("kind"), F.lit(None).cast("string").alias("module"), F.lit(None).cast("string").alias("class_name"), F.lit(False).alias("defined"))
     of_defs = definitions.select("qualname", "file_seq", "seq", "kind", "module", "class_name", F.lit(True).alias("defined"))
+    return _last_set(of_modules.unionByName(of_defs))
+
+
+def _last_set(rows: DataFrame) -> DataFrame:
     at = F.struct("file_seq", "seq")
     last = lambda name, when=None: F.max_by(F.struct(name), F.when(when, at) if when is not None else at)[name].alias(name)
-    return of_modules.unionByName(of_defs).groupBy("qualname").agg(last("kind"), last("module", F.col("defined")), last("class_name", F.col("defined")))
+    return rows.groupBy("qualname").agg(last("kind"), last("module", F.col("defined")), last("class_name", F.col("defined")))
+
+
+def file_nodes(analysis: DataFrame) -> DataFrame:
+    """:func:`build_nodes` of an analysis (its ``defs``) that is not stored: a file is parsed once for
+    its module and its definitions."""
+    none = F.lit(None)
+    own = F.struct(F.col("module").alias("qualname"), F.lit("module").alias("kind"), none.cast("int").alias("lineno"), none.cast("int").alias("end_lineno"), none.cast("string").alias("class_name"))
+    each = analysis.where("error IS NULL").select("file_seq", "module", F.posexplode(F.concat(F.array(own), "defs")).alias("pos", "d"))
+    defined = F.col("pos") > 0
+    return _last_set(each.select("d.qualname", "file_seq", (F.col("pos") - 1).cast("long").alias("seq"), "d.kind", F.when(defined, F.col("module")).alias("module"), "d.class_name", defined.alias("defined")))
+
+
+def file_edges(files: DataFrame) -> DataFrame:
+    """src, dst, type, lineno, resolved: the edges of :func:`build_edges`, in no order, of
+    ``SOURCE_FILES``. A file is parsed once; the import edges of a module that is one file's alone are made
+    distinct where the file is, and only those of modules with several files are shuffled."""
+    shared = files.groupBy("module").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("module")
+    empty = shared.isEmpty()
+    analysis = structure.analyze(files, ("raw_calls", "imports"))
+    ours = F.col("imports") if empty else F.when(F.col("shared").isNull(), F.col("imports")).otherwise(F.array())
+    if not empty:
+        analysis = analysis.join(sent(shared.withColumn("shared", F.lit(True))), "module", "left")
+    edge = lambda src, dst, kind, lineno, resolved: F.struct(src.alias("src"), dst.alias("dst"), F.lit(kind).alias("type"), lineno.alias("lineno"), resolved.alias("resolved"))
+    bring = lambda dst: edge(F.col("module"), dst, "import", F.lit(None).cast("int"), F.lit(None).cast("boolean"))
+    calls = F.transform("raw_calls", lambda c: edge(c["caller"], c["callee"], "call", c["lineno"], c["resolved"]))
+    brings = F.transform(F.filter(F.array_distinct(ours["imported_module"]), lambda m: m != ""), bring)
+    edges = analysis.select(F.inline(F.concat(calls, brings)))
+    if empty:
+        return edges
+    others = structure.analyze(files.join(sent(shared), "module", "left_semi"), ("imports",))
+    return edges.unionByName(import_edges(structure.imports(others)).select(bring(F.col("imported_module")).alias("e")).select("e.*"))
 
 
 def node_names(nodes: DataFrame, edges: DataFrame) -> DataFrame:

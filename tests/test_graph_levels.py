@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import graph
@@ -79,3 +80,34 @@ def test_steps_into_one_function_fill_several_blocks(spark, monkeypatch):
     want = [(f"t{i}", "hub", 1) for i in range(510)] + [(f"t{i}", f"c{j}", 2) for i in range(510) for j in range(300)]
     want += [("c2", "c1", 1), ("c2", "hub", 2)] + [("c2", f"c{j}", 3) for j in range(300) if j not in (1, 2)]
     assert sorted(map(tuple, graph.reachable_callers(edges(spark, rows), asked).collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("few", [1 << 16, 0])
+def test_a_block_sends_on_the_first_way_to_a_caller(spark, monkeypatch, few):
+    # All 40 of level 1 call the targets and are called by all 300 of level 2: 12,000 ways to each, of which 300 count.
+    # Blocks go through few steps at a time; the order of call sites is not that of names.
+    monkeypatch.setattr(graph, "TAKEN", 50)
+    monkeypatch.setattr(graph, "FEW", few)
+    pick = random.Random(3)
+    rows = [(f"m{i}", t, True) for i in range(40) for t in ("t1", "t2")] + [(f"c{j}", f"m{i}", True) for i in range(40) for j in range(300)]
+    rows += [("top", "c7", True), ("m3", "m5", True), ("t1", "top", True), ("far", "t1", True)]
+    pick.shuffle(rows)
+    first = {}
+    for seq, (caller, callee, _) in enumerate(rows):
+        first.setdefault((callee, caller), seq)
+    into = {}
+    for (callee, caller), seq in first.items():
+        into.setdefault(callee, []).append((seq, caller))
+    want = []
+    for target in ("t1", "t2"):
+        level, seen = {target: ()}, {target}
+        for depth in range(1, 6):
+            new = {}
+            for node, way in level.items():
+                for seq, caller in into.get(node, ()):
+                    if caller not in seen:
+                        new[caller] = min(new.get(caller, (*way, seq)), (*way, seq))
+            want += [(target, caller, depth, list(way)) for caller, way in new.items()]
+            level, seen = new, seen | set(new)
+    got = graph.transitive_callers(edges(spark, rows), goal(spark, "t1", "t2", "nowhere"))
+    assert sorted((r.target, r.caller, r.depth, r.position) for r in got.collect()) == sorted(want)
